@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import table
+from .html import extract_text
 from .quality import quality_figures
+from .secrets import find_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = "byte_bpe_50k.tiktoken"
@@ -24,5 +26,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Query] = {"op3_byte_bpe": op3_byte_bpe, "op6_quality_rules": op6_quality_rules}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op5_secret_scan, op6_quality_rules, op8_html_extraction)}
 SQL: dict[str, str] = {}
