@@ -8,15 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
-from .common import table
+from .common import Scratch, table
 from .html import extract_text
+from .mixing import mixing_rates, mixing_sql
 from .quality import quality_figures
 from .secrets import find_secrets
+from .tokens import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = "byte_bpe_50k.tiktoken"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = (public_tokenizers.path(BPE), public_tokenizers.PATTERN)
+    return replay(table(spark, sf_dir, "documents"), Scratch(spark, "ledger").root, {"byte_bpe_50k/1": bpe}).totals()
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
@@ -26,6 +33,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: Exponents that temper the observed shares of each dimension.
+MIX = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), MIX)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -34,5 +49,5 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op5_secret_scan, op6_quality_rules, op8_html_extraction)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op8_html_extraction)}
+SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
