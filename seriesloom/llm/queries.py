@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import Scratch, table
 from .html import extract_text
+from .licenses import find_licenses
 from .mixing import mixing_rates, mixing_sql
 from .quality import quality_figures
 from .secrets import find_secrets
@@ -45,9 +46,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op8_html_extraction)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction)}
 SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
