@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import Scratch, table
 from .html import extract_text
+from .jaccard import similar_groups
 from .licenses import find_licenses
 from .mixing import mixing_rates, mixing_sql
 from .quality import quality_figures
@@ -54,5 +55,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op10_ngram_jaccard)}
 SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
