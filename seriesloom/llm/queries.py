@@ -13,6 +13,7 @@ from .html import extract_text
 from .jaccard import similar_groups
 from .licenses import find_licenses
 from .mixing import mixing_rates, mixing_sql
+from .neighbours import nearest_to_every
 from .quality import quality_figures
 from .secrets import find_secrets
 from .tokens import replay
@@ -26,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(table(spark, sf_dir, "documents"), Scratch(spark, "ledger").root, {"byte_bpe_50k/1": bpe}).totals()
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_to_every(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
@@ -59,5 +64,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op10_ngram_jaccard)}
 SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
