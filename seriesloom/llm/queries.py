@@ -15,6 +15,7 @@ from .licenses import find_licenses
 from .mixing import mixing_rates, mixing_sql
 from .neighbours import nearest_to_every
 from .quality import quality_figures
+from .repeats import cut_repeats
 from .secrets import find_secrets
 from .tokens import replay
 
@@ -60,9 +61,13 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard)}
 SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
