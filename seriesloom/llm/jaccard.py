@@ -9,19 +9,23 @@ is ordered rare first, then by how common, then by hash.  Two sets that link
 share an n-gram among the first |s| - ceil(t |s|) + 1 of both (the prefix).
 
 Rare lists.  If the first shared n-gram is rare, the pair meets in that
-n-gram's list.  Lists are sorted by set size and position and read in blocks of
-one size: within a block the bound on the overlap falls with the position, so
-the rest of a block is skipped at its first failure.  A pair goes on only if
-the shared n-grams it was met at, and all that can follow them, reach the
-overlap it needs; then its whole sets are compared.
+n-gram's list.  Lists are sorted by set size and position.  For each entry the
+blocks of sizes that cannot link are skipped, and a pair opens only at a list
+where its positions leave room for the overlap it needs.  All lists count: of
+the set whose prefix ends first in the order, every n-gram up to there that the
+other has as well was met, so the number of meetings and the rest of that set
+bound the overlap; a pair goes on only if they reach what it needs.
 
 Common part.  If the first shared n-gram is common, both sets consist of common
-n-grams but for a share of 1 - t: near copies of one text.  Such sets are
-brought together once by the connected groups of their common prefix n-grams,
-in blocks of bounded size.  Inside two blocks the overlaps of a set with all
-others are derived from those of a highly similar set before it, by the lists
-of the n-grams in which the two differ.  Only links that join two groups leave
-a block.
+n-grams but for a share of 1 - t: near copies of one text.  Such sets meet
+through the smallest class that has the n-gram in its prefix.
+
+Families.  The connected groups of what has met are families; a link never
+leaves one.  A family is cut into blocks of bounded size, and the whole sets of
+every two blocks that sizes allow to link are brought together once.  There the
+overlaps of a set with all others are derived from those of a highly similar
+set before it, by the lists of the n-grams in which the two differ.  Counts of
+links, and only those links that join two groups, leave the blocks.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; a shorter text than n words is one n-gram; rows of one doc_id are one
@@ -131,62 +135,57 @@ def needed(na, nb, percent: int):
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list, sorted by (n, pos), that can still link."""
-    m = len(n)
-    if m <= 48:
-        i, j = np.triu_indices(m, 1)
-        ok = (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], percent))
-        return i[ok], j[ok]
-    sizes, first = np.unique(n, return_index=True)
-    ends = np.append(first[1:], m)
-    left, right = [], []
-    for i in range(m):
-        most = 100 * n[i] // percent
-        for b in range(np.searchsorted(sizes, n[i]), np.searchsorted(sizes, most, "right")):
-            need = needed(int(n[i]), int(sizes[b]), percent)
-            if n[i] - pos[i] < need:
-                break  # larger sets need more still
-            a = max(int(first[b]), i + 1)
-            stop = int(first[b]) + int(np.searchsorted(pos[first[b] : ends[b]], sizes[b] - need, "right"))
-            if stop > a:  # the rest of the block is skipped
-                left.append(np.full(stop - a, i))
-                right.append(np.arange(a, stop))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-PAIRS = "a long, b long, na long, nb long, pa long, pb long"
+def prefix_length(n, percent: int):
+    return n + (-percent * n) // 100 + 1
+
+
+def list_pairs(n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of one list, sorted by (n, pos), whose sizes can link; and which of them open there."""
+    own = np.arange(len(n))
+    count = np.searchsorted(n, 100 * n // percent, "right") - own - 1  # larger sizes are skipped
+    i = np.repeat(own, count)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    return i, j, np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], percent)
+
+
+PAIRS = "a long, b long, lack long, opens int"
+#: The end of a prefix that holds all rare n-grams of its set.
+NO_END = np.iinfo(np.int64).max
 
 
 def _lists(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, rep, n, pos) come sorted by token, n, pos, rep."""
+    """Rows (token, rep, place, ends) come sorted by token and place; place holds size and position."""
 
-    def pairs(t, rep, n, pos):
+    def pairs(t, rep, place, ends):
+        n, pos = place >> 31, place & ((1 << 31) - 1)
         edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
         size = np.diff(edge)
         two = edge[:-1][size == 2]
-        ok = (100 * n[two] >= percent * n[two + 1]) & (np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= needed(n[two], n[two + 1], percent))
-        left, right = [two[ok]], [two[ok] + 1]
+        two = two[100 * n[two] >= percent * n[two + 1]]
+        opens = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= needed(n[two], n[two + 1], percent)
+        found = [(two, two + 1, opens)]
         for a, m in zip(edge[:-1][size > 2], size[size > 2], strict=True):
-            i, j = list_pairs(n[a : a + m], pos[a : a + m], percent)
-            left.append(i + a)
-            right.append(j + a)
-        left, right = np.concatenate(left), np.concatenate(right)
-        swap = rep[left] > rep[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
+            i, j, o = list_pairs(n[a : a + m], pos[a : a + m], percent)
+            found.append((i + a, j + a, o))
+        left, right, opens = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = rep[left] != rep[right]
-        left, right = left[keep], right[keep]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[left], rep[right], n[left], n[right], pos[left], pos[right])], ["a", "b", "na", "nb", "pa", "pb"])
+        left, right, opens = left[keep], right[keep], opens[keep]
+        # how many meetings the overlap needs beside the rest of the set whose prefix ends first
+        rest = lambda x: n[x] - prefix_length(n[x], percent)
+        a, b = ends[left], ends[right]
+        room = np.where(a < b, rest(left), np.where(b < a, rest(right), np.where(a == NO_END, NO_END, np.maximum(rest(left), rest(right)))))
+        lack = np.where(room == NO_END, 0, needed(n[left], n[right], percent) - room)
+        low, high = np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(lack, pa.int64()), pa.array(opens.astype(np.int32))], ["a", "b", "lack", "opens"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [np.asarray(batch.column(x)) for x in ("token", "rep", "n", "pos")]
+        now = [np.asarray(batch.column(x)) for x in ("token", "rep", "place", "ends")]
         if not len(now[0]):
             continue
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        cut = int(np.searchsorted(now[0] == now[0][-1], True))  # the last list may go on in the next batch
+        cut = int(np.argmax(now[0] == now[0][-1]))  # the last list may go on in the next batch
         if cut:
             yield pairs(*(x[:cut] for x in now))
         held = [x[cut:] for x in now]
@@ -194,24 +193,15 @@ def _lists(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pairs(*held)
 
 
-def _full(k: int, levels: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(h).tobytes() for h in shingles(texts_as_bytes(batch.column("text")), k)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["rep", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("rep", "family", "tasks")), pa.array(sets, pa.binary())], ["rep", "family", "tasks", "tokens"])
 
 
-def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
-def block_links(sets: list[np.ndarray], others: list[np.ndarray], percent: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks of sets; others follow sets in the numbering."""
+def block_links(sets: list[np.ndarray], others: list[np.ndarray], percent: int, same: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between two blocks of sets, and the number of
+    links of every set; others follow sets in the numbering."""
     flat = np.concatenate(others)
     owner = np.repeat(np.arange(len(others)), [len(s) for s in others])
     order = np.argsort(flat, kind="stable")
@@ -233,31 +223,61 @@ def block_links(sets: list[np.ndarray], others: list[np.ndarray], percent: int,
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return np.bincount(owner[at], minlength=len(others))
 
-    links, before, overlap = [], np.zeros(0, np.uint64), np.zeros(len(others), np.int64)
+    links, degree = [], np.zeros(len(up), np.int64)
+    before, overlap = np.zeros(0, np.uint64), np.zeros(len(others), np.int64)
     for i, s in enumerate(sets):
         gone, new = np.setdiff1d(before, s, True), np.setdiff1d(s, before, True)
         overlap = overlap - tally(gone) + tally(new) if len(gone) + len(new) < len(s) else tally(s)
         before = s
-        for j in np.flatnonzero(100 * overlap >= percent * (len(s) + sizes - overlap)):
+        linked = 100 * overlap >= percent * (len(s) + sizes - overlap)
+        if same:
+            linked[i] = False
+        degree[i] += linked.sum()
+        if not same:
+            degree[base:] += linked
+        for j in np.flatnonzero(linked):
             x, y = root(i), root(base + int(j))
             if x != y:
                 up[y] = x
                 links.append((i, base + int(j)))
-    return links
-
-
-def _blocks(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = {}
-        for rep, side, tokens in zip(*(table.column(x).to_pylist() for x in ("rep", "side", "tokens")), strict=True):
-            rows.setdefault(side, []).append((rep, np.frombuffer(tokens, np.uint64)))
-        left, right = rows.get(0, []), rows.get(1, [])
-        left.sort(key=lambda r: r[1][:4].tolist())  # similar sets stand together
-        names = [r[0] for r in left] + [r[0] for r in right]
-        found = block_links([r[1] for r in left], [r[1] for r in right or left], percent, not right) if left else []
-        return pa.table({"u": pa.array([names[i] for i, _ in found], pa.int64()), "v": pa.array([names[j] for _, j in found], pa.int64())})
-
-    return run
+    return links, degree
+
+
+def _blocks(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family, i, j, side, rep, tokens) come sorted.  Out come links (u, v) and, without v, counts of links (u, n)."""
+    us, vs, ns = [], [], []
+
+    def put(rows):
+        left, right = ({(r["rep"], r["tokens"]) for r in rows if r["side"] == side} for side in (0, 1))
+        left, right = sorted(left, key=lambda r: r[1][:32]), sorted(right)  # similar sets stand together
+        names = [r[0] for r in (*left, *right)]
+        as_sets = lambda part: [np.frombuffer(r[1], np.uint64) for r in part]
+        if left:
+            links, degree = block_links(as_sets(left), as_sets(right or left), percent, not right)
+            us.extend([names[i] for i, _ in links] + [x for x, d in zip(names, degree, strict=True) if d])
+            vs.extend([names[j] for _, j in links] + [None] * int((degree > 0).sum()))
+            ns.extend([0] * len(links) + degree[degree > 0].tolist())
+
+    def out():
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs, ns)], ["u", "v", "n"])
+        for x in (us, vs, ns):
+            x.clear()
+        return batch
+
+    task, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = (row["family"], row["i"], row["j"])
+            if now != task and rows:
+                put(rows)
+                rows = []
+                if len(us) > 10_000:
+                    yield out()
+            task = now
+            rows.append(row)
+    if rows:
+        put(rows)
+    yield out()
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -265,7 +285,7 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     Documents whose sets of k-word n-grams have a Jaccard similarity of at
     least percent / 100 link; component_id is the smallest doc_id reachable.
-    n_links counts the links found at the document's class.
+    n_links counts the other classes that its class links with.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -275,49 +295,50 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     reps = scratch.keep(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("n_rare").alias("n_rare"), F.first("prefix").alias("prefix")), "reps")
 
     # rare lists
-    listed = reps.select("rep", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_rare").cast("int"))).alias("pos", "token"))
-    listed = listed.select("token", "rep", "n", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token", "n", "pos", "rep")
-    met = listed.mapInArrow(lambda it: _lists(percent, it), PAIRS).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    pairs = scratch.keep(met.where(F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= need).select("a", "b").distinct(), "pairs")
-
-    # common part: groups of common prefix n-grams, in blocks
-    crowd = scratch.keep(reps.where("n_rare < size(prefix)").select("rep", "n", F.expr("slice(prefix, cast(n_rare as int) + 1, size(prefix))").alias("common")), "crowd")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct()
-    wanted = scratch.keep(wanted.withColumnRenamed("rep", "doc_id"), "wanted")
+    spilled = F.col("n_rare") < F.size("prefix")
+    ends = F.when(spilled, F.lit(int(NO_END))).otherwise(F.shiftrightunsigned(F.element_at("prefix", -1), 1))
+    rare = F.slice("prefix", F.lit(1), F.col("n_rare").cast("int"))
+    listed = reps.select("rep", "n", ends.alias("ends"), F.posexplode(rare).alias("pos", "token"))
+    listed = listed.select("token", "rep", (F.shiftleft("n", 31) + F.col("pos")).alias("place"), "ends").repartition("token").sortWithinPartitions("token", "place", "rep")
+    met = listed.mapInArrow(lambda it: _lists(percent, it), PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("lack").alias("lack"), F.max("opens").alias("opens"))
+    pairs = scratch.keep(met.where("opens = 1 and c >= lack").select("a", "b"), "pairs")
+
+    # common part: all classes that have a common n-gram in their prefix meet the smallest of them
+    crowd = reps.where("n_rare < size(prefix)").select("rep", F.explode(F.expr("slice(prefix, cast(n_rare as int) + 1, size(prefix))")).alias("token"))
+    least = crowd.groupBy("token").agg(F.min("rep").alias("b"))
+    met = pairs.unionByName(crowd.join(least, "token").select(F.col("rep").alias("a"), "b"))
+
+    family = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "families")
+    of = family.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select("rep", "n", F.col("label").alias("family"))
+    w = Window.partitionBy("family").orderBy("n", "rep")
+    placed = scratch.keep(of.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK)), "placed")
+    wanted = scratch.keep(placed.join(_tasks(placed, percent), ["family", "block"]).select("rep", "family", "tasks"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if small else wanted, "doc_id")
-    tokens = scratch.keep(texts.mapInArrow(lambda it: _full(k, levels, it), "rep long, n long, tokens binary").dropDuplicates(["rep", "tokens"]), "tokens")
-
-    ta, tb = (tokens.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    links = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(percent, it), "u long, v long")
-    if not crowd.isEmpty():
-        links = links.unionByName(_common_links(crowd, tokens, percent, scratch))
-    links = scratch.keep(links.distinct(), "links")
-
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = components(links, scratch, "labels").withColumnRenamed("node", "rep")
+    texts = rows.join(F.broadcast(wanted) if small else wanted, rows["doc_id"] == wanted["rep"]).select("rep", "family", "tasks", "text")
+    tasks = "array<struct<i:long,j:long,side:int>>"
+    whole = texts.mapInArrow(lambda it: _full(k, it), f"rep long, family long, tasks {tasks}, tokens binary")
+    sides = whole.select("rep", "family", "tokens", F.explode("tasks").alias("t")).select("family", "t.i", "t.j", "t.side", "rep", "tokens")
+    sides = sides.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    links = scratch.keep(sides.mapInArrow(lambda it: _blocks(percent, it), "u long, v long, n long"), "links")
+
+    degree = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links"))
+    labels = components(links.where("v is not null").select("u", "v"), scratch, "labels").withColumnRenamed("node", "rep")
     classes = reps.select("set_key", "rep").join(labels, "rep", "left").join(degree, "rep", "left")
     classes = classes.select("set_key", F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     found = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
-def _common_links(crowd: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    first = F.element_at("common", 1)
-    star = crowd.select(first.alias("u"), F.explode("common").alias("v"))
-    family = components(star, scratch, "family")
-    of = crowd.select("rep", "n", first.alias("node")).join(family, "node", "left").select("rep", "n", F.coalesce("label", "node").alias("family"))
-    w = Window.partitionBy("family").orderBy("n", "rep")
-    placed = scratch.keep(of.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK)), "placed")
+def _tasks(placed: DataFrame, percent: int) -> DataFrame:
+    """family, block, tasks: the pairs of blocks that each block takes part in, and on which side."""
     bounds = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = bounds.alias("x"), bounds.alias("y")
     near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent))
-    task = near.select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = task.select("family", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(task.where("i < j").select("family", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
-    members = placed.select("rep", "family", "block").join(tokens.select("rep", "tokens"), "rep").join(sides, ["family", "block"])
-    return members.groupBy("family", "i", "j").applyInArrow(lambda t: _blocks(percent)(t), "u long, v long")
+    near = near.select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    task = lambda side: F.struct("i", "j", F.lit(side).alias("side"))
+    rows = near.select("family", F.col("i").alias("block"), task(0).alias("t")).unionByName(near.where("i < j").select("family", F.col("j").alias("block"), task(1).alias("t")))
+    return rows.groupBy("family", "block").agg(F.collect_list("t").alias("tasks"))
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -63,8 +63,13 @@ def test_groups(spark, monkeypatch, k, percent, common):
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, k, percent).collect()}
-    assert got == brute(texts, k, percent)
+    rows = similar_groups(docs, k, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, k, percent)
+    s = sets_of(texts, k)
+    classes = {frozenset(x) for x in s if x}
+    for r in rows[::7]:
+        own = s[r.doc_id]
+        assert r.n_links == sum(own != x and 100 * len(own & x) >= percent * len(own | x) for x in classes if own)
 
 
 def test_null_ids_repeated_rows_and_empty(spark):
@@ -82,18 +87,22 @@ def test_skipping_loses_no_pair():
     pos = rng.integers(0, 6, 120)
     order = np.lexsort((pos, n))
     n, pos = n[order], pos[order]
-    got = set(zip(*(x.tolist() for x in list_pairs(n, pos, 85))))
-    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if 100 * n[i] >= 85 * n[j] and min(n[i] - pos[i], n[j] - pos[j]) >= needed(int(n[i]), int(n[j]), 85)}
-    assert got == want
+    i, j, opens = list_pairs(n, pos, 85)
+    got = {(a, b): o for a, b, o in zip(i.tolist(), j.tolist(), opens.tolist(), strict=True)}
+    assert got == {(a, b): min(n[a] - pos[a], n[b] - pos[b]) >= needed(int(n[a]), int(n[b]), 85) for a in range(120) for b in range(a + 1, 120) if 100 * n[a] >= 85 * n[b]}
 
 
 def test_incremental_overlaps():
     rng = np.random.default_rng(4)
     core = rng.integers(0, 2**63, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(core, 57, False), rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
-    joined = {frozenset(x) for x in block_links(sets, sets, 85, True)}
+    links, degree = block_links(sets, sets, 85, True)
+    joined = {frozenset(x) for x in links}
     direct = {frozenset((i, j)) for i in range(40) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - b)}
     assert joined <= direct
+    assert degree.tolist() == [sum(i in e for e in direct) for i in range(40)]
+    _, parts = block_links(sets[:15], sets[15:], 85, False)
+    assert parts.tolist() == [sum(i in e and min(e) < 15 <= max(e) for e in direct) for i in range(40)]
 
     def groups(edges):
         up = list(range(40))
