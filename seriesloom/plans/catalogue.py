@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES}
+SQL: dict[str, str] = {**events.SQL}
