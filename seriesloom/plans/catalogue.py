@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events
+from . import events, objects
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES}
-SQL: dict[str, str] = {**events.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES}
+SQL: dict[str, str] = {**events.SQL, **objects.SQL}
