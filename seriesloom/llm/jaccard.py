@@ -47,7 +47,7 @@ from .common import RangeHash, Scratch, joined, mix64, slices, texts_as_bytes, w
 from .graph import components
 
 #: Buckets of the n-gram counts (2**18 numbers, whatever the input), bytes hashed at once, sets in a block.
-BUCKET_BITS, SLICE, BLOCK = 18, 4 << 20, 512
+BUCKET_BITS, SLICE, BLOCK = 18, 1 << 20, 512
 #: An n-gram is common if its bucket holds so many more than the mean, beside six deviations.
 COMMON = 64
 #: Document ids up to this many are broadcast (8 MB); more are joined by a shuffle.
@@ -85,7 +85,7 @@ def _count(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         docs = texts_as_bytes(batch.column("text"))
-        for a, b in slices([len(d) for d in docs], 4 * SLICE):
+        for a, b in slices([len(d) for d in docs], SLICE):
             h = np.concatenate([*shingles(docs[a:b], k), np.zeros(0, np.uint64)])
             counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
     found = np.flatnonzero(counts)

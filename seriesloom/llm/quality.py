@@ -26,7 +26,7 @@ from .common import RangeHash, SPACE, joined, mix64, repeated, slices, texts_as_
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
