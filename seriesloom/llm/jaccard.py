@@ -350,8 +350,9 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     marks = scratch.keep(marks.where("_gone = 1 or _rows > 1"), "marks")
     small = marks.count() <= BROADCAST_IDS
     near = lambda df: F.broadcast(df) if small else df
-    once = docs.join(near(marks.select("_id")), docs["doc_id"] == F.col("_id"), "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_doc"))  # names of other columns cannot clash
+    once = whole.join(near(marks.select("_id")), F.col("_doc") == F.col("_id"), "left_anti").select("_row.*")
     if marks.where("_gone = 0").isEmpty():
         return once
-    several = docs.join(near(marks.where("_gone = 0").select("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
+    several = whole.join(near(marks.where("_gone = 0").select("_id")), F.col("_doc") == F.col("_id"), "left_semi").select("_row.*")
     return once.unionByName(several.dropDuplicates())

@@ -99,7 +99,8 @@ def with_rates(docs: DataFrame, targets: dict[str, dict | float], keep: float =
 
 def sample_mix(docs: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """The sampled rows of docs, with its columns."""
-    return with_rates(docs, targets, keep, rounds, seed).where("_drawn").select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # names of other columns cannot clash
+    return with_rates(docs.select(whole, "doc_id", "text", "source", "lang"), targets, keep, rounds, seed).where("_drawn").select("_row.*")
 
 
 def mixing_rates(docs: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:

@@ -136,7 +136,8 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
 def redact(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span, overlapping ones together, replaced by mark; n_chars follows the text."""
     model = model or train(labelled_samples(docs.sparkSession))
-    df = with_spans(docs, model, threshold).withColumn("_all", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")  # names of other columns cannot clash
+    df = with_spans(whole, model, threshold).withColumn("_all", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -145,5 +146,7 @@ def redact(docs: DataFrame, model: list[float] | None = None, threshold: float =
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr("_text", acc["at"] + 1, F.length("_text"))))
     df = df.withColumn("_clean", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
-    new = {"text": F.col("_clean")} | ({"n_chars": F.when(F.size("_all") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return df.withColumns(new).select(*docs.columns)
+    row = F.col("_row").withField("text", F.col("_clean"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.size("_all") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")))
+    return df.select(row.alias("_row")).select("_row.*")
