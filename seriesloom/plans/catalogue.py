@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, objects
+from . import audit, building, events, objects
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES}
-SQL: dict[str, str] = {**events.SQL, **objects.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES, **audit.QUERIES, **building.QUERIES}
+SQL: dict[str, str] = {**events.SQL, **objects.SQL, **audit.SQL, **building.SQL}
