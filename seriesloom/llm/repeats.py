@@ -11,8 +11,10 @@ before the shuffle and again behind it: all but those of the smallest document
 are covered as a whole.
 
 Suffix order.  Where an anchor has several different pieces, their texts are
-brought together, and the suffixes of these texts are sorted by linear grouping
-(see suffixes.py).  Suffixes with LENGTH equal bytes stand side by side; the
+brought together, sent to where the anchor stands in its smallest document, so
+that neighbouring anchors meet and overlapping pieces become one stretch of
+text.  The suffixes of these stretches are sorted by linear grouping (see
+suffixes.py).  Suffixes with LENGTH equal bytes stand side by side; the
 smallest document of such a run covers the others.  An anchor with more than
 CROWDED different pieces (a common phrase) has its windows compared by 128-bit
 hashes in a plain aggregate instead, which needs no group in one task.
@@ -25,6 +27,7 @@ nothing; each row is returned; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Scratch, joined, slices, texts_as_bytes
+from .common import RangeHash, Scratch, joined, mix64, slices, texts_as_bytes
 from .suffixes import suffix_order
 
 LENGTH, ANCHOR = 50, 24
 CROWDED = 16_384
 #: Bytes hashed at once; bytes of text of which suffixes are sorted together.
-SLICE, SORTED = 4 << 20, 64 << 10
+SLICE, SORTED = 1 << 20, 64 << 10
 #: Entries that a task holds before it deals them out.
-HELD = 1_500_000
-#: Bytes of per-document lists up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
+HELD = 600_000
 
-ENTRY = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("size", "u1")])
+ENTRY = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("size", "u1"), ("at", "u1")])
 
 
 def tag_of(text: bytes) -> int:
@@ -53,13 +54,13 @@ def tag_of(text: bytes) -> int:
 
 
 def pieces_of(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc index, start, end, anchor hash and piece hash of the pieces of some texts of at most 2**24 bytes together."""
+    """doc index, start, end, anchor hash, piece hash and anchor's offset of the pieces of some texts of at most 2**24 bytes together."""
     buf, begin, end = joined(docs)
     span = LENGTH - ANCHOR + 1
     n = len(buf) - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     hashed = RangeHash(buf)
     at = np.arange(n)
     gram = hashed(at, at + ANCHOR)
@@ -76,10 +77,10 @@ def pieces_of(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     inside = start + LENGTH <= end[doc]
     start, doc, anchor = start[inside], doc[inside], (least[inside] & low).astype(np.int64)
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     a, b = start[first], start[np.append(np.flatnonzero(first)[1:], len(start)) - 1] + LENGTH
-    return doc[first], a - begin[doc[first]], b - begin[doc[first]], gram[anchor[first]], hashed(a, b)
+    return doc[first], a - begin[doc[first]], b - begin[doc[first]], gram[anchor[first]], hashed(a, b), anchor[first] - a
 
 
 def _segments(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes], list[int], list[int]]]:
@@ -96,9 +97,9 @@ def _entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     ids, texts = batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text"))
     known = [i for i, x in enumerate(ids) if x is not None and len(texts[i]) >= LENGTH]
     for own, docs, tags, shift in _segments([ids[i] for i in known], [texts[i] for i in known]):
-        doc, start, end, anchor, piece = pieces_of(docs)
+        doc, start, end, anchor, piece, at = pieces_of(docs)
         out = np.empty(len(doc), ENTRY)
-        out["anchor"], out["piece"] = anchor, piece
+        out["anchor"], out["piece"], out["at"] = anchor, piece, at
         out["doc"], out["tag"] = np.array(own, np.int64)[doc], np.array(tags, np.uint32)[doc]
         out["start"], out["size"] = start + np.array(shift, np.int64)[doc], end - start
         yield out
@@ -108,7 +109,7 @@ def pack(e: np.ndarray) -> bytes:
     """Entries column by column, documents as differences; 40 bits of the anchor and 48 of the piece."""
     short = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
     step = lambda x, t: np.diff(x.astype(t), prepend=np.zeros(1, t)).tobytes()
-    return b"".join([len(e).to_bytes(4, "little"), short(e["anchor"] >> np.uint64(24), 5), short(e["piece"], 6), step(e["doc"], "<i8"), step(e["tag"], "<u4"), e["start"].tobytes(), e["size"].tobytes()])
+    return b"".join([len(e).to_bytes(4, "little"), short(e["anchor"] >> np.uint64(24), 5), short(e["piece"], 6), step(e["doc"], "<i8"), step(e["tag"], "<u4"), e["start"].tobytes(), e["size"].tobytes(), e["at"].tobytes()])
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -127,7 +128,7 @@ def unpack(blob: bytes) -> np.ndarray:
         out[name] = wide.view("<u8")[:, 0]
     out["doc"] = np.cumsum(np.frombuffer(take(8), "<i8"))
     out["tag"] = np.cumsum(np.frombuffer(take(4), "<u4"), dtype=np.uint32)
-    out["start"], out["size"] = np.frombuffer(take(4), "<i4"), np.frombuffer(take(1), np.uint8)
+    out["start"], out["size"], out["at"] = np.frombuffer(take(4), "<i4"), np.frombuffer(take(1), np.uint8), np.frombuffer(take(1), np.uint8)
     return out
 
 
@@ -141,18 +142,26 @@ def alike(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 PARTS = "part int, kind int, data binary"
-SPAN = np.dtype([("start", "<i4"), ("size", "<i4")])
-REQUEST = np.dtype([("start", "<i4"), ("size", "<i4"), ("anchor", "<u8")])
-LISTS = "doc long, tag long, kind int, data binary"
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("size", "u1")])
+REQUEST = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("size", "u1"), ("at", "u1"), ("home", "<i8"), ("spot", "<i4")])
+#: Documents whose ids differ in the last so many bits share the rows of a list.
+NEAR_BITS = 6
+#: Bytes of a document whose anchors are compared in one place.
+HOME = 1 << 14
+LISTS = "near long, kind int, data binary"
 
 
 def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: entries packed for a part; kind 1: pieces that this task has found in a smaller document."""
 
     def flush(held, number):
-        e, _, _, covered = alike(np.concatenate(held))
+        e = np.concatenate(held)
+        order = np.lexsort((e["doc"], e["piece"]))
+        piece = e["piece"][order]
+        first = np.concatenate([[True], piece[1:] != piece[:-1]])
+        covered = np.zeros(len(e), bool)
+        covered[order] = e["doc"][order] > e["doc"][order][first][np.cumsum(first) - 1]
         gone, e = e[covered], e[~covered]
-        e = e[np.lexsort((e["start"], e["doc"]))]
         part = (e["anchor"] >> np.uint64(24)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         e, part = e[order], part[order].astype(np.int32)
@@ -176,74 +185,108 @@ def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield flush(held, number + int(held[0]["doc"][0]))
 
 
-def per_document(e: np.ndarray, kind: int, form: np.dtype) -> pa.RecordBatch:
-    """One row per document: its entries in that form, end to end."""
-    e = e[np.lexsort((e["start"], e["tag"], e["doc"]))]
-    first = np.flatnonzero(np.concatenate([[True], (e["doc"][1:] != e["doc"][:-1]) | (e["tag"][1:] != e["tag"][:-1])])) if len(e) else np.zeros(0, np.int64)
+def as_lists(e: np.ndarray, kind: int, form: np.dtype, **more: np.ndarray) -> pa.RecordBatch:
+    """One row per group of near documents: its entries in that form, end to end."""
+    order = np.lexsort((e["start"], e["tag"], e["doc"]))
+    e = e[order]
+    near = e["doc"] >> NEAR_BITS
+    first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])) if len(e) else np.zeros(0, np.int64)
     data = np.empty(len(e), form)
     for name in form.names:
-        data[name] = e[name]
+        data[name] = more[name][order] if name in more else e[name]
     offsets = np.append(first, len(e)).astype(np.int32) * form.itemsize
     lists = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(e["doc"][first]), pa.array(e["tag"][first].astype(np.int64)), pa.array(np.full(len(first), kind, np.int32)), lists], ["doc", "tag", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(near[first]), pa.array(np.full(len(first), kind, np.int32)), lists], ["near", "kind", "data"])
 
 
 def _meet(crowded: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part.  kind 0: covered pieces; 1: pieces to compare by suffixes; 2: by windows."""
 
+    spans, asked = [], {1: [], 2: []}
+
+    def out(most):
+        """What is held, as lists, once it is more than most."""
+        if sum(map(len, spans)) > most:
+            yield as_lists(np.concatenate(spans), 0, SPAN)
+            spans.clear()
+        for kind, held in asked.items():
+            if sum(len(x[0]) for x in held) > most:
+                e, home, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield as_lists(e, kind, REQUEST, home=home, spot=spot)
+                held.clear()
+
     def of(blobs):
         e, anchor, piece, covered = alike(np.concatenate([unpack(b) for b in blobs]))
-        yield per_document(e[covered], 0, SPAN)
+        spans.append(e[covered])
         which = np.cumsum(anchor) - 1
         head = np.flatnonzero(anchor)
         several = np.minimum.reduceat(e["doc"], head) < np.maximum.reduceat(e["doc"], head)
         different = np.bincount(which[piece], minlength=len(head))
         ask = ((different > 1) & several)[which] & ~covered
-        yield per_document(e[ask & (different <= crowded)[which]], 1, REQUEST)
-        yield per_document(e[ask & (different > crowded)[which]], 2, REQUEST)
+        least = np.minimum.reduceat(e["doc"], head)
+        spot = np.minimum.reduceat(np.where(e["doc"] == least[which], e["start"], np.iinfo(np.int32).max), head)
+        home = mix64(least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (spot // HOME).astype(np.uint64)).astype(np.int64)
+        for kind, rows in ((1, ask & (different <= crowded)[which]), (2, ask & (different > crowded)[which])):
+            asked[kind].append((e[rows], home[which[rows]], spot[which[rows]]))
 
     part, blobs = None, []
     for batch in batches:
         for p, kind, data in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "data")), strict=True):
             if kind:
-                yield per_document(unpack(data), 0, SPAN)
+                spans.append(unpack(data))
                 continue
             if p != part and blobs:
-                yield from of(blobs)
+                of(blobs)
+                yield from out(HELD)
                 blobs = []
             part = p
             blobs.append(data)
     if blobs:
-        yield from of(blobs)
+        of(blobs)
+    yield from out(0)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of the pieces that a document is asked for."""
-    names = ["anchor", "doc", "tag", "start", "text"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+def _listed(form: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """doc_id, text and own entries, in lots, from rows sorted by near and side: lists (side 0), then documents."""
+    near, lists, parts = None, [], {}
     for batch in batches:
         rows = []
-        for doc, text, lists in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), batch.column("lists").to_pylist(), strict=True):
-            tag = tag_of(text)
-            for x in lists:
-                if x["tag"] == tag:
-                    for start, size, anchor in np.frombuffer(x["data"], REQUEST).tolist():
-                        rows.append((anchor, doc, tag, start, text[start : start + size]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
+        for here, side, doc, text, data in zip(*(batch.column(x).to_pylist() for x in ("near", "side", "doc_id")), texts_as_bytes(batch.column("text")), batch.column("data").to_pylist(), strict=True):
+            if here != near:
+                near, lists, parts = here, [], {}
+            if not side:
+                lists.append(data)
+                continue
+            if lists:
+                e = np.frombuffer(b"".join(lists), form)
+                e = e[np.lexsort((e["start"], e["tag"], e["doc"]))]
+                cuts = np.flatnonzero(np.concatenate([[True], (e["doc"][1:] != e["doc"][:-1]) | (e["tag"][1:] != e["tag"][:-1]), [True]]))
+                parts = {(int(e["doc"][a]), int(e["tag"][a])): e[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
+                lists = []
+            rows.append((doc, text, parts.get((doc, tag_of(text))) if parts else None))
+        yield rows
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the pieces that a document is asked for."""
+    names = ["home", "spot", "doc", "tag", "start", "text", "at"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    for lot in _listed(REQUEST, batches):
+        rows = [(home, spot, doc, tag, start, text[start : start + size], at) for _, text, own in lot if own is not None for doc, tag, start, size, at, home, spot in own.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
 
 
 def shared_windows(docs: list[int], texts: list[bytes]) -> list[np.ndarray]:
     """Per text: the starts of its windows that a text of a smaller document has as well."""
     sizes = np.array([len(t) for t in texts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    whole = [0] * int((sizes + 1).sum())
-    for b, t in zip(begin.tolist(), texts, strict=True):
-        whole[b : b + len(t)] = [c + 1 for c in t]
-    order = np.array(suffix_order(whole))
+    ends = np.cumsum(sizes + 1) - 1
+    begin = ends - sizes
+    symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + 1
+    symbols[ends] = 0
+    order = np.array(suffix_order(symbols.tolist()))
     owner = np.searchsorted(begin, order, "right") - 1
     full = order - begin[owner] + LENGTH <= sizes[owner]
     order, owner = order[full], owner[full]
-    symbols = np.array(whole, np.int16)
     rows = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)
     same = np.zeros(len(order), bool)
     for a in range(1, len(order), 20_000):
@@ -259,31 +302,57 @@ def shared_windows(docs: list[int], texts: list[bytes]) -> list[np.ndarray]:
     return [starts[by[cuts[i] : cuts[i + 1]]] for i in range(len(texts))]
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, doc, tag, start, text) come sorted by anchor.  Anchors are sorted together up to SORTED bytes."""
+def with_company(group: list[list]) -> list[list]:
+    """The pieces of one anchor that can share a window with another: a window holds the
+    anchor and at least half of its other bytes before or behind it."""
+    half = (LENGTH - ANCHOR) // 2
+    sides = [(t[at - half : at + ANCHOR] if at >= half else None, t[at : at + ANCHOR + half] if at + ANCHOR + half <= len(t) else None) for *_, t, at in group]
+    before, behind = (Counter(x) for x in zip(*sides, strict=True))
+    return [r for r, (a, b) in zip(group, sides, strict=True) if (a and before[a] > 1) or (b and behind[b] > 1)]
 
-    group, rows, held = None, [], 0
+
+def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, spot, doc, tag, start, text, at) come sorted by home and spot.  Anchors are sorted together up to SORTED bytes."""
+    anchor, group, rows, held = None, [], [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["anchor"] != group and held > SORTED:
-                yield _spans(rows)
-                rows, held = [], 0
-            group = row["anchor"]
-            rows.append(row)
-            held += len(row["text"])
+        for home, spot, *row in zip(*(batch.column(x).to_pylist() for x in ("home", "spot", "doc", "tag", "start", "text", "at")), strict=True):
+            if (home, spot) != anchor:
+                if group:
+                    rows += (more := with_company(group))
+                    held += sum(len(r[3]) for r in more)
+                    group = []
+                if held > 4 * SORTED:
+                    yield _spans(rows)
+                    rows, held = [], 0
+                anchor = (home, spot)
+            group.append(row)
+    if group:
+        rows += with_company(group)
     if rows:
         yield _spans(rows)
 
 
-def _spans(rows: list[dict]) -> pa.RecordBatch:
-    found = shared_windows([r["doc"] for r in rows], [r["text"] for r in rows])
+def stretches(rows: list[list]) -> list[list]:
+    """Overlapping pieces (doc, tag, start, text) of one text become one."""
+    out: list[list] = []
+    for doc, tag, start, text, _ in sorted(rows, key=lambda r: r[:3]):
+        if out and out[-1][:2] == [doc, tag] and start <= (end := out[-1][2] + sum(map(len, out[-1][3]))):
+            out[-1][3].append(text[end - start :])
+        else:
+            out.append([doc, tag, start, [text]])
+    return [[*r[:3], b"".join(r[3])] for r in out]
+
+
+def _spans(rows: list[list]) -> pa.RecordBatch:
+    rows = stretches(rows)
+    found = shared_windows([r[0] for r in rows], [r[3] for r in rows])
     e = np.empty(sum(map(len, found)), ENTRY)
     count = [len(f) for f in found]
-    for name in ("doc", "tag", "start"):
-        e[name] = np.repeat(np.array([r[name] for r in rows]), count)
+    for k, name in enumerate(("doc", "tag", "start")):
+        e[name] = np.repeat(np.array([r[k] for r in rows]), count)
     e["start"] += np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int32)
     e["size"] = LENGTH
-    return per_document(e, 0, SPAN)
+    return as_lists(e, 0, SPAN)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,63 +373,56 @@ def runs_of(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return spans["start"][first].astype(np.int64), reach[np.append(np.flatnonzero(first)[1:], len(spans)) - 1]
 
 
-def removed_runs(text: bytes, lists: list | None) -> tuple[np.ndarray, np.ndarray]:
-    none = np.zeros(0, np.int64)
-    if not lists:
-        return none, none
-    tag = tag_of(text)
-    data = b"".join(x["data"] for x in lists if x["tag"] == tag)
-    return runs_of(np.frombuffer(data, SPAN)) if data else (none, none)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    none = np.zeros(0, np.int64)
+    for lot in _listed(SPAN, batches):
         rows = []
-        for doc, text, lists in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), batch.column("lists").to_pylist(), strict=True):
-            begin, end = removed_runs(text, lists)
+        for doc, text, own in lot:
+            begin, end = runs_of(own) if own is not None else (none, none)
             keep = b"".join(text[a:b] for a, b in zip([0, *end], [*begin, len(text)], strict=True))
             rows.append((doc, len(text), len(text) - len(keep), len(begin), hashlib.sha256(keep).hexdigest()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined with all lists of their doc_id."""
-    size = lists.agg(F.sum(F.length("data") + 40)).first()[0] or 0
-    grouped = lists.groupBy("doc").agg(F.collect_list(F.struct("tag", "data")).alias("lists"))
-    return docs.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, docs["doc_id"] == grouped["doc"], how).select("doc_id", "text", "lists")
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """docs behind the lists of their group of near documents: one shuffle, sorted, nothing gathered in the JVM."""
+    near = F.coalesce(F.shiftright("doc_id", NEAR_BITS), F.xxhash64("text"))
+    none = lambda t: F.lit(None).cast(t)
+    a = lists.select("near", F.lit(0).alias("side"), none("long").alias("doc_id"), none("string").alias("text"), "data")
+    b = docs.select(near.alias("near"), F.lit(1).alias("side"), "doc_id", "text", none("binary").alias("data"))
+    return a.unionByName(b).repartition("near").sortWithinPartitions("near", "side")
 
 
 def covered_spans(docs: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> DataFrame:
-    """doc, tag, data: spans to remove, as lists of (start, size); a document may have several lists."""
+    """near, data: spans to remove, as lists of entries; a group of near documents may have several."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(lambda it: _deal(parts, it), PARTS).repartition("part").sortWithinPartitions("part")
     met = scratch.keep(dealt.mapInArrow(lambda it: _meet(crowded, it), LISTS), "met")
-    spans = met.where("kind = 0").select("doc", "tag", "data")
-    texts = "anchor long, doc long, tag long, start int, text binary"
-    asked = with_lists(docs, met.where("kind = 1"), "inner").mapInArrow(_texts, texts)
-    ordered = asked.repartition("anchor").sortWithinPartitions("anchor")
-    spans = spans.unionByName(ordered.mapInArrow(_sort, LISTS).select("doc", "tag", "data"))
+    spans = met.where("kind = 0").select("near", "data")
+    texts = "home long, spot int, doc long, tag long, start int, text binary, at int"
+    asked = with_lists(docs, met.where("kind = 1")).mapInArrow(_texts, texts)
+    ordered = asked.repartition("home").sortWithinPartitions("home", "spot")
+    spans = spans.unionByName(ordered.mapInArrow(_sort, LISTS).select("near", "data"))
     if not (many := met.where("kind = 2")).isEmpty():
-        windows = scratch.keep(with_lists(docs, many, "inner").mapInArrow(_texts, texts).mapInArrow(_windows, "window binary, doc long, tag long, start long"), "windows")
+        windows = scratch.keep(with_lists(docs, many).mapInArrow(_texts, texts).mapInArrow(_windows, "window binary, doc long, tag long, start long"), "windows")
         least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
         hit = windows.join(least, "window").where("doc > least")
-        spans = spans.unionByName(hit.groupBy("doc", "tag").agg(F.collect_set("start").alias("starts")).mapInArrow(_as_list, "doc long, tag long, data binary"))
+        spans = spans.unionByName(hit.select("doc", "tag", "start").mapInArrow(_as_list, LISTS).select("near", "data"))
     return scratch.keep(spans, "spans")
 
 
 def _as_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data = []
-        for starts in batch.column("starts").to_pylist():
-            e = np.empty(len(starts), SPAN)
-            e["start"], e["size"] = starts, LENGTH
-            data.append(e.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(data, pa.binary())], ["doc", "tag", "data"])
+        e = np.empty(batch.num_rows, ENTRY)
+        for name in ("doc", "tag", "start"):
+            e[name] = np.asarray(batch.column(name))
+        e["size"] = LENGTH
+        yield as_lists(e, 0, SPAN)
 
 
 def cut_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = covered_spans(rows, Scratch(docs.sparkSession, "repeats"), crowded)
-    return with_lists(rows, spans, "left").mapInArrow(_cut, RESULT)
+    return with_lists(rows, spans).mapInArrow(_cut, RESULT)

@@ -25,7 +25,7 @@ def suffix_order(text: list[int] | bytes) -> list[int]:
     for i, g in enumerate(group):
         members[g].append(i)
     place = [0] * len(symbols)  # where a processed group begins in the order
-    done = bytearray(n)
+    done = bytearray(n + 1)  # the last one stands for the place before the text, index -1, and stays 0
     before = [-1] * n  # previous smaller suffix
 
     def put_above(h: int, moved: list[int]) -> None:
@@ -42,40 +42,48 @@ def suffix_order(text: list[int] | bytes) -> list[int]:
 
     g, end = len(symbols) - 1, n
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g]
         members[g] = None
+        if len(own) == 1:
+            i = own[0]
+            if group[i] == g:
+                end -= 1
+                place[g] = end
+                done[i] = 1
+                j = i - 1
+                while done[j]:
+                    j = before[j]
+                before[i] = j
+                if j >= 0:
+                    put_above(group[j], [j])
+            g = lower[g]
+            continue
+        own = [i for i in own if group[i] == g]
         end -= len(own)
         place[g] = end
         for i in own:
             done[i] = 1
-        if len(own) == 1:
-            j = own[0] - 1
-            while j >= 0 and done[j]:
+        own.sort()
+        found: dict[int, int] = {}
+        for i in own:
+            j = i - 1
+            while done[j]:
                 j = before[j]
-            before[own[0]] = j
+            before[i] = j
             if j >= 0:
-                put_above(group[j], [j])
-        elif own:
-            own.sort()
-            found: dict[int, int] = {}
-            for i in own:
-                j = i - 1
-                while j >= 0 and done[j]:
-                    j = before[j]
-                before[i] = j
-                if j >= 0:
-                    found[j] = found.get(j, 0) + 1
-            moves: dict[tuple[int, int], list[int]] = {}
-            for j, k in found.items():
-                moves.setdefault((k, group[j]), []).append(j)
-            for k, h in sorted(moves, reverse=True):  # smaller counts then come between
-                put_above(h, moves[k, h])
+                found[j] = found.get(j, 0) + 1
+        moves: dict[tuple[int, int], list[int]] = {}
+        for j, k in found.items():
+            moves.setdefault((k, group[j]), []).append(j)
+        for k, h in sorted(moves, reverse=True):  # smaller counts then come between
+            put_above(h, moves[k, h])
         g = lower[g]
 
-    order, put = [0] * n, bytearray(n)
+    order, put = [0] * n, bytearray(n + 1)
+    put[n] = 1  # index -1
     j, r = n - 1, 0  # the empty suffix comes first of all
     while True:
-        while j >= 0 and not put[j]:
+        while not put[j]:
             g = group[j]
             order[place[g]] = j
             place[g] += 1
