@@ -73,10 +73,10 @@ def shingles(docs: list[bytes], k: int) -> Iterator[np.ndarray]:
             if n >= k:
                 yield window[cut[i] : cut[i + 1] - k + 1]
             elif n:
-                whole = np.uint64(n)
-                for h in word[cut[i] : cut[i + 1]]:
-                    whole = mix64(np.array([whole ^ h]))[0] * np.uint64(0x9FB21C651E98DF25)
-                yield np.array([whole])
+                whole = np.array([n], np.uint64)
+                for j in range(cut[i], cut[i + 1]):
+                    whole = mix64(whole ^ word[j : j + 1]) * np.uint64(0x9FB21C651E98DF25)
+                yield whole
             else:
                 yield word[:0]
 

@@ -14,7 +14,7 @@ from .jaccard import similar_groups
 from .licenses import find_licenses
 from .mixing import mixing_rates, mixing_sql
 from .neighbours import nearest_to_every
-from .quality import quality_figures
+from .quality import QualityRules, quality_figures
 from .repeats import cut_repeats
 from .secrets import find_secrets
 from .tokens import replay
@@ -69,5 +69,60 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+
+def quality_sql(rules: QualityRules) -> str:
+    """The figures and verdict of `quality_figures` over documents, in DuckDB's SQL."""
+    steps = [
+        f"d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents)",
+        "b AS (SELECT doc_id, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM d)",
+        "p AS MATERIALIZED (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)",
+        "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM d)",
+        f"m AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS later, list_sum(list_transform({WORDS.format(text='line')}, lambda x: length(x))) AS chars FROM l WHERE len({WORDS.format(text='line')}) > 0)",
+        "r AS (SELECT doc_id, count(*) FILTER (later) AS n_dup_lines, coalesce(sum(chars) FILTER (later), 0) AS chars FROM m GROUP BY doc_id)",
+    ]
+    for k in (3, *rules.coverage):
+        steps.append(f"g{k} AS (SELECT doc_id, i, length(w[i]) AS chars, CASE WHEN i + {k - 1} <= len(w) AND count(*) OVER (PARTITION BY doc_id, CASE WHEN i + {k - 1} <= len(w) THEN w[i:i + {k - 1}] ELSE [CAST(i AS VARCHAR)] END) > 1 THEN 1 ELSE 0 END AS again FROM p)")
+        steps.append(f"h{k} AS (SELECT doc_id, chars, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS inside FROM g{k})")
+        steps.append(f"c{k} AS (SELECT doc_id, sum(inside)::BIGINT AS words, sum(chars * inside) AS chars FROM h{k} GROUP BY doc_id)")
+    most = "greatest(word_chars, 1)"
+    cover = {k: f"coalesce(c{k}.chars, 0) / {most}" for k in rules.coverage}
+    line = f"coalesce(r.chars, 0) / {most}"
+    failed = f"(n_words < {rules.min_words} OR 100 * coalesce(c3.words, 0) > {rules.repeat_words_percent} * n_words)"
+    bad = " OR ".join([f"{c} > {rules.coverage[k]}" for k, c in cover.items()] + [f"{line} > {rules.line_coverage}", f"n_symbols > {rules.symbols_per_word} * n_words"])
+    joins = " ".join(f"LEFT JOIN c{k} USING (doc_id)" for k in (3, *rules.coverage))
+    return (
+        f"WITH {', '.join(steps)} SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c3.words, 0) AS n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT ({bad}) AS kept, "
+        f"CAST({line} AS DOUBLE) AS line_coverage, {', '.join(f'CAST({c} AS DOUBLE) AS coverage_{k}' for k, c in cover.items())} FROM b LEFT JOIN r USING (doc_id) {joins}"
+    )
+
+
+OP9_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+least AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (w) WHERE doc_id > first),
+cut AS (SELECT *, sum(CASE WHEN i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)),
+run AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM cut GROUP BY doc_id, run),
+gap AS (SELECT doc_id, a AS stop, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM run UNION ALL SELECT d.doc_id, n, coalesce(max(b), 0) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id, n),
+kept AS (SELECT doc_id, coalesce(string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start, stop), '') AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+count AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM run GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN count USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+k AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS key, s FROM g),
+c AS MATERIALIZED (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY key),
+x AS MATERIALIZED (SELECT rep, n, unnest(s) AS s FROM c),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT p.rep AS a, q.rep AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c FROM x p JOIN x q ON p.s = q.s AND p.rep < q.rep AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n) GROUP BY 1, 2) WHERE 100 * c >= 85 * (na + nb - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a),
+m AS (SELECT node AS rep, min(seen) AS label FROM r GROUP BY node), n AS (SELECT a AS rep, count(*) AS n_links FROM u GROUP BY a)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(label, c.rep, k.doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN c ON k.n > 0 AND k.key = c.key LEFT JOIN m ON c.rep = m.rep LEFT JOIN n ON c.rep = n.rep
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard)}
-SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX)}
+SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
