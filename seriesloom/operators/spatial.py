@@ -37,7 +37,7 @@ def within(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
 
 
 def project(probes: DataFrame, segments: DataFrame, key: str, size: float) -> DataFrame:
-    """key, seg, along, cross: the nearest segment (seg, ax, ay, ex, ey, s0) of each probe (key, px, py).
+    """key, seg, along, cross: the nearest segment (seg, ax, ay, ex, ey, s0) within size of each probe (key, px, py).
 
     A segment no longer than size is listed in the cell of its middle; probes look two cells around.
     """
@@ -50,7 +50,7 @@ def project(probes: DataFrame, segments: DataFrame, key: str, size: float) -> Da
     d = F.sqrt((F.col("px") - qx) ** 2 + (F.col("py") - qy) ** 2)
     side = F.signum(dx * (F.col("py") - F.col("ay")) - dy * (F.col("px") - F.col("ax")))
     best = F.min(F.struct(F.round(d, 9).alias("d"), "seg", (F.col("s0") + F.col("_t") * F.col("_l")).alias("along"), (side * d).alias("cross")))
-    return pairs.groupBy(key).agg(best.alias("b")).select(key, "b.seg", "b.along", "b.cross")
+    return pairs.where(d <= size).groupBy(key).agg(best.alias("b")).select(key, "b.seg", "b.along", "b.cross")
 
 
 def thinned(df: DataFrame, by: str, order: str, x: str, y: str, least: float) -> DataFrame:
