@@ -98,10 +98,14 @@ def drive_physics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("run", "seq", F.round(force, 8).alias("force"))
 
 
-@query(f"""WITH {S}, h AS (SELECT run, sha256(string_agg(topic || ':' || CAST(us AS VARCHAR) || ':' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY seq)) AS hash, count(*) AS n FROM s GROUP BY run) SELECT run, hash, n, min(run) OVER (PARTITION BY hash) AS canonical FROM h""")
+@query(f"""WITH {S}, d AS (SELECT run, us // 86400000000 AS day, sha256(string_agg(topic || ':' || CAST(us AS VARCHAR) || ':' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY seq)) AS h, count(*) AS n FROM s GROUP BY 1, 2),
+h AS (SELECT run, sha256(string_agg(h, '|' ORDER BY day)) AS hash, sum(n)::BIGINT AS n FROM d GROUP BY run) SELECT run, hash, n, min(run) OVER (PARTITION BY hash) AS canonical FROM h""")
 def run_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of a run is that of its days' hashes, so a long run is gathered a day at a time."""
     part = F.concat_ws(":", "topic", F.col("us").cast("string"), F.round(F.col("value") * 100).cast("long").cast("string"))
-    g = series(spark, sf_dir).groupBy("run").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("p")))), lambda x: x["p"]), "|"), 256).alias("hash"), F.count("*").alias("n"))
+    joined = lambda order, x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, x.alias("p")))), lambda r: r["p"]), "|"), 256)
+    days = series(spark, sf_dir).groupBy("run", F.floor(F.col("us") / DAY).alias("day")).agg(joined("seq", part).alias("h"), F.count("*").alias("n"))
+    g = days.groupBy("run").agg(joined("day", F.col("h")).alias("hash"), F.sum("n").alias("n"))
     return g.withColumn("canonical", F.min("run").over(Window.partitionBy("hash")))
 
 
@@ -212,8 +216,9 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_extendedprice") / 1000).alias("y"), fold.alias("fold"))
     f = d.groupBy("g", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("q"))
     g, one = Window.partitionBy("g"), Window.partitionBy("fold")
-    total = f.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    f = f.withColumn("own", (F.sum("s").over(g) - F.col("s")) / (F.sum("n").over(g) - F.col("n"))).withColumns({"fs": F.sum("s").over(one), "fn": F.sum("n").over(one)}).join(F.broadcast(total))  # one row joins some
+    all_ = Window.partitionBy(F.lit(1))  # a row for each group and fold
+    f = f.withColumn("own", (F.sum("s").over(g) - F.col("s")) / (F.sum("n").over(g) - F.col("n")))
+    f = f.withColumns({"fs": F.sum("s").over(one), "fn": F.sum("n").over(one), "ts": F.sum("s").over(all_), "tn": F.sum("n").over(all_)})
     f = f.withColumn("shared", (F.col("ts") - F.col("fs")) / (F.col("tn") - F.col("fn")))
     square = lambda m: F.sqrt(F.sum(F.col("q") - 2 * F.col(m) * F.col("s") + F.col("n") * F.col(m) * F.col(m)) / F.sum("n"))
     return f.groupBy("g").agg(F.sum("n").alias("n"), F.round(square("own"), 6).alias("own"), F.round(square("shared"), 6).alias("shared"))

@@ -17,13 +17,13 @@ QUERIES, SQL = {}, {}
 S = "s AS (SELECT user_id AS run, event_type AS topic, event_id AS seq, epoch_us(ts) AS us, value FROM events)"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name; sql may use the series s."""
+def query(sql: str | None = None, on_series: bool = True):
+    """Register a query under its function's name; its SQL may use the series s, and name further tables after a comma."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {S}{',' if sql.lstrip().startswith(',') else ''} {sql.lstrip().lstrip(',')}" if not sql.lstrip().startswith("RAW") else sql.lstrip()[3:]
+            SQL[f.__name__] = f"WITH {S}{sql}" if on_series and sql.startswith(",") else f"WITH {S} {sql}" if on_series else sql
         return f
 
     return add
@@ -370,8 +370,8 @@ def coverage_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pairs(spark, sf_dir)
     g = d.groupBy(stats.phase(F.col("ref") * 0.04, F.col("est") - 50).alias("phase")).agg(F.count("*").alias("_n"), *stats.error_stats(F.col("e")))
-    total = g.agg(F.sum("_n").alias("_total"))
-    return g.join(F.broadcast(total)).withColumn("share", F.round(F.col("_n") / F.col("_total"), 6)).drop("_n", "_total")  # one row joins some
+    # four rows at most are summed
+    return g.withColumn("share", F.round(F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1))), 6)).drop("_n")
 
 
 PER_RUN = PAIRS + ", r AS (SELECT run, count(e) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, CASE WHEN count(e) > 10 THEN max(abs(e)) END AS worst FROM p GROUP BY run)"
@@ -411,7 +411,7 @@ def packed_histogram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.merged_histogram(packed, "packed")
 
 
-@query("RAWSELECT CAST(floor(l_quantity / 10) AS BIGINT) AS xbin, CAST(floor(l_discount * 50) AS BIGINT) AS ybin, count(l_extendedprice) AS n, CASE WHEN count(l_extendedprice) >= 200 THEN round(quantile_cont(l_extendedprice, 0.5), 6) END AS median FROM lineitem GROUP BY 1, 2")
+@query("SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS xbin, CAST(floor(l_discount * 50) AS BIGINT) AS ybin, count(l_extendedprice) AS n, CASE WHEN count(l_extendedprice) >= 200 THEN round(quantile_cont(l_extendedprice, 0.5), 6) END AS median FROM lineitem GROUP BY 1, 2", on_series=False)
 def binned_median_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.binned_median(table(spark, sf_dir, "lineitem"), F.floor(F.col("l_quantity") / 10), F.floor(F.col("l_discount") * 50), "l_extendedprice", 200)
 

@@ -135,8 +135,7 @@ SELECT run, seq, round(w, 3) AS wrapped, round(x - first_value(x - w) OVER (PART
 def wrap_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("run").orderBy("seq")
     d = series(spark, sf_dir).withColumn("x", F.sum(F.col("value") * 500).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("w", geo.wrapped(F.col("x")))
-    turns = -F.round((F.col("w") - F.lag("w").over(w)) / 100_000)
-    # a step is below half a wrap where the source moves less than that; the values here can exceed it, so steps carry their own size
+    # a step here can exceed half a wrap, so the turns are counted against its own size
     step = F.col("value") * 500
     turns = F.coalesce(F.round((step - (F.col("w") - F.lag("w").over(w))) / 100_000), F.lit(0.0))
     d = d.withColumn("turns", turns).withColumn("unwrapped", F.col("w") + 100_000 * F.sum("turns").over(w.rowsBetween(Window.unboundedPreceding, 0)))
