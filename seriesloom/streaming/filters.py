@@ -57,7 +57,7 @@ class SigmaFilter:
 def sigma_filtered(df: DataFrame, dt: float = 1.0, noise: float = 100.0) -> DataFrame:
     """run, seq, speed, rate, used: a two-state filter (value and its rate, which saturates) over each run."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         flt = SigmaFilter(lambda x, _: np.array([x[0] + dt * 20 * np.tanh(x[1] / 20), 0.9 * x[1]]), np.array([50.0, 0.0]), np.diag([2500.0, 25.0]), np.diag([25.0, 4.0]))
         out = []

@@ -96,7 +96,7 @@ def _rows(run, pdf: pd.DataFrame, s: State, c: Settings) -> pd.DataFrame:
 def in_batch(df: DataFrame, settings: Settings) -> DataFrame:
     """Rows of OUT for messages (run, topic, seq, us, value); a run is one task."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _rows(key[0], pdf.sort_values("seq"), State(), settings)
 
     return df.groupBy("run").applyInPandas(run, OUT)
@@ -118,7 +118,7 @@ def in_stream(df: DataFrame, settings: Settings) -> DataFrame:
 def smoothed(df: DataFrame, settings: Settings) -> DataFrame:
     """run, seq, speed, variance: a one-dimensional Kalman filter over each run's values in order."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, p, out = 0.0, 1e4, []
         pdf = pdf.sort_values("seq")
         for v in pdf["value"]:
