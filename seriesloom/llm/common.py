@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders that this process has made.
+ROOTS: list[str] = []
+
+
+@lru_cache(1)
+def local_base() -> str:
+    """A temporary folder for sessions without a shared one; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="seriesloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 class Scratch:
     """Intermediate Parquet tables in the folder that all executors share.
 
@@ -24,10 +39,9 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or local_base()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,9 +52,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(self.spark, self.path(name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch folders of this process, once no result that reads them is needed."""
+    while ROOTS:
+        remove(spark, ROOTS.pop())
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
@@ -96,6 +119,14 @@ class RangeHash:
         return mix64(part + (end - start).astype(np.uint64))
 
 
+    def rolling(self, k: int) -> np.ndarray:
+        """Hashes of all ranges of k bytes; the same as of the ranges one by one."""
+        part = self.sums[k:] - self.sums[:-k]
+        part *= RangeHash._inv[: len(part)]
+        part += np.uint64(k)
+        return mix64(part)
+
+
 #: White space of the word rule [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
