@@ -35,7 +35,8 @@ CHUNK, OVERLAP = 32768, 1024
 #: A boundary this close to a chunk's end may move once more text is seen.
 MARGIN = 4
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: ids are little-endian unsigned 32-bit integers, end to end.
+ENCODED = "doc_id long, ids binary"
 
 
 class Codec:
@@ -86,12 +87,15 @@ def stitch(tail: list[int], head: list[int], low: int, high: int) -> int:
 def _short(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            ids = c.encode(text or "")
-            out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-        n, ids_hash, back_hash = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids = [np.array(c.encode(text or ""), "<u4").tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+
+def _decode(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    c = codec(path, pattern)
+    for batch in batches:
+        raw = [c.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 CHUNKS = "text_key binary, doc_id long, chunk_no int, start long, n_chars long, text string"
@@ -151,29 +155,23 @@ def _encode(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Itera
         yield put(out)
 
 
-def _digest(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by text and chunk; hashes are fed chunk by chunk."""
-    c = codec(path, pattern)
-    now, out = None, []
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by text and chunk; the ids of a text are put end to end."""
+    now, parts = None, []
 
-    def done():
-        _, doc_id, copies, n, a, b = now
-        out.extend([(doc_id, n, a.hexdigest(), b.hexdigest())] * copies)
+    def put():
+        doc_id, copies = now[1:]
+        return pa.RecordBatch.from_arrays([pa.array([doc_id] * copies, pa.int64()), pa.array([b"".join(parts)] * copies, pa.binary())], ["doc_id", "ids"])
 
     for batch in batches:
-        for key, doc_id, copies, raw in zip(*(batch.column(x).to_pylist() for x in ("text_key", "doc_id", "copies", "ids")), strict=True):
+        for key, doc_id, copies, ids in zip(*(batch.column(x).to_pylist() for x in ("text_key", "doc_id", "copies", "ids")), strict=True):
             if now is None or now[0] != key:
                 if now is not None:
-                    done()
-                now = [key, doc_id, copies, 0, hashlib.sha256(), hashlib.sha256()]
-            now[3] += len(raw) // 4
-            now[4].update(raw)
-            now[5].update(c.decode(np.frombuffer(raw, "<u4").tolist()))
+                    yield put()
+                now, parts = (key, doc_id, copies), []
+            parts.append(ids)
     if now is not None:
-        done()
-    if out:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield put()
 
 
 def encode_chunks(long_docs: DataFrame, path: str, pattern: str, scratch: Scratch, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -203,11 +201,22 @@ def encode_chunks(long_docs: DataFrame, path: str, pattern: str, scratch: Scratc
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text)."""
+    """doc_id, ids of every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "bpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = rows.where(~is_long).mapInArrow(lambda it: _short(path, pattern, it), DIGEST)
+    short = rows.where(~is_long).mapInArrow(lambda it: _short(path, pattern, it), ENCODED)
     parts = encode_chunks(rows.where(is_long), path, pattern, scratch, chunk, overlap)
     ordered = parts.repartition("text_key").sortWithinPartitions("text_key", "chunk_no")
-    return short.unionByName(ordered.mapInArrow(lambda it: _digest(path, pattern, it), DIGEST))
+    return short.unionByName(ordered.mapInArrow(_join, ENCODED))
+
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded (raw bytes) of every row of encoded (doc_id, ids)."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decode(path, pattern, it), f"{ENCODED}, decoded binary")
+
+
+def digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    n = (F.length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

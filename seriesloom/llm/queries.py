@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .bpe import encode_documents
+from .bpe import decode_documents, digests, encode_documents
 from .common import Scratch, table
 from .html import extract_text
 from .jaccard import similar_groups
@@ -33,7 +34,8 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN)
+    vocabulary = public_tokenizers.path(BPE), public_tokenizers.PATTERN
+    return digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents"))
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return cut.select("doc_id", "n_bytes", removed, F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ nothing; each row is returned; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +40,17 @@ from .suffixes import suffix_order
 
 LENGTH, ANCHOR = 50, 24
 CROWDED = 16_384
-#: Bytes hashed at once; bytes of text of which suffixes are sorted together.
-SLICE, SORTED = 1 << 20, 64 << 10
+#: Bytes hashed at once; bytes of text of which suffixes are sorted together (lists that fit a core's cache).
+SLICE, SORTED = 1 << 20, 24 << 10
 #: Entries that a task holds before it deals them out.
 HELD = 600_000
 
 ENTRY = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("size", "u1"), ("at", "u1")])
 
 
-def tag_of(text: bytes) -> int:
-    """Tells rows of one doc_id with different texts apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
+def tag_of(text: bytes, tagged: bool) -> int:
+    """Tells rows of one doc_id with different texts apart; 0 where no doc_id repeats."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") if tagged else 0
 
 
 def pieces_of(docs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -62,20 +62,19 @@ def pieces_of(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     if n < span:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     hashed = RangeHash(buf)
-    at = np.arange(n)
-    gram = hashed(at, at + ANCHOR)
+    gram = hashed.rolling(ANCHOR)
     low = np.uint64((1 << 24) - 1)
-    least = (gram & ~low) | at.astype(np.uint64)  # the leftmost of equal hashes is the least
+    least = (gram & ~low) | np.arange(n, dtype=np.uint64)  # the leftmost of equal hashes is the least
     step = 1
     while 2 * step <= span:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if rest := span - step:
         least = np.minimum(least[:-rest], least[rest:])
-    start = np.arange(len(least))
-    doc = np.searchsorted(begin, start, "right") - 1
-    inside = start + LENGTH <= end[doc]
-    start, doc, anchor = start[inside], doc[inside], (least[inside] & low).astype(np.int64)
+    sizes = end - begin + 1
+    room = np.repeat(end, sizes)[: len(least)]
+    start = np.flatnonzero(room - np.arange(len(least)) >= LENGTH)
+    doc, anchor = np.repeat(np.arange(len(docs)), sizes)[start], (least[start] & low).astype(np.int64)
     if not len(start):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
@@ -83,20 +82,20 @@ def pieces_of(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[first], a - begin[doc[first]], b - begin[doc[first]], gram[anchor[first]], hashed(a, b), anchor[first] - a
 
 
-def _segments(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes], list[int], list[int]]]:
+def _segments(ids: list, texts: list[bytes], tagged: bool) -> Iterator[tuple[list, list[bytes], list[int], list[int]]]:
     """Slices of texts; a very long text comes in segments that overlap by a window less one byte."""
     for a, b in slices([len(t) for t in texts], SLICE):
         if b - a == 1 and len(texts[a]) > 2 * SLICE:
             for s in range(0, len(texts[a]), SLICE):
-                yield [ids[a]], [texts[a][s : s + SLICE + LENGTH - 1]], [tag_of(texts[a])], [s]
+                yield [ids[a]], [texts[a][s : s + SLICE + LENGTH - 1]], [tag_of(texts[a], tagged)], [s]
         else:
-            yield ids[a:b], texts[a:b], [tag_of(t) for t in texts[a:b]], [0] * (b - a)
+            yield ids[a:b], texts[a:b], [tag_of(t, tagged) for t in texts[a:b]], [0] * (b - a)
 
 
-def _entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _entries(batch: pa.RecordBatch, tagged: bool) -> Iterator[np.ndarray]:
     ids, texts = batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text"))
     known = [i for i, x in enumerate(ids) if x is not None and len(texts[i]) >= LENGTH]
-    for own, docs, tags, shift in _segments([ids[i] for i in known], [texts[i] for i in known]):
+    for own, docs, tags, shift in _segments([ids[i] for i in known], [texts[i] for i in known], tagged):
         doc, start, end, anchor, piece, at = pieces_of(docs)
         out = np.empty(len(doc), ENTRY)
         out["anchor"], out["piece"], out["at"] = anchor, piece, at
@@ -106,10 +105,11 @@ def _entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def pack(e: np.ndarray) -> bytes:
-    """Entries column by column, documents as differences; 40 bits of the anchor and 48 of the piece."""
-    short = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-    step = lambda x, t: np.diff(x.astype(t), prepend=np.zeros(1, t)).tobytes()
-    return b"".join([len(e).to_bytes(4, "little"), short(e["anchor"] >> np.uint64(24), 5), short(e["piece"], 6), step(e["doc"], "<i8"), step(e["tag"], "<u4"), e["start"].tobytes(), e["size"].tobytes(), e["at"].tobytes()])
+    """Entries byte plane by byte plane, which lets the shuffle press the empty ones;
+    documents as differences; 40 bits of the anchor and 48 of the piece."""
+    planes = lambda x, n: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+    step = np.diff(e["doc"], prepend=np.zeros(1, np.int64))
+    return b"".join([len(e).to_bytes(4, "little"), planes(e["anchor"] >> np.uint64(24), 5), planes(e["piece"], 6), planes(step, 8), planes(e["tag"], 4), planes(e["start"], 4), planes(e["size"], 1), planes(e["at"], 1)])
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -122,13 +122,11 @@ def unpack(blob: bytes) -> np.ndarray:
         at += width * n
         return part
 
-    for name, width in (("anchor", 5), ("piece", 6)):
+    for name, width in (("anchor", 5), ("piece", 6), ("doc", 8), ("tag", 4), ("start", 4), ("size", 1), ("at", 1)):
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(take(width), np.uint8).reshape(n, width)
-        out[name] = wide.view("<u8")[:, 0]
-    out["doc"] = np.cumsum(np.frombuffer(take(8), "<i8"))
-    out["tag"] = np.cumsum(np.frombuffer(take(4), "<u4"), dtype=np.uint32)
-    out["start"], out["size"], out["at"] = np.frombuffer(take(4), "<i4"), np.frombuffer(take(1), np.uint8), np.frombuffer(take(1), np.uint8)
+        wide[:, :width] = np.frombuffer(take(width), np.uint8).reshape(width, n).T
+        x = wide.view("<u8")[:, 0]
+        out[name] = np.cumsum(x.view(np.int64)) if name == "doc" else x
     return out
 
 
@@ -151,7 +149,7 @@ HOME = 1 << 14
 LISTS = "near long, kind int, data binary"
 
 
-def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(parts: int, tagged: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: entries packed for a part; kind 1: pieces that this task has found in a smaller document."""
 
     def flush(held, number):
@@ -173,7 +171,7 @@ def _deal(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     held, n, number = [], 0, 0
     for batch in batches:
-        for e in _entries(batch):
+        for e in _entries(batch, tagged):
             if len(e):
                 held.append(e)
                 n += len(e)
@@ -246,7 +244,7 @@ def _meet(crowded: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield from out(0)
 
 
-def _listed(form: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _listed(form: np.dtype, tagged: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """doc_id, text and own entries, in lots, from rows sorted by near and side: lists (side 0), then documents."""
     near, lists, parts = None, [], {}
     for batch in batches:
@@ -263,15 +261,15 @@ def _listed(form: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[list[
                 cuts = np.flatnonzero(np.concatenate([[True], (e["doc"][1:] != e["doc"][:-1]) | (e["tag"][1:] != e["tag"][:-1]), [True]]))
                 parts = {(int(e["doc"][a]), int(e["tag"][a])): e[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
                 lists = []
-            rows.append((doc, text, parts.get((doc, tag_of(text))) if parts else None))
+            rows.append((doc, text, parts.get((doc, tag_of(text, tagged))) if parts else None))
         yield rows
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(tagged: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of the pieces that a document is asked for."""
     names = ["home", "spot", "doc", "tag", "start", "text", "at"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
-    for lot in _listed(REQUEST, batches):
+    for lot in _listed(REQUEST, tagged, batches):
         rows = [(home, spot, doc, tag, start, text[start : start + size], at) for _, text, own in lot if own is not None for doc, tag, start, size, at, home, spot in own.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
 
@@ -283,15 +281,24 @@ def shared_windows(docs: list[int], texts: list[bytes]) -> list[np.ndarray]:
     begin = ends - sizes
     symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + 1
     symbols[ends] = 0
-    order = np.array(suffix_order(symbols.tolist()))
+    collects = gc.isenabled()
+    gc.disable()  # a million small lists and no cycles
+    try:
+        order = np.array(suffix_order(symbols.tolist()))
+    finally:
+        if collects:
+            gc.enable()
     owner = np.searchsorted(begin, order, "right") - 1
     full = order - begin[owner] + LENGTH <= sizes[owner]
     order, owner = order[full], owner[full]
-    rows = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)
+    hashed = RangeHash((symbols & 255).astype(np.uint8))(order, order + LENGTH)
     same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 20_000):
-        b = min(len(order), a + 20_000)
-        same[a:b] = (rows[order[a:b]] == rows[order[a - 1 : b - 1]]).all(1)
+    same[1:] = hashed[1:] == hashed[:-1]
+    rows = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH) if len(order) else None
+    at = np.flatnonzero(same)
+    for a in range(0, len(at), 20_000):  # equal hashes are compared by bytes
+        k = at[a : a + 20_000]
+        same[k] = (rows[order[k]] == rows[order[k - 1]]).all(1)
     run = np.cumsum(~same) - 1
     doc = np.array(docs, np.int64)[owner]
     least = np.minimum.reduceat(doc, np.flatnonzero(~same)) if len(doc) else doc
@@ -303,12 +310,20 @@ def shared_windows(docs: list[int], texts: list[bytes]) -> list[np.ndarray]:
 
 
 def with_company(group: list[list]) -> list[list]:
-    """The pieces of one anchor that can share a window with another: a window holds the
-    anchor and at least half of its other bytes before or behind it."""
+    """The pieces of one anchor that can share a window with a piece of another document: a
+    window holds the anchor and at least half of its other bytes before or behind it."""
     half = (LENGTH - ANCHOR) // 2
-    sides = [(t[at - half : at + ANCHOR] if at >= half else None, t[at : at + ANCHOR + half] if at + ANCHOR + half <= len(t) else None) for *_, t, at in group]
-    before, behind = (Counter(x) for x in zip(*sides, strict=True))
-    return [r for r, (a, b) in zip(group, sides, strict=True) if (a and before[a] > 1) or (b and behind[b] > 1)]
+    seen: dict[tuple, int | None] = {}
+    sides = []
+    for doc, _, _, t, at in group:
+        own = [(0, t[at - half : at + ANCHOR])] if at >= half else []
+        if at + ANCHOR + half <= len(t):
+            own.append((1, t[at : at + ANCHOR + half]))
+        sides.append(own)
+        for k in own:
+            if seen.setdefault(k, doc) != doc:
+                seen[k] = None  # of several documents
+    return [r for r, own in zip(group, sides, strict=True) if any(seen[k] is None for k in own)]
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +336,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows += (more := with_company(group))
                     held += sum(len(r[3]) for r in more)
                     group = []
-                if held > 4 * SORTED:
+                if held > SORTED:
                     yield _spans(rows)
                     rows, held = [], 0
                 anchor = (home, spot)
@@ -362,7 +377,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["window", "doc", "tag", "start"])
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
 
 
 def runs_of(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,16 +388,15 @@ def runs_of(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return spans["start"][first].astype(np.int64), reach[np.append(np.flatnonzero(first)[1:], len(spans)) - 1]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(tagged: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.int64)
-    for lot in _listed(SPAN, batches):
-        rows = []
-        for doc, text, own in lot:
-            begin, end = runs_of(own) if own is not None else (none, none)
-            keep = b"".join(text[a:b] for a, b in zip([0, *end], [*begin, len(text)], strict=True))
-            rows.append((doc, len(text), len(text) - len(keep), len(begin), hashlib.sha256(keep).hexdigest()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for lot in _listed(SPAN, tagged, batches):
+        runs = [runs_of(own) if own is not None else (none, none) for *_, own in lot]
+        kept = [b"".join(text[a:b] for a, b in zip([0, *end], [*begin, len(text)], strict=True)) if len(begin) else text for (_, text, _), (begin, end) in zip(lot, runs, strict=True)]
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *(r[k] for r in runs)])) for k in (0, 1)], ["start", "end"])
+        removed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])]), pa.int32()), flat)
+        doc, size = pa.array([x[0] for x in lot], pa.int64()), pa.array([len(x[1]) for x in lot], pa.int64())
+        yield pa.RecordBatch.from_arrays([doc, size, removed, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
 def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -394,18 +408,18 @@ def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return a.unionByName(b).repartition("near").sortWithinPartitions("near", "side")
 
 
-def covered_spans(docs: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> DataFrame:
+def covered_spans(docs: DataFrame, scratch: Scratch, crowded: int = CROWDED, tagged: bool = True) -> DataFrame:
     """near, data: spans to remove, as lists of entries; a group of near documents may have several."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(lambda it: _deal(parts, it), PARTS).repartition("part").sortWithinPartitions("part")
+    dealt = docs.mapInArrow(lambda it: _deal(parts, tagged, it), PARTS).repartition("part").sortWithinPartitions("part")
     met = scratch.keep(dealt.mapInArrow(lambda it: _meet(crowded, it), LISTS), "met")
     spans = met.where("kind = 0").select("near", "data")
     texts = "home long, spot int, doc long, tag long, start int, text binary, at int"
-    asked = with_lists(docs, met.where("kind = 1")).mapInArrow(_texts, texts)
+    asked = with_lists(docs, met.where("kind = 1")).mapInArrow(lambda it: _texts(tagged, it), texts)
     ordered = asked.repartition("home").sortWithinPartitions("home", "spot")
     spans = spans.unionByName(ordered.mapInArrow(_sort, LISTS).select("near", "data"))
     if not (many := met.where("kind = 2")).isEmpty():
-        windows = scratch.keep(with_lists(docs, many).mapInArrow(_texts, texts).mapInArrow(_windows, "window binary, doc long, tag long, start long"), "windows")
+        windows = scratch.keep(with_lists(docs, many).mapInArrow(lambda it: _texts(tagged, it), texts).mapInArrow(_windows, "window binary, doc long, tag long, start long"), "windows")
         least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
         hit = windows.join(least, "window").where("doc > least")
         spans = spans.unionByName(hit.select("doc", "tag", "start").mapInArrow(_as_list, LISTS).select("near", "data"))
@@ -422,7 +436,8 @@ def _as_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, removed (maximal runs of bytes: start, end) and kept (the remaining bytes) of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = covered_spans(rows, Scratch(docs.sparkSession, "repeats"), crowded)
-    return with_lists(rows, spans).mapInArrow(_cut, RESULT)
+    tagged = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    spans = covered_spans(rows, Scratch(docs.sparkSession, "repeats"), crowded, tagged)
+    return with_lists(rows, spans).mapInArrow(lambda it: _cut(tagged, it), RESULT)

@@ -17,53 +17,50 @@ def suffix_order(text: list[int] | bytes) -> list[int]:
     n = len(text)
     symbols = sorted(set(text))
     rank = {c: k for k, c in enumerate(symbols)}
-    # a doubly linked list of groups; a group's stale members are those that have moved up
-    members: list[list[int] | None] = [[] for _ in symbols]
+    # a doubly linked list of groups; a group of one suffix is that suffix; stale members have moved up
+    members: list[list[int] | int] = [[] for _ in symbols]
     lower = list(range(-1, len(symbols) - 1))
     upper = [*range(1, len(symbols)), -1]
     group = [rank[c] for c in text]
     for i, g in enumerate(group):
         members[g].append(i)
-    place = [0] * len(symbols)  # where a processed group begins in the order
+    begins: list[tuple[int, int]] = []  # the processed groups and where each begins in the order
     done = bytearray(n + 1)  # the last one stands for the place before the text, index -1, and stays 0
     before = [-1] * n  # previous smaller suffix
+    new = len(symbols)
 
-    def put_above(h: int, moved: list[int]) -> None:
-        new = len(members)
-        members.append(moved)
-        place.append(0)
-        for j in moved:
-            group[j] = new
+    def put_above(h: int) -> None:
+        """The next group stands directly above h."""
         a = upper[h]
         lower.append(h)
         upper.append(a)
-        upper[h] = new
-        lower[a] = new
+        upper[h] = lower[a] = new
 
     g, end = len(symbols) - 1, n
     while g >= 0:
         own = members[g]
-        members[g] = None
-        if len(own) == 1:
-            i = own[0]
-            if group[i] == g:
+        if type(own) is int:
+            if group[own] == g:
                 end -= 1
-                place[g] = end
-                done[i] = 1
-                j = i - 1
+                begins.append((g, end))
+                done[own] = 1
+                j = own - 1
                 while done[j]:
                     j = before[j]
-                before[i] = j
+                before[own] = j
                 if j >= 0:
-                    put_above(group[j], [j])
+                    put_above(group[j])
+                    members.append(j)
+                    group[j] = new
+                    new += 1
             g = lower[g]
             continue
-        own = [i for i in own if group[i] == g]
+        own = sorted(i for i in own if group[i] == g)
+        members[g] = 0
         end -= len(own)
-        place[g] = end
+        begins.append((g, end))
         for i in own:
             done[i] = 1
-        own.sort()
         found: dict[int, int] = {}
         for i in own:
             j = i - 1
@@ -76,9 +73,17 @@ def suffix_order(text: list[int] | bytes) -> list[int]:
         for j, k in found.items():
             moves.setdefault((k, group[j]), []).append(j)
         for k, h in sorted(moves, reverse=True):  # smaller counts then come between
-            put_above(h, moves[k, h])
+            put_above(h)
+            moved = moves[k, h]
+            members.append(moved if len(moved) > 1 else moved[0])
+            for j in moved:
+                group[j] = new
+            new += 1
         g = lower[g]
 
+    place = [0] * new
+    for g, begin in begins:
+        place[g] = begin
     order, put = [0] * n, bytearray(n + 1)
     put[n] = 1  # index -1
     j, r = n - 1, 0  # the empty suffix comes first of all

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 
-from seriesloom.llm.bpe import codec, encode_documents
+from seriesloom.llm.bpe import codec, decode_documents, digests, encode_documents
 
 PATH, PATTERN = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
@@ -24,7 +24,9 @@ def test_chunks_stitch_to_the_whole_text(spark):
     texts += ["漢" * 400, "same text " * 30, "same text " * 30]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(5, texts[5], 2), (70, texts[69], 3), (None, "null id " * 40, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
-    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_documents(docs, PATH, PATTERN, chunk=64, overlap=24).collect())
+    back = decode_documents(encode_documents(docs, PATH, PATTERN, chunk=64, overlap=24), PATH, PATTERN)
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests(back).collect())
+    assert {bytes(r.decoded).decode() for r in back.collect()} == {t or "" for _, t, _ in rows}
     assert got == sorted((str(i), *expected(t)) for i, t, _ in rows)
 
 

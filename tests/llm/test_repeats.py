@@ -18,6 +18,10 @@ def test_suffix_order():
     assert suffix_order([]) == [] and suffix_order(b"a" * 3000) == list(range(2999, -1, -1))
 
 
+def digest(df):
+    return sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in df.collect()), key=str)
+
+
 def brute(rows):
     first = {}
     for i, t in rows:
@@ -58,8 +62,15 @@ def test_removal(spark, crowded):
     rows = make(crowded)
     random.Random(9).shuffle(rows)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(3)
-    got = sorted((tuple(r) for r in cut_repeats(docs, crowded).collect()), key=str)
-    assert got == brute(rows)
+    cut = cut_repeats(docs, crowded)
+    assert digest(cut) == brute(rows)
+    assert all(sum(s.end - s.start for s in r.removed) == r.n_bytes - len(r.kept) for r in cut.collect())
+
+
+def test_unique_ids(spark):
+    rows = list(dict(r for r in make(1) if r[0] is not None).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert digest(cut_repeats(docs)) == brute(rows)
 
 
 def test_empty(spark):
