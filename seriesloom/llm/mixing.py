@@ -79,15 +79,20 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict | float], sc
     return df.withColumn("w", F.col("w") * F.lit(total)).drop(*(f"_t_{d}" for d in dims))
 
 
-def with_rates(docs: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """docs with _topic, _tokens, _p and _drawn.
+def described(docs: DataFrame) -> DataFrame:
+    """docs with _tokens and _topic."""
+    df = docs.withColumn("_tokens", token_count(F.col("text")))
+    return df.withColumn("_topic", text_topic(F.col("text"), F.col("_tokens")))
+
+
+def with_rates(df: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
+    """Described documents with _p and _drawn.
 
     _p is fitted over observed tokens of the document's cell, scaled so that
     the sample expects the share `keep` of all tokens, and at most 1.
     """
     dims = ["source", "lang", "_topic"]
-    df = docs.withColumn("_tokens", token_count(F.col("text"))).withColumn("_topic", text_topic(F.col("text"), F.col("_tokens")))
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = Scratch(df.sparkSession, "mixing")
     cells = scratch.keep(df.groupBy(*dims).agg(F.sum("_tokens").alias("tokens")), "cells")
     fitted = rake(cells, dims, {"source": targets["source"], "lang": targets["lang"], "_topic": targets["topic"]}, scratch, rounds)
     rates = fitted.select(*(F.col(d).alias(f"c_{d}") for d in dims), F.least(F.lit(1.0), F.lit(float(keep)) * F.col("w") / F.col("tokens")).alias("_p"))
@@ -100,12 +105,14 @@ def with_rates(docs: DataFrame, targets: dict[str, dict | float], keep: float =
 def sample_mix(docs: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """The sampled rows of docs, with its columns."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # names of other columns cannot clash
-    return with_rates(docs.select(whole, "doc_id", "text", "source", "lang"), targets, keep, rounds, seed).where("_drawn").select("_row.*")
+    return with_rates(described(docs.select(whole, "doc_id", "text", "source", "lang")), targets, keep, rounds, seed).where("_drawn").select("_row.*")
 
 
 def mixing_rates(docs: DataFrame, targets: dict[str, dict | float], keep: float = 0.5, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, p, sampled of every row of docs."""
-    df = with_rates(docs.select("doc_id", "text", "source", "lang"), targets, keep, rounds, seed)
+    small = described(docs.select("doc_id", "text", "source", "lang")).drop("text")
+    # written once, so that texts are read once
+    df = with_rates(Scratch(docs.sparkSession, "described").keep(small, "docs"), targets, keep, rounds, seed)
     return df.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_p", 9).alias("p"), F.col("_drawn").alias("sampled"))
 
 
