@@ -29,9 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-DEGREE, MEET, PIVOTS, CHUNK = 14, 28, 256, 256
-BEAM, EXPAND = 64, 12
-ROUNDS, STEPS = 6, 24
+DEGREE, MEET, CHUNK = 24, 48, 512
+#: Pivots: one for so many nodes, but never more than the bound (half a MB of vectors of 64 numbers); each node joins the chunks of NEAR of them.
+PIVOT_SHARE, PIVOTS, NEAR = 40, 1024, 8
+BEAM, EXPAND = 384, 48
+ROUNDS, STEPS = 5, 32
+#: Queries up to this many are broadcast with their vectors; more are joined by a shuffle.
+BROADCAST_QUERIES = 20_000
 #: Descent ends when fewer edges than this share are new.
 SETTLED = 0.02
 
@@ -52,15 +56,15 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "key", "vec", "dim"])
 
 
-def vectors(column) -> np.ndarray:
-    """Rows of a binary column of float64 vectors of one length."""
+def vectors(column, kind=np.float64) -> np.ndarray:
+    """Rows of a binary column of vectors of one length."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 0))
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1) if raw else np.zeros((0, 0))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(d, 0))
+    return np.sqrt(np.maximum(d, 0)).astype(np.float64)
 
 
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
@@ -70,7 +74,8 @@ def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
 
 
 class Index:
-    """nodes (node, vec), members (node, vec_id), edges (node, nbr, d), pivots."""
+    """nodes (node, vec), members (node, vec_id), edges (node, nbr, d), pivots.  The descent uses
+    32-bit vectors; what a search returns is measured on the original ones."""
 
     def __init__(self, nodes: DataFrame, members: DataFrame, edges: DataFrame, pivots: list):
         self.nodes, self.members, self.edges, self.pivots = nodes, members, edges, pivots
@@ -82,8 +87,9 @@ def _to_pivots(centres: np.ndarray, near: int):
             x = vectors(batch.column("vec"))
             if len(x):
                 best = np.argsort(distances(x, centres), 1)[:, :near]
+                short = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
                 for j in range(best.shape[1]):
-                    yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec"), pa.array(best[:, j].astype(np.int32))], ["node", "vec", "pivot"])
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), short, pa.array(best[:, j].astype(np.int32))], ["node", "short", "pivot"])
 
     return run
 
@@ -117,7 +123,7 @@ def _as_edges(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Recor
 
 def _chunk_edges(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _grouped(batches, ["pivot", "part"]):
-        ids, x = t.column("node").to_numpy(), vectors(t.column("vec"))
+        ids, x = t.column("node").to_numpy(), vectors(t.column("short"), np.float32)
         for a in range(0, len(ids), 4 * CHUNK):  # a chunk is random in size
             own, y = ids[a : a + 4 * CHUNK], x[a : a + 4 * CHUNK]
             if len(own) > 1:
@@ -131,7 +137,7 @@ def _introduce(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """At each centre: pairs of its guests, one of them new, that are nearer than their worst neighbours."""
     out, held = [], 0
     for t in _grouped(batches, ["centre"]):
-        ids, x = t.column("guest").to_numpy(), vectors(t.column("vec"))
+        ids, x = t.column("guest").to_numpy(), vectors(t.column("short"), np.float32)
         new, worst = t.column("fresh").to_numpy(), t.column("worst").to_numpy()
         d = distances(x, x)
         d[~(new[:, None] | new[None, :])] = np.inf
@@ -163,10 +169,12 @@ def build_index(vectors_: DataFrame, scratch: Scratch, degree: int = DEGREE, kee
     if nodes.isEmpty():
         return Index(nodes, members, clean.sparkSession.createDataFrame([], EDGES), [])
 
-    # pivots: those with the smallest hashes, a sample of fixed size
+    # pivots: those with the smallest hashes, a sample of bounded size
+    pivots = max(1, min(pivots, nodes.count() // PIVOT_SHARE))
     centres = nodes.orderBy(F.xxhash64("node"), "node").limit(pivots).collect()
     spots = np.frombuffer(b"".join(bytes(r.vec) for r in centres), np.float64).reshape(len(centres), -1)
-    near = scratch.keep(nodes.mapInArrow(_to_pivots(spots, 2), "node long, vec binary, pivot int"), "near")
+    near = scratch.keep(nodes.mapInArrow(_to_pivots(spots, NEAR), "node long, short binary, pivot int"), "near")
+    shorts = scratch.keep(near.groupBy("node").agg(F.first("short").alias("short")), "shorts")
     sizes = near.groupBy("pivot").count().collect()  # one row a pivot
     parts = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["pivot"], -(-r["count"] // CHUNK)))), F.col("pivot"))
     chunks = near.withColumn("part", F.pmod(F.xxhash64("node"), parts)).repartition("pivot", "part").sortWithinPartitions("pivot", "part")
@@ -181,9 +189,9 @@ def build_index(vectors_: DataFrame, scratch: Scratch, degree: int = DEGREE, kee
         guests = both.groupBy("centre", "guest").agg(F.min("d").alias("d"), F.max("fresh").alias("fresh"))
         guests = top(guests, "centre", [F.desc("fresh"), F.col("d"), F.col("guest")], MEET)
         worst = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
-        known = nodes.join(worst, "node", "left").select(F.col("node").alias("guest"), "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        meet = guests.join(known, "guest").select("centre", "guest", "vec", "worst", "fresh").repartition("centre").sortWithinPartitions("centre")
-        met = meet.mapInArrow(lambda it: _introduce(8, it), EDGES)
+        known = shorts.join(worst, "node", "left").select(F.col("node").alias("guest"), "short", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+        meet = guests.join(known, "guest").select("centre", "guest", "short", "worst", "fresh").repartition("centre").sortWithinPartitions("centre")
+        met = meet.mapInArrow(lambda it: _introduce(12, it), EDGES)
         pool = edges.select("node", "nbr", "d", F.lit(False).alias("fresh")).unionByName(met.withColumn("fresh", F.lit(True)))
         pool = pool.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
         edges = scratch.keep(top(pool, "node", order, degree), f"edges-{i}")
@@ -204,7 +212,7 @@ def _entries(pivots: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         q = vectors(batch.column("qvec"))
         if len(q):
             d = distances(q, spots)
-            near = np.argsort(d, 1)[:, :4]
+            near = np.argsort(d, 1)[:, :8]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("query_id")), near.shape[1])), pa.array(ids[near.ravel()])], ["query_id", "node"])
 
 
@@ -221,9 +229,11 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, k: int = 10, beam
     own is the node of the query's own row, or null; its vec_id is no answer to itself.
     """
     queries, pivots = scratch.keep(queries.select("query_id", "qvec", "own"), "queries"), index.pivots
+    asked = queries.select("query_id", "qvec")
+    asked = F.broadcast(asked) if queries.count() <= BROADCAST_QUERIES else asked
 
     def measured(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(index.nodes, "node").join(queries.select("query_id", "qvec"), "query_id")
+        rows = pairs.join(index.nodes, "node").join(asked, "query_id")
         return rows.select("query_id", "node", "qvec", "vec").mapInArrow(_measure, "query_id long, node long, d double")
 
     order = [F.col("d"), F.col("node")]
