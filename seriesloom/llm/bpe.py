@@ -84,18 +84,25 @@ def stitch(tail: list[int], head: list[int], low: int, high: int) -> int:
     return min((p for p in both if low < p <= high), default=-1)
 
 
-def _short(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(c: Codec, docs: pa.Array, ids: list[bytes], back: bool) -> pa.RecordBatch:
+    """Encoded texts, and what their ids decode to if that is asked for."""
+    raw = [pa.array([c.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary())] if back else []
+    return pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.binary()), *raw], ["doc_id", "ids", *["decoded"] * back])
+
+
+def _short(path: str, pattern: str, back: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
-        ids = [np.array(c.encode(text or ""), "<u4").tobytes() for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            ids = [np.array(c.encode(text or ""), "<u4").tobytes() for text in part.column("text").to_pylist()]
+            yield _encoded(c, part.column("doc_id"), ids, back)
 
 
 def _decode(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
-        raw = [c.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
+        yield _encoded(c, batch.column("doc_id"), batch.column("ids").to_pylist(), True)
 
 
 CHUNKS = "text_key binary, doc_id long, chunk_no int, start long, n_chars long, text string"
@@ -155,13 +162,14 @@ def _encode(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Itera
         yield put(out)
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join(path: str, pattern: str, back: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by text and chunk; the ids of a text are put end to end."""
+    c = codec(path, pattern)
     now, parts = None, []
 
     def put():
         doc_id, copies = now[1:]
-        return pa.RecordBatch.from_arrays([pa.array([doc_id] * copies, pa.int64()), pa.array([b"".join(parts)] * copies, pa.binary())], ["doc_id", "ids"])
+        return _encoded(c, pa.array([doc_id] * copies, pa.int64()), [b"".join(parts)] * copies, back)
 
     for batch in batches:
         for key, doc_id, copies, ids in zip(*(batch.column(x).to_pylist() for x in ("text_key", "doc_id", "copies", "ids")), strict=True):
@@ -200,15 +208,16 @@ def encode_chunks(long_docs: DataFrame, path: str, pattern: str, scratch: Scratc
     return ready.mapInArrow(lambda it: _encode(path, pattern, it), "text_key binary, doc_id long, chunk_no int, copies long, ids binary")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids of every row of docs (doc_id, text)."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, back: bool = False) -> DataFrame:
+    """doc_id, ids of every row of docs (doc_id, text); with back also decoded, made from the ids by the same worker."""
     scratch = Scratch(docs.sparkSession, "bpe")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = rows.where(~is_long).mapInArrow(lambda it: _short(path, pattern, it), ENCODED)
+    schema = ENCODED + ", decoded binary" * back
+    short = rows.where(~is_long).mapInArrow(lambda it: _short(path, pattern, back, it), schema)
     parts = encode_chunks(rows.where(is_long), path, pattern, scratch, chunk, overlap)
     ordered = parts.repartition("text_key").sortWithinPartitions("text_key", "chunk_no")
-    return short.unionByName(ordered.mapInArrow(_join, ENCODED))
+    return short.unionByName(ordered.mapInArrow(lambda it: _join(path, pattern, back, it), schema))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

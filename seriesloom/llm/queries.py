@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_documents, digests, encode_documents
+from .bpe import digests, encode_documents
 from .common import Scratch, table
 from .html import extract_text
 from .jaccard import similar_groups
@@ -34,8 +34,7 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path(BPE), public_tokenizers.PATTERN
-    return digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary))
+    return digests(encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), public_tokenizers.PATTERN, back=True))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

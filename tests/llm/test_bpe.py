@@ -26,6 +26,8 @@ def test_chunks_stitch_to_the_whole_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     back = decode_documents(encode_documents(docs, PATH, PATTERN, chunk=64, overlap=24), PATH, PATTERN)
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests(back).collect())
+    once = encode_documents(docs, PATH, PATTERN, chunk=64, overlap=24, back=True)
+    assert got == sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests(once).collect())
     assert {bytes(r.decoded).decode() for r in back.collect()} == {t or "" for _, t, _ in rows}
     assert got == sorted((str(i), *expected(t)) for i, t, _ in rows)
 
