@@ -15,7 +15,6 @@ repeated rows; spans of one kind never overlap; other columns are ignored by
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,10 +74,14 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [round(logp(1, a, b) - logp(0, a, b), 6) for a in range(128) for b in range(128)]
 
 
-@lru_cache(1)
-def default_model() -> list[float]:
+DEFAULT_MODEL: list[list[float]] = []
+
+
+def default_model(spark: SparkSession) -> list[float]:
     """The model of the default samples, which are the same everywhere; counted once a process."""
-    return train(labelled_samples(SparkSession.active()))
+    if not DEFAULT_MODEL:
+        DEFAULT_MODEL.append(train(labelled_samples(spark)))
+    return DEFAULT_MODEL[0]
 
 
 def mean_ratio(token: Column, model: list[float]) -> Column:
@@ -134,7 +137,7 @@ THRESHOLD = 0.8
 
 def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of every row of docs (doc_id, text)."""
-    model = model or default_model()
+    model = model or default_model(docs.sparkSession)
     df = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, threshold)
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return df.select("doc_id", *counts[:3], F.sha2(as_text(KINDS[:3]), 256).alias("base_sha256"), as_text(KINDS).alias("spans"), counts[3])
@@ -142,7 +145,7 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: f
 
 def redact(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span, overlapping ones together, replaced by mark; n_chars follows the text."""
-    model = model or default_model()
+    model = model or default_model(docs.sparkSession)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")  # names of other columns cannot clash
     df = with_spans(whole, model, threshold).withColumn("_all", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
