@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,26 +53,34 @@ def shared_cells(df: DataFrame, key: str, cells: list[str]) -> DataFrame:
     return both.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio"))
 
 
-def components(edges: DataFrame, most: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable by edges (a, b).
 
-    Every round takes the least label of the neighbours and then the label of
-    the label; lineage is cut each round by a checkpoint where the session has
-    a folder for it.
+    Alternates large-star and small-star steps until the edges no longer change,
+    which a chain of n nodes does in about log n rounds; a loop (a, a) makes a
+    node of its own.  Lineage is cut each round by a checkpoint, in a temporary
+    folder where the session has none for it (a local session, as in tests).
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    cut = (lambda d: d.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
-    both, labels = cut(both), cut(labels)
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"))
-        jump = step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.node")).select("s.node", F.col("t.label").alias("label"), F.lit(0).alias("x")).drop("x")
-        new = cut(jump)
-        if not new.alias("n").join(labels.alias("o"), "node").where(F.col("n.label") != F.col("o.label")).limit(1).count():
-            return new
-        labels = new
-    return labels
+    spark, cut = edges.sparkSession, lambda d: d.checkpoint()
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="seriesloom-"))
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    up = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    given = edges.where("a is not null and b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    nodes = cut(given.select(F.col("u").alias("node")).union(given.select("v")).distinct())
+    e, seen = cut(up(given)), None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = up(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = cut(up(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))))
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return nodes.join(stars, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def linked_in_line(df: DataFrame, by: str, x: str, gap: float, tie: str) -> DataFrame:

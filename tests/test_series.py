@@ -80,6 +80,26 @@ def test_components_and_first_fit(spark):
     assert {r.k: r.cluster for r in sets.first_fit(pts, "g", "k", "x", "y", 4.0).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_components_of_long_chains(spark):
+    line = [0, *range(150, 0, -1)]  # the least label moves one node a round
+    edges = spark.createDataFrame([*zip(line, line[1:]), (500, 500), (700, 701), (None, 3), (900, None)], "a long, b long")
+    labels = {r.node: r.label for r in sets.components(edges).collect()}
+    assert labels == {**dict.fromkeys(line, 0), 500: 500, 700: 700, 701: 700}
+    # the chains of all customers, that the registered query has two thirds of
+    c = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").selectExpr("c_custkey a", "c_custkey + 1 + c_nationkey b").where("b <= 1500")
+    want = {}
+
+    def root(x):
+        while want.setdefault(x, x) != x:
+            want[x] = x = want[want[x]]
+        return x
+
+    for r in c.collect():
+        x, y = sorted((root(r.a), root(r.b)))
+        want[y] = x
+    assert len(want) > 1000 and {r.node: r.label for r in sets.components(c).collect()} == {x: root(x) for x in list(want)}
+
+
 def test_projection_on_a_straight_line(spark):
     seg = spark.createDataFrame([(k, k * 10.0, 0.0, k * 10 + 10.0, 0.0, k * 10.0) for k in range(100)], "seg int, ax double, ay double, ex double, ey double, s0 double")
     r = spatial.project(spark.createDataFrame([(1, 503.0, 1.5)], "k int, px double, py double"), seg, "k", 10).first()
