@@ -8,7 +8,9 @@ joined by smoothness edges.  The minimum cut, found by maximum flow, separates
 content from boilerplate.
 
 Defined results: a null or empty page has the empty text; unclosed or unknown
-elements close where the next block begins; repeated rows give repeated rows;
+elements close where the next block begins or ends, but an unclosed script or
+style takes the rest, as in a browser; a head has no text of its own and ends
+at the first element or text that cannot stand in it; repeated rows give repeated rows;
 other columns are ignored.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -29,7 +31,12 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas audio video head".split())
+RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas audio video".split())
+#: Their content is characters up to the next end tag; the others hold elements.
+CHARACTERS = frozenset("script style textarea title".split())
+#: A second one ends the first.
+ALONE = frozenset("noscript iframe select button".split())
+END_OF = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>?", re.I) for x in CHARACTERS}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -70,12 +77,52 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
+def tokens_of(html: str) -> tuple[list[re.Match], dict[int, int]]:
+    """Tokens in page order, and for each element of RAW with an end: its place and that of the first token behind it."""
+    tokens: list[re.Match] = []
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    names: Counter[str] = Counter()
+    unclosed: set[str] = set()
+    at = 0
+
+    def last(name):
+        return next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name)
+
+    while m := TOKEN.match(html, at):
+        tokens.append(m)
+        at, here = m.end(), len(tokens) - 1
+        name = m[2].lower() if m[2] else ""
+        if name not in RAW:
+            continue
+        if name in CHARACTERS:
+            if not m[1] and not m[3].endswith("/") and name not in unclosed:
+                if end := END_OF[name].search(html, at):
+                    at, ends[here] = end.end(), here + 1
+                else:
+                    unclosed.add(name)
+                    if name in ("script", "style"):
+                        at, ends[here] = len(html), here + 1
+        elif m[1]:
+            if names[name]:
+                k = last(name)
+                ends[open_[k][1]] = here + 1
+                names.subtract(x for x, _ in open_[k:])
+                del open_[k:]
+        elif not m[3].endswith("/"):
+            if name in ALONE and names[name]:
+                del open_[last(name)]
+                names[name] -= 1
+            open_.append((name, here))
+            names[name] += 1
+    return tokens, ends
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; white space is one space, references are decoded."""
     found: list[Block] = []
     root = Element("html", None)
     stack, parts, linked, in_link = [root], [], 0, 0
-    raw, depth = "", 0
 
     def close_block():
         nonlocal parts, linked
@@ -84,22 +131,19 @@ def blocks_of(html: str) -> list[Block]:
                 found.append(Block(next(e for e in reversed(stack) if e.tag in BLOCK), text, min(linked, len(text))))
             parts, linked = [], 0
 
-    for m in TOKEN.finditer(html):
-        tag = m[2]
-        if raw:
-            if tag and tag.lower() == raw:
-                depth += -1 if m[1] else 0 if m[3].endswith("/") else 1 if raw not in ("script", "style", "textarea", "title") else 0
-                raw = raw if depth else ""
-            elif raw == "head" and tag and tag.lower() == "body" and not m[1]:
-                raw = ""
-                stack.append(Element("body", stack[-1], m[3]))
-            continue
+    tokens, ends_at = tokens_of(html)
+    ahead, hidden = 0, False
+    while ahead < len(tokens):
+        m, here = tokens[ahead], ahead
+        tag = m[2] and m[2].lower()
+        ahead = ends_at.get(here, here + 1)
+        if tag in BLOCK:  # ends an unclosed element of RAW
+            hidden = False
         if not tag:
-            if (text := m[0])[:2] not in ("<!", "<?"):
+            if not hidden and (text := m[0])[:2] not in ("<!", "<?"):
                 parts.append(text := unescape(text))
                 linked += len(text) if in_link else 0
             continue
-        tag = tag.lower()
         if m[1]:
             if tag == "a":
                 in_link = 0
@@ -111,7 +155,7 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                raw, depth = tag, 1
+                hidden = hidden or here not in ends_at
             parts.append(" ")
         elif tag in BLOCK:
             close_block()

@@ -46,3 +46,28 @@ def test_page(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "y"), (3, "u", "", None), (3, "u", "<", None), (4, "u", "<p>" * 3000 + "a", None)]
     got = {(r.page_id, r.text, r.n_chars) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert {(1, want, len(want)), (2, "", 0), (3, "", 0)} <= got
+
+
+def shown(html):
+    return [b.text for b in blocks_of(html)]
+
+
+def test_scripts_are_cut_at_their_end_tag():
+    assert shown("<script>for(i=0;i<n;i++){f(i)}</script><p>Text</p>") == ["Text"]
+    assert shown("<p>A</p><script>if(a<b)s='<!-- it\\'s';</SCRIPT ><p>It's one.</p><p>It's two.</p>") == ["A", "It's one.", "It's two."]
+    assert shown("<p>A</p><style>a<b{content:\"'\"}</style><p>B</p><textarea>x<y '</p></textarea><p>C's</p>") == ["A", "B", "C's"]
+    assert shown("<noscript><script>a<b</script><p>No</p></noscript><p>B</p><script>no</scripts></script><p>C</p>") == ["B", "C"]
+    assert shown("<p>A</p><script>document.write('<p>B</p>')") == ["A"]
+
+
+def test_head_without_end():
+    assert shown("<html><head><meta charset=utf-8><title>T</title><script>a<b</script><link rel=x><p>One</p><p>Two</p>") == ["One", "Two"]
+    assert shown("<head><title>T</title><body><p>One</p>") == ["One"] and shown("<head><style>p{}</style>Bare text") == ["Bare text"]
+
+
+def test_unclosed_elements_do_not_hide_the_rest():
+    for tag in ("button", "select", "svg", "noscript", "object", "iframe", "video", "title", "textarea", "template"):
+        assert shown(f"<div><p>A</p><{tag}>Menu</div><p>One</p><p>Two</p>") == ["A", "One", "Two"], tag
+        assert shown(f"<p>A</p><{tag}>Menu<p>One</p><div><{tag}>no</{tag}></div><p>Two</p>") == (["A", "Two"] if tag in ("title", "textarea") else ["A", "One", "Two"]), tag
+    assert shown("<svg><svg>a</svg><text>b</text></svg><p>One</p><button><div>no</div></button><p>Two</p></svg>") == ["One", "Two"]
+    assert shown("<button><svg>a</button><p>One</p><svg>b</svg><p>Two</p>") == ["One", "Two"]
