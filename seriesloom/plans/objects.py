@@ -192,6 +192,17 @@ def polyline_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", "seg", F.round("along", 6).alias("along"), F.round("cross", 6).alias("cross"))
 
 
+@query()
+def polyline_projection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers along a zigzag of one segment a supplier, each 10 long, so the line grows with its table."""
+    up = lambda k: F.when(k % 2 == 0, 0.0).otherwise(8.0)
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    line = table(spark, sf_dir, "supplier").select(k.alias("seg"), (k * 6.0).alias("ax"), up(k).alias("ay"), (k * 6.0 + 6).alias("ex"), up(k + 1).alias("ey"), (k * 10.0).alias("s0"))
+    seen = table(spark, sf_dir, "customer").select(c.alias("k"), (c * 0.4 + c % 7).alias("px"), (c % 41 - 16.0).alias("py"))
+    d = spatial.project(seen, line, "k", 14)
+    return d.select("k", "seg", F.round("along", 6).alias("along"), F.round("cross", 6).alias("cross"))
+
+
 @query()
 def map_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = [(float(x), 0.0) for x in range(0, 3001, 50)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import faults, grid, islands, running, sets, spatial, stats, timejoin
+from seriesloom.plans.catalogue import QUERIES
 
 S = "run long, seq long, us long, value double"
 
@@ -106,6 +107,25 @@ def test_projection_on_a_straight_line(spark):
     assert (r.along, r.cross) == (pytest.approx(503.0), pytest.approx(1.5))
 
 
+def test_projection_on_the_line_of_all_suppliers(spark):
+    sf = "/root/testdata/sf0.01"
+    segs = sorted(r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect())
+    want = {}
+    for (c,) in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect():
+        px, py, near = c * 0.4 + c % 7, c % 41 - 16.0, []
+        for k in segs:
+            ax, ay, dy = k * 6.0, k % 2 * 8.0, 8.0 - k % 2 * 16.0
+            t = min(max(((px - ax) * 6 + (py - ay) * dy) / 100, 0), 1)
+            d, turn = math.hypot(px - ax - t * 6, py - ay - t * dy), 6 * (py - ay) - dy * (px - ax)  # as in the SQL of polyline_projection
+            near.append((round(d, 9), k, k * 10 + t * 10, d * ((turn > 0) - (turn < 0))))
+        if min(near)[0] <= 14:
+            want[c] = min(near)
+    got = {r.k: r for r in QUERIES["polyline_projection_whole"](spark, sf).collect()}
+    assert got.keys() == want.keys() and len({r.seg for r in got.values()}) > 0.9 * len(segs)
+    for c, (_, seg, along, cross) in want.items():
+        assert got[c].seg == seg and got[c].along == pytest.approx(along, abs=2e-6) and got[c].cross == pytest.approx(cross, abs=2e-6)
+
+
 def test_delta_restores_the_values(spark):
     d = at(spark, [(k, None if k % 4 == 1 else math.sin(k) * 10) for k in range(20)])
     rows = grid.delta_encoded(d, ["run"], [F.col("seq")], "value", 100).orderBy("seq").collect()
