@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,13 +34,18 @@ def local_base() -> str:
 class Scratch:
     """Intermediate Parquet tables in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir.  Only where that is unset
-    (a local session, as in tests) a temporary folder is used.  Writing a table
-    and reading it back cuts lineage: a lost executor costs no earlier stage.
+    The folder is the session's spark.checkpoint.dir.  Where that is unset, a
+    local session (as in tests) uses a temporary folder and any other raises an
+    error, as its executors would not share one.  Writing a table and reading
+    it back cuts lineage: a lost executor costs no earlier stage.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or local_base()
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = local_base()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         ROOTS.append(self.root)
 
@@ -66,11 +72,27 @@ def clear(spark: SparkSession) -> None:
         remove(spark, ROOTS.pop())
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has set that itself: rows hold whole texts."""
+    if spark.conf.get(BATCH_BYTES, None) is None and spark.conf.isModifiable(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of at most `most` bytes together, or of one row, and their texts; only one range is held."""
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, texts_as_bytes(column.slice(a, b - a))
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most `most` bytes together, or of one item."""
     begin, held = 0, 0
@@ -99,30 +121,43 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of any byte ranges of one buffer, by prefix sums modulo 2**64."""
+    """Hashes of any byte ranges of one buffer, by prefix sums modulo 2**64.
+
+    Powers come from two short tables, of the low and the high part of the
+    exponent, so that a long buffer leaves nothing behind.
+    """
 
-    BASE = 0x9E3779B97F4A7C15
+    BASE, LOW = 0x9E3779B97F4A7C15, 1 << 16
     _table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    _pow = _inv = np.ones(1, np.uint64)
+    _pow, _inv = _powers(BASE, LOW), _powers(pow(BASE, -1, 1 << 64), LOW)
 
     def __init__(self, buf: np.ndarray):
-        cls, n = RangeHash, len(buf) + 1
-        if len(cls._pow) < n:
-            size = 1 << (n - 1).bit_length()
-            cls._pow = _powers(cls.BASE, size)
-            cls._inv = _powers(pow(cls.BASE, -1, 1 << 64), size)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(cls._table[buf] * cls._pow[: n - 1], out=self.sums[1:])
+        n, step = len(buf), self.LOW
+        self.high = _powers(pow(self.BASE, -step, 1 << 64), n // step + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        scale = 1
+        for a in range(0, n, step):
+            part = self._table[buf[a : a + step]]
+            part *= self._pow[: len(part)]
+            part *= np.uint64(scale)
+            self.sums[a + 1 : a + 1 + len(part)] = part
+            scale = scale * pow(self.BASE, step, 1 << 64) & (1 << 64) - 1
+        np.cumsum(self.sums, out=self.sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        part = (self.sums[end] - self.sums[start]) * RangeHash._inv[start]
+        part = self.sums[end] - self.sums[start]
+        part *= self._inv[start & (self.LOW - 1)]
+        if len(self.high) > 1:
+            part *= self.high[start >> 16]
         return mix64(part + (end - start).astype(np.uint64))
 
-
     def rolling(self, k: int) -> np.ndarray:
         """Hashes of all ranges of k bytes; the same as of the ranges one by one."""
         part = self.sums[k:] - self.sums[:-k]
-        part *= RangeHash._inv[: len(part)]
+        for i, a in enumerate(range(0, len(part), self.LOW)):
+            own = part[a : a + self.LOW]
+            own *= self._inv[: len(own)]
+            own *= self.high[i]
         part += np.uint64(k)
         return mix64(part)
 

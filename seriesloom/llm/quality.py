@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RangeHash, SPACE, joined, mix64, repeated, slices, texts_as_bytes, word_bounds
+from .common import RangeHash, SPACE, joined, mix64, repeated, small_batches, text_slices, word_bounds
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-SLICE = 1 << 20
+#: Bytes measured at once.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -102,9 +103,8 @@ def measure(docs: list[bytes], rules: QualityRules) -> dict[str, np.ndarray]:
 
 def _judge(rules: QualityRules, keep_rows: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs = texts_as_bytes(batch.column("text"))
-        for a, b in slices([len(d) for d in docs], SLICE):
-            got = measure(docs[a:b], rules)
+        for a, b, texts in text_slices(batch.column("text"), SLICE):
+            got = measure(texts, rules)
             if keep_rows:
                 yield batch.slice(a, b - a).filter(pa.array(got["kept"]))
                 continue
@@ -114,10 +114,12 @@ def _judge(rules: QualityRules, keep_rows: bool, batches: Iterator[pa.RecordBatc
 
 def quality_figures(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """doc_id and the figures and verdict of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     more = "".join(f", coverage_{k} double" for k in rules.coverage)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lambda it: _judge(rules, False, it), f"doc_id long, {COLUMNS}{more}")
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of docs whose text the rules keep, with all their columns."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(lambda it: _judge(rules, True, it), docs.schema)
