@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,37 @@ def clear(spark: SparkSession) -> None:
         remove(spark, ROOTS.pop())
 
 
+#: Slices over which the rows of one key are spread.
+SPREAD = 64
+
+
+def spread_key(by: str) -> Column:
+    """The slice of a row, by a column that tells the rows of one key apart."""
+    return F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")
+
+
+def slice_mask(of: str) -> Column:
+    """An aggregate: which slices occur, as bits."""
+    return F.expr(f"bit_or(shiftleft(1L, {of}))")
+
+
+def each_slice(mask: str) -> Column:
+    """A row for each slice of a mask."""
+    return F.explode(F.expr(f"filter(sequence(0, {SPREAD - 1}), s -> (shiftrightunsigned({mask}, s) & 1) = 1)"))
+
+
+def join_spread(big: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """big joined with small (one row a key) on keys, of which a few may hold most rows of big.
+
+    The rows of a key are spread over slices by the column `by`, and the row of
+    small goes to those slices of its key that occur.
+    """
+    big = big.withColumn("_slice", spread_key(by))
+    masks = big.groupBy(*keys).agg(slice_mask("_slice").alias("_mask"))
+    dealt = small.join(masks, keys).withColumn("_slice", each_slice("_mask")).drop("_mask")
+    return big.join(dealt, [*keys, "_slice"], how).drop("_slice")
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -3,10 +3,11 @@
 Equal sets are one class, represented by its smallest document; all else works
 on classes, so copies are never paired.
 
-Order.  The n-grams are counted in a fixed number of buckets, over all
-documents; n-grams of crowded buckets are common, all others rare.  Every set
-is ordered rare first, then by how common, then by hash.  Two sets that link
-share an n-gram among the first |s| - ceil(t |s|) + 1 of both (the prefix).
+Order.  The n-grams are counted in buckets, over all documents; the number of
+buckets follows the input up to a bound.  N-grams of crowded buckets are
+common, all others rare.  Every set is ordered rare first, then by how common,
+then by hash.  Two sets that link share an n-gram among the first
+|s| - ceil(t |s|) + 1 of both (the prefix).
 
 Rare lists.  If the first shared n-gram is rare, the pair meets in that
 n-gram's list.  Lists are sorted by set size and position.  For each entry the
@@ -18,14 +19,19 @@ bound the overlap; a pair goes on only if they reach what it needs.
 
 Common part.  If the first shared n-gram is common, both sets consist of common
 n-grams but for a share of 1 - t: near copies of one text.  Such sets meet
-through the smallest class that has the n-gram in its prefix.
+through one class that has the n-gram in its prefix, and so do the sets of a
+rare list of more than LIST_MOST entries: pairs never follow a list's square.
 
 Families.  The connected groups of what has met are families; a link never
-leaves one.  A family is cut into blocks of bounded size, and the whole sets of
-every two blocks that sizes allow to link are brought together once.  There the
-overlaps of a set with all others are derived from those of a highly similar
-set before it, by the lists of the n-grams in which the two differ.  Counts of
-links, and only those links that join two groups, leave the blocks.
+leaves one.  A family is cut by set size into blocks of bounded weight, and the
+whole sets of every two blocks that sizes allow to link are brought together
+once: one block is held as lists of n-grams, the other streams past.  The
+overlaps of a set with the whole block are derived from those of the highly
+similar set before it, by the lists of the n-grams in which the two differ.
+Counts of links, and only those links that join two groups, leave the blocks.
+
+Keys that may be hot (a class of copies, the centre of a star, a set size) are
+spread over slices wherever rows meet them.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; a shorter text than n words is one n-gram; rows of one doc_id are one
@@ -43,24 +49,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Scratch, joined, mix64, slices, texts_as_bytes, word_bounds
+from .common import RangeHash, Scratch, join_spread, joined, mix64, small_batches, text_slices, word_bounds
 from .graph import components
 
-#: Buckets of the n-gram counts (2**18 numbers, whatever the input), bytes hashed at once, sets in a block.
-BUCKET_BITS, SLICE, BLOCK = 18, 1 << 20, 512
+#: Buckets of the n-gram counts as a power of two: one for so many bytes of text, within bounds (16 MB of levels at most).
+LEAST_BITS, MOST_BITS, BUCKET_BYTES = 18, 24, 1024
+#: Bytes hashed at once.
+SLICE = 1 << 18
+#: Weight of a block: n-grams of its sets, a set counting as BLOCK / BLOCK_SETS at least.
+BLOCK, BLOCK_SETS = 1 << 20, 8192
+#: A longer list meets through one of its classes; pairs made at once.
+LIST_MOST, PAIRS_HELD = 512, 1 << 16
 #: An n-gram is common if its bucket holds so many more than the mean, beside six deviations.
 COMMON = 64
-#: Document ids up to this many are broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers up to this many are broadcast (some 16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shingles(docs: list[bytes], k: int) -> Iterator[np.ndarray]:
+def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The n-gram hashes of each text, with repeats."""
-    for a, b in slices([len(d) for d in docs], SLICE):
-        buf, begin, _ = joined(docs[a:b])
+    for a, b, docs in text_slices(column, SLICE):
+        buf, begin, _ = joined(docs)
         start, end = word_bounds(LOWER[buf])
         word = RangeHash(LOWER[buf])(start, end)
         cut = np.searchsorted(start, np.append(begin, len(buf)))
@@ -81,31 +93,49 @@ def shingles(docs: list[bytes], k: int) -> Iterator[np.ndarray]:
                 yield word[:0]
 
 
-def _count(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+def _count(k: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << bits, np.int32)
+    held, n = [], 0
+
+    def add():
+        nonlocal counts
+        found, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]) >> np.uint64(64 - bits), return_counts=True)
+        counts[found.astype(np.int64)] += times.astype(np.int32)
+        held.clear()
+
     for batch in batches:
-        docs = texts_as_bytes(batch.column("text"))
-        for a, b in slices([len(d) for d in docs], SLICE):
-            h = np.concatenate([*shingles(docs[a:b], k), np.zeros(0, np.uint64)])
-            counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+        for h in shingles(batch.column("text"), k):
+            held.append(h)
+            n += len(h)
+            if n > 1 << 19:
+                add()
+                n = 0
+    add()
     found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["bucket", "n"])
+    for a in range(0, len(found), 1 << 16):
+        part = found[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part].astype(np.int64))], ["bucket", "n"])
 
 
-def common_levels(docs: DataFrame, k: int) -> np.ndarray:
+def common_levels(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     """Per bucket: 0 if its n-grams are rare, else the order of its count."""
-    counts = docs.select("text").mapInArrow(lambda it: _count(k, it), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2**18 rows at most
-    n = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in counts:
-        n[r.bucket] = r.n
-    mean = n.mean()
-    return np.where(n > mean + 6 * mean**0.5 + COMMON, np.log2(np.maximum(n, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+    counts = docs.select("text").mapInArrow(lambda it: _count(k, bits, it), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts, "counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    levels = np.zeros(1 << bits, np.uint8)
+    # far fewer than the buckets: each is above the mean by so much
+    for r in counts.where(F.col("n") > mean + 6 * mean**0.5 + COMMON).collect():
+        levels[r.bucket] = int(np.log2(max(r.n, 1))) + 1
+    scratch.drop("counts")
+    return levels
 
 
 def ordered(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
     """A set in the common order, and how many of it are rare."""
     u = np.unique(h)
-    level = levels[(u >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    level = levels[(u >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
     rare = int((level == 0).sum())
     return (u if rare == len(u) else u[np.lexsort((u, level))]), rare
 
@@ -116,7 +146,7 @@ SETS = "doc_id long, n_shingles long, set_key binary, n_rare long, prefix array<
 def _sets(k: int, percent: int, levels: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, keys, rares, prefixes = [], [], [], []
-        for h in shingles(texts_as_bytes(batch.column("text")), k):
+        for h in shingles(batch.column("text"), k):
             s, rare = ordered(h, levels)
             size = len(s)
             prefix = s[: size - (percent * size + 99) // 100 + 1] if size else s
@@ -153,8 +183,28 @@ PAIRS = "a long, b long, lack long, opens int"
 NO_END = np.iinfo(np.int64).max
 
 
-def _lists(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(percent: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, rep, place, ends) come sorted by token and place; place holds size and position."""
+    none = np.zeros(0, np.int64)
+
+    def met(low, high, lack, opens):
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(lack, pa.int64()), pa.array(opens.astype(np.int32))], ["a", "b", "lack", "opens"])
+
+    def star(hub, reps):
+        """Entries of a long list with its first one."""
+        reps = reps[reps != hub]
+        return met(np.minimum(reps, hub), np.maximum(reps, hub), np.zeros(len(reps), np.int64), np.ones(len(reps), bool))
+
+    def judged(found, rep, n, ends):
+        left, right, opens = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = rep[left] != rep[right]
+        left, right, opens = left[keep], right[keep], opens[keep]
+        # how many meetings the overlap needs beside the rest of the set whose prefix ends first
+        rest = lambda x: n[x] - prefix_length(n[x], percent)
+        a, b = ends[left], ends[right]
+        room = np.where(a < b, rest(left), np.where(b < a, rest(right), np.where(a == NO_END, NO_END, np.maximum(rest(left), rest(right)))))
+        lack = np.where(room == NO_END, 0, needed(n[left], n[right], percent) - room)
+        return met(np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right]), lack, opens)
 
     def pairs(t, rep, place, ends):
         n, pos = place >> 31, place & ((1 << 31) - 1)
@@ -163,121 +213,190 @@ def _lists(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         two = edge[:-1][size == 2]
         two = two[100 * n[two] >= percent * n[two + 1]]
         opens = np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= needed(n[two], n[two + 1], percent)
-        found = [(two, two + 1, opens)]
+        found, held = [(two, two + 1, opens)], len(two)
         for a, m in zip(edge[:-1][size > 2], size[size > 2], strict=True):
+            if m > most:
+                yield star(rep[a], rep[a + 1 : a + m])
+                continue
             i, j, o = list_pairs(n[a : a + m], pos[a : a + m], percent)
             found.append((i + a, j + a, o))
-        left, right, opens = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = rep[left] != rep[right]
-        left, right, opens = left[keep], right[keep], opens[keep]
-        # how many meetings the overlap needs beside the rest of the set whose prefix ends first
-        rest = lambda x: n[x] - prefix_length(n[x], percent)
-        a, b = ends[left], ends[right]
-        room = np.where(a < b, rest(left), np.where(b < a, rest(right), np.where(a == NO_END, NO_END, np.maximum(rest(left), rest(right)))))
-        lack = np.where(room == NO_END, 0, needed(n[left], n[right], percent) - room)
-        low, high = np.minimum(rep[left], rep[right]), np.maximum(rep[left], rep[right])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(lack, pa.int64()), pa.array(opens.astype(np.int32))], ["a", "b", "lack", "opens"])
-
-    held: list[np.ndarray] | None = None
+            held += len(i)
+            if held > PAIRS_HELD:
+                yield judged(found, rep, n, ends)
+                found, held = [], 0
+        if found:
+            yield judged(found, rep, n, ends)
+
+    held: list[np.ndarray] = []
+    hub: tuple[int, int] | None = None  # token and first entry of a long list that goes on
     for batch in batches:
         now = [np.asarray(batch.column(x)) for x in ("token", "rep", "place", "ends")]
         if not len(now[0]):
             continue
-        if held is not None:
+        if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if hub is not None:
+            own = int(np.searchsorted(now[0] != hub[0], True))
+            yield star(hub[1], now[1][:own])
+            now = [x[own:] for x in now]
+            if not len(now[0]):
+                held = []
+                continue
+            hub = None
         cut = int(np.argmax(now[0] == now[0][-1]))  # the last list may go on in the next batch
         if cut:
-            yield pairs(*(x[:cut] for x in now))
+            yield from pairs(*(x[:cut] for x in now))
         held = [x[cut:] for x in now]
-    if held is not None:
-        yield pairs(*held)
+        if len(held[0]) > most:
+            hub = (int(held[0][0]), int(held[1][0]))
+            yield star(hub[1], held[1][1:])
+            held = []
+    if held:
+        yield from pairs(*held)
+    else:
+        yield star(0, none)
+
+
+WHOLE = "rep long, family long, block long, lead binary, tokens binary"
 
 
 def _full(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sets of the classes that are wanted; of several texts of one document, those of the wanted size."""
     for batch in batches:
-        sets = [np.unique(h).tobytes() for h in shingles(texts_as_bytes(batch.column("text")), k)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("rep", "family", "tasks")), pa.array(sets, pa.binary())], ["rep", "family", "tasks", "tokens"])
-
-
-def block_links(sets: list[np.ndarray], others: list[np.ndarray], percent: int, same: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of the links between two blocks of sets, and the number of
-    links of every set; others follow sets in the numbering."""
-    flat = np.concatenate(others)
-    owner = np.repeat(np.arange(len(others)), [len(s) for s in others])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    sizes = np.array([len(s) for s in others])
-    base = 0 if same else len(sets)
-    up = list(range(len(sets) + (0 if same else len(others))))
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        rows = zip(*(batch.column(x).to_pylist() for x in ("rep", "family", "block", "n")), shingles(batch.column("text"), k), strict=True)
+        found = [(rep, family, block, s[:4].tobytes(), s.tobytes()) for rep, family, block, n, h in rows if len(s := np.unique(h)) == n]
+        cols = list(zip(*found, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "family", "block", "lead", "tokens"])
+
+
+class Block:
+    """Sets as lists by n-gram, and the overlaps of a passing set with all of them."""
 
-    def tally(tokens):
-        """How many of the tokens each of the others has."""
-        a, b = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, "right")
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.before, self.overlap = np.zeros(0, np.uint64), np.zeros(len(sets), np.int64)
+
+    def tally(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each of the sets has."""
+        a, b = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, "right")
         n = b - a
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(owner[at], minlength=len(others))
-
-    links, degree = [], np.zeros(len(up), np.int64)
-    before, overlap = np.zeros(0, np.uint64), np.zeros(len(others), np.int64)
-    for i, s in enumerate(sets):
-        gone, new = np.setdiff1d(before, s, True), np.setdiff1d(s, before, True)
-        overlap = overlap - tally(gone) + tally(new) if len(gone) + len(new) < len(s) else tally(s)
-        before = s
-        linked = 100 * overlap >= percent * (len(s) + sizes - overlap)
-        if same:
-            linked[i] = False
-        degree[i] += linked.sum()
-        if not same:
-            degree[base:] += linked
-        for j in np.flatnonzero(linked):
-            x, y = root(i), root(base + int(j))
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets link with s; derived from what the set before had."""
+        gone, new = np.setdiff1d(self.before, s, True), np.setdiff1d(s, self.before, True)
+        self.overlap = self.overlap - self.tally(gone) + self.tally(new) if len(gone) + len(new) < len(s) else self.tally(s)
+        self.before = s
+        return 100 * self.overlap >= percent * (len(s) + self.sizes - self.overlap)
+
+
+class Links:
+    """A spanning forest of links and the number of links of each class."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
+        self.count: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def add(self, name: int, others: np.ndarray) -> None:
+        """Links between one class and others, other than itself."""
+        if len(others):
+            self.count[name] = self.count.get(name, 0) + len(others)
+        for other in others.tolist():
+            x, y = self.root(name), self.root(other)
             if x != y:
-                up[y] = x
-                links.append((i, base + int(j)))
-    return links, degree
+                self.up[y] = x
+                self.pairs.append((name, other))
+
+
+LINKS = "u long, v long, n long"
 
 
 def _blocks(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (family, i, j, side, rep, tokens) come sorted.  Out come links (u, v) and, without v, counts of links (u, n)."""
-    us, vs, ns = [], [], []
-
-    def put(rows):
-        left, right = ({(r["rep"], r["tokens"]) for r in rows if r["side"] == side} for side in (0, 1))
-        left, right = sorted(left, key=lambda r: r[1][:32]), sorted(right)  # similar sets stand together
-        names = [r[0] for r in (*left, *right)]
-        as_sets = lambda part: [np.frombuffer(r[1], np.uint64) for r in part]
-        if left:
-            links, degree = block_links(as_sets(left), as_sets(right or left), percent, not right)
-            us.extend([names[i] for i, _ in links] + [x for x, d in zip(names, degree, strict=True) if d])
-            vs.extend([names[j] for _, j in links] + [None] * int((degree > 0).sum()))
-            ns.extend([0] * len(links) + degree[degree > 0].tolist())
-
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs, ns)], ["u", "v", "n"])
-        for x in (us, vs, ns):
-            x.clear()
-        return batch
-
-    task, rows = None, []
+    """Rows (family, i, j, side, lead, rep, tokens) come sorted: the block that is held (side 0), then the
+    sets that pass it, similar ones together; a block meets itself without a second side.  Out come links
+    (u, v) and, without v, counts of links (u, n)."""
+    task, block, sets, links, seen = None, None, {}, Links(), set()
+    names = degree = np.zeros(0, np.int64)
+
+    def load():
+        nonlocal block, names, degree
+        names, degree = np.array([rep for rep, _ in sets], np.int64), np.zeros(len(sets), np.int64)
+        block = Block([np.frombuffer(t, np.uint64) for _, t in sets]) if sets else None
+
+    def close():
+        if task is not None:
+            if task[1] == task[2]:
+                load()
+                for at, (rep, t) in enumerate(sets):
+                    hit = block.linked(np.frombuffer(t, np.uint64), percent)
+                    hit[at] = False
+                    links.add(rep, names[hit])
+            for rep, n in zip(names.tolist(), degree.tolist(), strict=True):
+                if n:
+                    links.count[rep] = links.count.get(rep, 0) + n
+            if links.count:
+                us, ns = zip(*links.count.items(), strict=True)
+                m = len(links.pairs)
+                u = pa.array([p[0] for p in links.pairs] + list(us), pa.int64())
+                v = pa.array([p[1] for p in links.pairs] + [None] * len(us), pa.int64())
+                yield pa.RecordBatch.from_arrays([u, v, pa.array([0] * m + list(ns), pa.int64())], ["u", "v", "n"])
+
     for batch in batches:
-        for row in batch.to_pylist():
-            now = (row["family"], row["i"], row["j"])
-            if now != task and rows:
-                put(rows)
-                rows = []
-                if len(us) > 10_000:
-                    yield out()
-            task = now
-            rows.append(row)
-    if rows:
-        put(rows)
-    yield out()
+        keys = zip(*(batch.column(x).to_pylist() for x in ("family", "i", "j", "side", "rep")), strict=True)
+        tokens = batch.column("tokens")
+        for at, (family, i, j, side, rep) in enumerate(keys):
+            if (family, i, j) != task:
+                yield from close()
+                task, block, sets, links, seen = (family, i, j), None, {}, Links(), set()
+                names = degree = np.zeros(0, np.int64)
+            row = tokens[at].as_py()
+            if side == 0:
+                sets[rep, row] = None
+                continue
+            if block is None:
+                load()
+                sets = {}
+            key = (rep, hashlib.blake2b(row, digest_size=16).digest())
+            if block is None or key in seen:
+                continue
+            seen.add(key)
+            hit = block.linked(np.frombuffer(row, np.uint64), percent)
+            degree += hit
+            links.add(rep, names[hit])
+    yield from close()
+
+
+def with_blocks(classes: DataFrame) -> DataFrame:
+    """classes (rep, n, family) with block: sets of one family and near sizes, of bounded weight together.
+
+    Sizes are laid end to end, smallest first, by their weights; a size too
+    heavy for one block is dealt over several by hash.  Only sizes are put in
+    order, not classes.
+    """
+    least = -(-BLOCK // BLOCK_SETS)
+    sizes = classes.groupBy("family", "n").agg((F.count("*") * F.greatest(F.col("n"), F.lit(least))).alias("weight"))
+    before = F.sum("weight").over(Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    sizes = sizes.select("family", "n", F.floor(before / F.lit(BLOCK)).alias("base"), F.ceil(F.col("weight") / F.lit(BLOCK)).alias("parts"))
+    dealt = join_spread(classes, sizes, ["family", "n"], "rep")
+    return dealt.select("rep", "n", "family", (F.shiftleft(F.col("base"), 24) + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+
+
+def near_blocks(placed: DataFrame, percent: int) -> DataFrame:
+    """family, i, j: the pairs of blocks whose set sizes allow a link; numbers only."""
+    bounds = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    x, y = bounds.alias("x"), bounds.alias("y")
+    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent))
+    return near.select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -288,8 +407,9 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     n_links counts the other classes that its class links with.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = common_levels(rows, k)
+    levels = common_levels(rows, k, scratch)
     sets = scratch.keep(rows.mapInArrow(lambda it: _sets(k, percent, levels, it), SETS), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.keep(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("n_rare").alias("n_rare"), F.first("prefix").alias("prefix")), "reps")
@@ -300,47 +420,39 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rare = F.slice("prefix", F.lit(1), F.col("n_rare").cast("int"))
     listed = reps.select("rep", "n", ends.alias("ends"), F.posexplode(rare).alias("pos", "token"))
     listed = listed.select("token", "rep", (F.shiftleft("n", 31) + F.col("pos")).alias("place"), "ends").repartition("token").sortWithinPartitions("token", "place", "rep")
-    met = listed.mapInArrow(lambda it: _lists(percent, it), PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("lack").alias("lack"), F.max("opens").alias("opens"))
-    pairs = scratch.keep(met.where("opens = 1 and c >= lack").select("a", "b"), "pairs")
+    most = LIST_MOST
+    met = listed.mapInArrow(lambda it: _lists(percent, most, it), PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("lack").alias("lack"), F.max("opens").alias("opens"))
+    pairs = met.where("opens = 1 and c >= lack").select("a", "b")
 
-    # common part: all classes that have a common n-gram in their prefix meet the smallest of them
+    # common part: the classes that have a common n-gram in their prefix meet the smallest of their slice, and those the smallest of all
     crowd = reps.where("n_rare < size(prefix)").select("rep", F.explode(F.expr("slice(prefix, cast(n_rare as int) + 1, size(prefix))")).alias("token"))
-    least = crowd.groupBy("token").agg(F.min("rep").alias("b"))
-    met = pairs.unionByName(crowd.join(least, "token").select(F.col("rep").alias("a"), "b"))
+    crowd = crowd.withColumn("slice", F.pmod(F.xxhash64("rep"), F.lit(64)))
+    least = crowd.groupBy("token", "slice").agg(F.min("rep").alias("b"))
+    heads = least.join(least.groupBy("token").agg(F.min("b").alias("a")), "token").select("a", "b")
+    met = pairs.unionByName(crowd.join(least, ["token", "slice"]).select(F.col("rep").alias("a"), "b")).unionByName(heads)
 
     family = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "families")
-    of = family.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select("rep", "n", F.col("label").alias("family"))
-    w = Window.partitionBy("family").orderBy("n", "rep")
-    placed = scratch.keep(of.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK)), "placed")
-    wanted = scratch.keep(placed.join(_tasks(placed, percent), ["family", "block"]).select("rep", "family", "tasks"), "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if small else wanted, rows["doc_id"] == wanted["rep"]).select("rep", "family", "tasks", "text")
-    tasks = "array<struct<i:long,j:long,side:int>>"
-    whole = texts.mapInArrow(lambda it: _full(k, it), f"rep long, family long, tasks {tasks}, tokens binary")
-    sides = whole.select("rep", "family", "tokens", F.explode("tasks").alias("t")).select("family", "t.i", "t.j", "t.side", "rep", "tokens")
-    sides = sides.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    links = scratch.keep(sides.mapInArrow(lambda it: _blocks(percent, it), "u long, v long, n long"), "links")
+    of = family.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).select("rep", "n", F.col("label").alias("family")).distinct()
+    placed = scratch.keep(with_blocks(scratch.keep(of, "of")), "placed")
+    near = scratch.keep(near_blocks(placed, percent), "near")
+    wanted = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
+    texts = rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "family", "block", "n", "text")
+    whole = scratch.keep(texts.mapInArrow(lambda it: _full(k, it), WHOLE), "whole")
+    held = whole.join(near.withColumnRenamed("j", "block"), ["family", "block"]).select("family", "i", F.col("block").alias("j"), F.lit(0).alias("side"), "lead", "rep", "tokens")
+    passing = whole.join(near.where("i < j").withColumnRenamed("i", "block"), ["family", "block"]).select("family", F.col("block").alias("i"), "j", F.lit(1).alias("side"), "lead", "rep", "tokens")
+    sides = held.unionByName(passing).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "lead", "rep").drop("lead")
+    links = scratch.keep(sides.mapInArrow(lambda it: _blocks(percent, it), LINKS), "links")
+    scratch.drop("whole")
 
     degree = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links"))
     labels = components(links.where("v is not null").select("u", "v"), scratch, "labels").withColumnRenamed("node", "rep")
     classes = reps.select("set_key", "rep").join(labels, "rep", "left").join(degree, "rep", "left")
     classes = classes.select("set_key", F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    found = join_spread(sets.select("doc_id", "n_shingles", "set_key"), classes, ["set_key"], "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
-def _tasks(placed: DataFrame, percent: int) -> DataFrame:
-    """family, block, tasks: the pairs of blocks that each block takes part in, and on which side."""
-    bounds = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = bounds.alias("x"), bounds.alias("y")
-    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent))
-    near = near.select(F.col("x.family").alias("family"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    task = lambda side: F.struct("i", "j", F.lit(side).alias("side"))
-    rows = near.select("family", F.col("i").alias("block"), task(0).alias("t")).unionByName(near.where("i < j").select("family", F.col("j").alias("block"), task(1).alias("t")))
-    return rows.groupBy("family", "block").agg(F.collect_list("t").alias("tasks"))
-
-
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their group; equal rows of one
     document are one; rows without doc_id or words stay."""

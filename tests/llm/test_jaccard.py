@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import jaccard
-from seriesloom.llm.jaccard import block_links, keep_one_each, list_pairs, needed, similar_groups
+from seriesloom.llm.jaccard import Block, Links, _lists, keep_one_each, list_pairs, needed, similar_groups
 
 
 def sets_of(texts, k):
@@ -61,7 +62,9 @@ def corpus(seed, n):
 def test_groups(spark, monkeypatch, k, percent, common):
     texts = corpus(k + percent + common, 60)
     monkeypatch.setattr(jaccard, "COMMON", common)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "LIST_MOST", 64 if common != 4 else 3)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
     rows = similar_groups(docs, k, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, k, percent)
@@ -81,6 +84,18 @@ def test_null_ids_repeated_rows_and_empty(spark):
     assert similar_groups(docs.limit(0)).count() == 0
 
 
+def test_long_lists_meet_through_one_class():
+    """A list over the bound, cut by batches at every place, leaves a star; lists around it leave their pairs."""
+    rows = [(1, 10, 5), (1, 11, 5), *((2, 100 + i, 5) for i in range(9)), (3, 12, 5), (3, 10, 5)]
+    for step in range(1, len(rows) + 1):
+        batches = []
+        for a in range(0, len(rows), step):
+            t, r, n = zip(*rows[a : a + step], strict=True)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(r, pa.int64()), pa.array([x << 31 for x in n], pa.int64()), pa.array([99] * len(t), pa.int64())], ["token", "rep", "place", "ends"]))
+        got = sorted((x["a"], x["b"]) for out in _lists(85, 4, iter(batches)) for x in out.to_pylist())
+        assert got == sorted([(10, 11), (10, 12), *((100, 100 + i) for i in range(1, 9))])
+
+
 def test_skipping_loses_no_pair():
     rng = np.random.default_rng(3)
     n = np.sort(rng.integers(5, 40, 120))
@@ -96,13 +111,16 @@ def test_incremental_overlaps():
     rng = np.random.default_rng(4)
     core = rng.integers(0, 2**63, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(core, 57, False), rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
-    links, degree = block_links(sets, sets, 85, True)
-    joined = {frozenset(x) for x in links}
     direct = {frozenset((i, j)) for i in range(40) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - b)}
+    block, links, names = Block(sets), Links(), np.arange(40)
+    for i, s in enumerate(sets):
+        hit = block.linked(s, 85)
+        hit[i] = False
+        assert set(names[hit].tolist()) == {j for e in direct if i in e for j in e - {i}}
+        links.add(i, names[hit])
+    joined = {frozenset(x) for x in links.pairs}
     assert joined <= direct
-    assert degree.tolist() == [sum(i in e for e in direct) for i in range(40)]
-    _, parts = block_links(sets[:15], sets[15:], 85, False)
-    assert parts.tolist() == [sum(i in e and min(e) < 15 <= max(e) for e in direct) for i in range(40)]
+    assert [links.count.get(i, 0) for i in range(40)] == [sum(i in e for e in direct) for i in range(40)]
 
     def groups(edges):
         up = list(range(40))
