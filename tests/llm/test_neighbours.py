@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 
-from seriesloom.llm.neighbours import nearest_to_every
+from seriesloom.llm import neighbours
+from seriesloom.llm.common import Scratch
+from seriesloom.llm.neighbours import build_index, nearest_to_every, search
 
 
 def brute(rows, every=100, k=10):
@@ -43,3 +45,32 @@ def test_few_rows(spark):
     assert {q: [i for _, i in a] for q, a in answers(nearest_to_every(df)).items()} == {0: [100, 3], 100: [0, 3]}
     assert nearest_to_every(df.limit(1)).count() == 0
     assert nearest_to_every(df.limit(0)).count() == 0
+
+
+def test_shifted_vectors_two_levels_and_queries_from_outside(spark):
+    """A shift of all vectors changes nothing, cells below the pivots lose nothing, and a query needs no row of its own."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 16))
+    x = centres[rng.integers(0, 9, 1200)] + 0.4 * rng.normal(size=(1200, 16)) + 3000.0
+    q = centres[rng.integers(0, 9, 40)] + 0.4 * rng.normal(size=(40, 16)) + 3000.0
+    scratch = Scratch(spark, "outside")
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    index = build_index(df, scratch, pivots=4, chunk=60)
+    assert index.cells is not None and index.cells.count() > 20
+    asked = spark.createDataFrame([(i, v.tobytes(), None) for i, v in enumerate(q)], "query_id long, qvec binary, own long")
+    got = answers(search(index, asked, scratch, beam=64))
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    hits = sum(len({i for _, i in got[j]} & set(np.argsort(d[j])[:10].tolist())) for j in range(40))
+    assert hits >= 0.95 * 400
+    assert all(abs(s - d[j, i]) < 1e-9 for j, found in got.items() for s, i in found)
+
+
+def test_an_edge_stays_new_until_it_was_introduced(spark, monkeypatch):
+    """With room for one guest a round only, pairs that the bound puts off still meet."""
+    monkeypatch.setattr(neighbours, "MEET", 6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(2)
+    got = answers(nearest_to_every(df, every=10, degree=10))
+    want = brute(list(enumerate(x.tolist())), every=10)
+    assert sum(len({i for _, i in got[q]} & {i for _, i in w}) for q, w in want.items()) >= 0.95 * sum(map(len, want.values()))
