@@ -15,6 +15,7 @@ repeated rows; spans of one kind never overlap; other columns are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,13 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     random_ = F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).otherwise(F.regexp_replace(F.substring(F.base64(F.unhex(digest)), 1, 40), "[=]", ""))
     parts = [word(k) for k in range(5)]
     camel = F.concat(parts[0], *(F.initcap(p) for p in parts[1:]))
+    number = F.translate(F.sha2(F.concat_ws("n", "id"), 256), "abcdef", "")
+    running_digits = F.substring(F.lit("0123456789" * 5), F.pmod("id", F.lit(10)).cast("int") + 1, F.lit(20) + F.pmod("id", F.lit(13)).cast("int"))
     ordinary = (
-        F.when(F.col("id") % 5 == 0, camel)
+        F.when(F.col("id") % 11 == 0, F.substring(F.concat(number, number), 1, 26))
+        .when(F.col("id") % 11 == 1, running_digits)
+        .when(F.col("id") % 11 == 2, F.concat_ws("-", F.substring(number, 1, 4), F.substring(number, 5, 2), F.substring(number, 7, 2), F.substring(number, 9, 6), parts[0]))
+        .when(F.col("id") % 5 == 0, camel)
         .when(F.col("id") % 5 == 1, F.concat_ws("_", *parts))
         .when(F.col("id") % 5 == 2, F.concat_ws("-", *parts))
         .when(F.col("id") % 5 == 3, F.concat_ws("/", *parts, F.pmod("id", F.lit(100)).cast("string")))
@@ -92,35 +98,69 @@ def mean_ratio(token: Column, model: list[float]) -> Column:
     return F.get(F.transform(pairs, lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(p), F.lit(1))), F.lit(0))
 
 
+#: Elements of an array that one step of a running value appends to.
+STEP = 256
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The running value before each of some whole numbers, from 0.
+
+    An array can only be extended by copying it, so values run in chunks, and
+    over the chunks: the work grows with the length, not with its square.
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / F.lit(STEP)).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * STEP + 1, F.lit(STEP)))
+
+    def along(array: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.lit([]).cast("array<int>").alias("out"))
+        return F.aggregate(array, start, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), merge))
+    return F.flatten(F.zip_with(pieces, along(totals, F.lit(0)), along))
+
+
 def laid_out(matches: str, pieces: str) -> Column:
     """Code-point spans of matches that lie between pieces, in order."""
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(SPAN).alias("spans"))
+    gaps = F.transform(F.slice(F.col(pieces), F.lit(1), F.size(matches)), lambda p: F.length(p))
+    both = F.zip_with(gaps, F.transform(F.col(matches), lambda m: F.length(m)), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
+    begins = running(F.transform(both, lambda x: x["gap"] + x["n"]), lambda a, x: a + x)
+    return F.zip_with(begins, both, lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end")))
 
-    def put(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
 
-    paired = F.zip_with(F.col(matches), F.slice(F.col(pieces), F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("found"), p.alias("piece")))
-    return F.aggregate(paired, start, put, lambda acc: acc["spans"])
+def blanked(text: Column, pattern: str, gone: Callable[[Column], Column]) -> Column:
+    """text with spaces for those matches of a pattern that are gone."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spaces = F.transform(matches, lambda m: F.when(gone(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+    put = F.zip_with(F.split(text, pattern, -1), spaces, lambda piece, m: F.concat(piece, F.coalesce(m, F.lit(""))))
+    return F.when(F.size(matches) > 0, F.array_join(put, "")).otherwise(text)
 
 
 def with_spans(docs: DataFrame, model: list[float], threshold: float) -> DataFrame:
-    """docs with arrays of spans: _assign, _access, _hex (base) and _random."""
+    """docs with arrays of spans: _assign, _access, _hex (base) and _random.
+
+    The models judge the long tokens of what the base spans leave of a text.
+    """
     df = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
-    df = df.withColumns({f"_m_{k}": F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
     none = F.lit([]).cast("array<string>")
-    df = df.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_text", p, -1)).otherwise(none) for k, p in patterns.items()})
-    df = df.withColumns({f"_s_{k}": laid_out(f"_m_{k}", f"_p_{k}") for k in patterns})
-    long_enough = F.transform("_m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST)
+
+    def found(df: DataFrame, kind: str, text: str, pattern: str) -> DataFrame:
+        df = df.withColumn(f"_m_{kind}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        df = df.withColumn(f"_p_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split(text, pattern, -1)).otherwise(none))
+        return df.withColumn(f"_s_{kind}", F.when(F.size(f"_m_{kind}") > 0, laid_out(f"_m_{kind}", f"_p_{kind}")).otherwise(F.lit([]).cast(SPAN)))
+
+    for kind, pattern in patterns.items():
+        df = found(df, kind, "_text", pattern)
     only = lambda spans, keep: F.transform(F.filter(F.arrays_zip(F.col(spans).alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"])
-    df = df.withColumns({"_assign": only("_s_assign", long_enough), "_access": F.col("_s_access"), "_hex": F.col("_s_hex")})
-    df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
+    long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
+    df = df.withColumns({"_assign": only("_s_assign", F.transform("_m_assign", long_enough)), "_access": F.col("_s_access"), "_hex": F.col("_s_hex")})
+    # what the base spans leave; a match that is too short stays
+    df = df.withColumn("_rest", F.when(F.size("_assign") > 0, blanked(F.col("_text"), ASSIGN, long_enough)).otherwise(F.col("_text")))
+    for kind in ("access", "hex"):
+        df = df.withColumn("_rest", F.when(F.size(f"_{kind}") > 0, blanked(F.col("_rest"), patterns[kind], lambda m: F.lit(True))).otherwise(F.col("_rest")))
+    df = found(df, "random", "_rest", TOKEN)
     likely = F.transform("_m_random", lambda m: mean_ratio(m, model) > threshold)
-    fresh = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    df = df.withColumn("_random", F.filter(only("_s_random", likely), fresh))
-    return df.drop("_base", *(f"_{x}_{k}" for x in "mps" for k in patterns))
+    df = df.withColumn("_random", only("_s_random", likely))
+    return df.drop("_rest", *(f"_{x}_{k}" for x in "mps" for k in [*patterns, "random"]))
 
 
 def as_text(columns: list[str]) -> Column:
@@ -133,6 +173,8 @@ def as_text(columns: list[str]) -> Column:
 
 
 THRESHOLD = 0.8
+#: Code points of a text that are cut together.
+PIECE = 1024
 
 
 def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,13 +190,18 @@ def redact(docs: DataFrame, model: list[float] | None = None, threshold: float =
     model = model or default_model(docs.sparkSession)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")  # names of other columns cannot clash
     df = with_spans(whole, model, threshold).withColumn("_all", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(F.substr("_text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when((s["start"] < acc["at"]) & (acc["at"] > 0), F.lit("")).otherwise(gap)).alias("out"))
-
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr("_text", acc["at"] + 1, F.length("_text"))))
+    df = df.withColumn("_reach", running(F.transform("_all", lambda s: s["end"]), lambda a, x: F.greatest(a, x)))
+    # the text in pieces, so that a gap is cut from where it lies
+    df = df.withColumn("_cut", F.when(F.size("_all") > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / F.lit(PIECE)).cast("int")
+        held = F.slice("_cut", first + 1, F.floor(b / F.lit(PIECE)).cast("int") - first + 1)
+        return F.when(b > a, F.substr(F.array_join(held, ""), a - first * PIECE + 1, b - a)).otherwise(F.lit(""))
+
+    marked = F.zip_with("_all", "_reach", lambda s, at: F.when((s["start"] < at) & (at > 0), F.lit("")).otherwise(F.concat(between(at, s["start"]), F.lit(mark))))
+    last = F.array_max(F.transform("_all", lambda s: s["end"]))
+    clean = F.concat(F.array_join(marked, ""), between(last, F.length("_text")))
     df = df.withColumn("_clean", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
     row = F.col("_row").withField("text", F.col("_clean"))
     if "n_chars" in docs.columns:

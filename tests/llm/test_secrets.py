@@ -39,7 +39,7 @@ def test_models_on_held_out_samples(spark):
     held = labelled_samples(spark, 9000).where(F.pmod(F.xxhash64("text"), F.lit(2)) == 0)
     right = held.select(((mean_ratio(F.col("text"), model) > THRESHOLD) == (F.col("random") == 1)).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.99
-    words = ["eringthheatheainsthernation", "Donaudampfschifffahrtsgesellschaft", "internationalisation-of-things", "getUserNameFromRequestContext"]
+    words = ["01234567890123456789012345", "4111111111111111222233334444", "2024-01-05-12-30-00-backup", "eringthheatheainsthernation", "Donaudampfschifffahrtsgesellschaft", "internationalisation-of-things", "getUserNameFromRequestContext"]
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
     assert find_secrets(docs, model).agg(F.sum("n_random")).first()[0] == 0
 
@@ -50,3 +50,28 @@ def test_random_token_is_added_and_redacted(spark):
     found = {r.doc_id: r.spans for r in find_secrets(docs).collect()}
     assert found[1] == "random:2:28,assign:33:50"
     assert {(r.doc_id, r.text, r.n_chars) for r in redact(docs).collect()} == {(1, "é [SECRET] and [SECRET] end", 27), (2, "clean", 5), (3, None, None)}
+
+
+def marked(text, spans):
+    """Overlapping spans become one mark."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at or at == 0:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_by_spans_and_a_text_of_many_secrets(spark):
+    rng = random.Random(6)
+    bits = ["secret=abcdefgh", "token: 'a1b2c3d4e5f6a7b8c9d0e1f2'", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "deadbeef" * 3 + "api_key=zzzzzz", " ", "é😀 ", "plain words here ", "\n", "qX7zLp0vR2tKw9NbYc4MfH8sD1 ", "ab" * 700]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    texts.append(" and ".join(f"password=x{i}yz{i}w" for i in range(6000)))  # its spans outgrow a step, its text a piece
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    found = {r.doc_id: r for r in find_secrets(docs).collect()}
+    assert found[120].n_assign == 6000
+    for r in redact(docs).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[r.doc_id].spans.split(",") if x]
+        assert [x for x in found[r.doc_id].spans.split(",") if x and not x.startswith("random")] == plain(texts[r.doc_id])
+        assert r.text == marked(texts[r.doc_id], spans) and (r.n_chars == len(r.text) or not spans)
+    assert find_secrets(docs.limit(0)).count() == 0 and redact(docs.limit(0)).count() == 0
