@@ -3,6 +3,7 @@
 from collections import Counter
 
 import public_tokenizers as P
+import pytest
 
 from seriesloom.llm.bpe import codec
 from seriesloom.llm.tokens import CHANGE, TokenLedger, replay
@@ -20,13 +21,27 @@ def test_batches_add_up_and_commit_once(spark, tmp_path):
     first = rows((1, "a", "en", "t1", "insert", 0, 10), (2, "a", None, "t1", "insert", 0, 5), (None, "b", "en", "t1", "insert", 0, 7), (1, "a", "en", "t2", "insert", 0, 8))
     assert ledger.commit("b1", first) and not ledger.commit("b1", first)
     assert totals(ledger) == {("a", "en", "t1"): (1, 10), ("a", None, "t1"): (1, 5), ("b", "en", "t1"): (1, 7), ("a", "en", "t2"): (1, 8)}
-    second = rows((1, "c", "en", "t1", "revise", 1, 12), (2, None, None, "t1", "delete", 1, None), (None, "b", "en", "t1", "revise", 1, 9), (None, "b", "en", "t1", "revise", 2, 3), (9, "x", "x", "t1", "delete", 0, 4))
+    second = rows((1, "c", "en", "t1", "revise", 1, 12), (2, None, None, "t1", "delete", 1, None), (3, "b", "en", "t1", "revise", 1, 9), (3, "b", "en", "t1", "revise", 2, 3), (9, "x", "x", "t1", "delete", 0, 4), (None, "b", "en", "t1", "insert", 0, 7), (None, None, None, "t1", "delete", 0, 1))
     ledger.commit("b2", second)
     ledger.commit("b2", second)
-    assert totals(ledger) == {("c", "en", "t1"): (1, 12), ("b", "en", "t1"): (1, 3), ("a", "en", "t2"): (1, 8)}
+    assert totals(ledger) == {("c", "en", "t1"): (1, 12), ("b", "en", "t1"): (3, 17), ("a", "en", "t2"): (1, 8)}
     assert ledger.batches() == ["b1", "b2"]
 
 
+def test_folded_batches_and_a_second_writer(spark, tmp_path):
+    ledger = TokenLedger(spark, f"file://{tmp_path}", fold=2)
+    for i in range(4):
+        ledger.commit(f"b{i}", spark.createDataFrame([(1, "a", "en", "t", "revise", i, 10 + i), (i + 10, "a", "en", "t", "insert", i, 1), (None, "n", None, "t", "insert", i, 2)], CHANGE))
+    want = {("a", "en", "t"): (5, 17), ("n", None, "t"): (4, 8)}
+    assert totals(ledger) == want and len(ledger._sources()) <= 2
+    assert not ledger.commit("b0", spark.createDataFrame([], CHANGE))
+    (tmp_path / "writer").touch()
+    with pytest.raises(Exception, match="exists"):
+        ledger.commit("b9", spark.createDataFrame([], CHANGE))
+    ledger.unlock()
+    assert totals(ledger) == want
+
+
 def test_unfinished_batch_does_not_count(spark, tmp_path):
     ledger = TokenLedger(spark, f"file://{tmp_path}")
     ledger.commit("b1", spark.createDataFrame([(1, "a", "en", "t", "insert", 0, 1)], CHANGE))
