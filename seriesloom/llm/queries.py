@@ -25,8 +25,8 @@ BPE = "byte_bpe_50k.tiktoken"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bpe = (public_tokenizers.path(BPE), public_tokenizers.PATTERN)
-    return replay(table(spark, sf_dir, "documents"), Scratch(spark, "ledger").root, {"byte_bpe_50k/1": bpe}).totals()
+    versions = {f"{name}/1": (public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return replay(table(spark, sf_dir, "documents"), Scratch(spark, "ledger").root, versions).totals()
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-#: Exponents that temper the observed shares of each dimension.
-MIX = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+#: Given shares of languages; exponents that temper the observed shares of sources and topics.
+MIX = {"source": 0.7, "lang": {"en": 0.5, "de": 0.2, "*": 0.3}, "topic": 0.9}
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import Scratch
-from seriesloom.llm.mixing import mixing_rates, rake, sample_mix
+from seriesloom.llm.mixing import achieved, mixing_rates, rake, sample_mix
 
 
 def test_shares_meet_the_targets(spark):
@@ -42,3 +42,14 @@ def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(None, None, None, None), (1, "", "a", "b"), (1, "", "a", "b")], "doc_id long, text string, source string, lang string")
     assert mixing_rates(docs, {"source": 1.0, "lang": 1.0, "topic": 1.0}, keep=1.0).count() == 3
     assert mixing_rates(docs.limit(0), {"source": 1.0, "lang": 1.0, "topic": 1.0}).count() == 0
+
+
+def test_a_cell_that_is_used_up_leaves_the_others_to_meet_the_targets(spark):
+    """Language b has too few tokens of source y for its rate; the rest of b makes up for it."""
+    rows = [(i, "w " * n, s, lang) for i, (s, lang, n) in enumerate([("x", "a", 500), ("x", "b", 300), ("y", "a", 900), ("y", "b", 20)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("kind", F.lit("k"))
+    mix = {"source": {"x": 0.5, "y": 0.5}, "lang": {"b": 0.36, "*": 0.64}, "topic": 1.0}
+    got = {(r.dimension, r.value): (r.target, r.share) for r in achieved(docs, mix, 0.5, 24, "kind").collect()}
+    assert got.keys() == {("source", "x"), ("source", "y"), ("lang", "a"), ("lang", "b"), ("topic", "k")}
+    # cut without raking anew, b would have 0.3505
+    assert all(share == pytest.approx(target, abs=0.002) for target, share in got.values())
