@@ -7,6 +7,12 @@ is held; three held messages in line from two topics, or ten from one, confirm
 a new base: a gap if it lies ahead by no more than `gap`, else a reset.  A bad
 value still advances the clock.  At each node the values that are fresh are
 averaged, and a one-dimensional Kalman filter smooths them.
+
+A message brings about at most `most_nodes` nodes at once.  One whose stamp the
+grid has not reached waits, with all behind it, in a queue that is part of the
+state; so a small bound delays rows and changes none.  After a reset rows show
+the path of the session before, marked as fallback, until the new one has seen
+a value.  A state that is no longer finite starts anew and keeps its path.
 """
 
 from __future__ import annotations
@@ -14,12 +20,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 HOUR = 3_600_000_000
-OUT = "run long, node long, us long, speed double, variance double, path double, session int, stale boolean"
+OUT = "run long, node long, us long, speed double, variance double, path double, session int, stale boolean, fallback boolean"
 
 
 @dataclass(frozen=True)
@@ -45,6 +52,8 @@ class State:
     path: float = 0.0
     last: dict[str, list] = field(default_factory=dict)
     held: list[list] = field(default_factory=list)
+    queue: list[list] = field(default_factory=list)
+    fallback: float | None = None
 
 
 def _step(s: State, c: Settings) -> dict:
@@ -55,40 +64,58 @@ def _step(s: State, c: Settings) -> dict:
         gain = s.variance / (s.variance + c.noise / len(seen))
         s.speed += gain * (sum(seen) / len(seen) - s.speed)
         s.variance *= 1 - gain
+        s.fallback = None
+    if not (isfinite(s.speed) and isfinite(s.variance)):
+        s.speed, s.variance, s.last = 0.0, 1e4, {}
     s.path += max(s.speed, 0.0) * c.step / HOUR
-    row = {"node": s.node, "us": us, "speed": s.speed, "variance": s.variance, "path": s.path, "session": s.session, "stale": not seen}
+    waits = s.fallback is not None
+    row = {"node": s.node, "us": us, "speed": s.speed, "variance": s.variance, "path": s.fallback if waits else s.path, "session": s.session, "stale": not seen, "fallback": waits}
     s.node += 1
     return row
 
 
+def drain(s: State, c: Settings) -> Iterator[dict]:
+    """The rows that the waiting messages bring about, at most `most_nodes`."""
+    left = c.most_nodes
+    while s.queue:
+        topic, us, value = s.queue[0]
+        if s.clock is None:
+            s.clock, s.node = us, us // c.step
+        if not s.clock - c.back <= us <= s.clock + c.ahead:
+            del s.queue[0]
+            s.held = [h for h in s.held if abs(h[1] - us) <= c.ahead] + [[topic, us, value]]
+            if len(s.held) < (3 if len({h[0] for h in s.held}) > 1 else 10):
+                continue
+            held, s.held = s.held, []
+            first = min(h[1] for h in held)
+            if not s.clock < first <= s.clock + c.gap:
+                s.fallback = s.path if s.fallback is None else s.fallback
+                s.session, s.speed, s.variance, s.path, s.last = s.session + 1, 0.0, 1e4, 0.0, {}
+            s.clock, s.node = first, first // c.step
+            s.queue[:0] = held
+            continue
+        s.held = []
+        while s.node * c.step <= us:
+            if not left:
+                return
+            left -= 1
+            yield _step(s, c)
+        del s.queue[0]
+        s.clock = max(s.clock, us)
+        if value is not None and value == value and abs(value) <= c.most_value:
+            s.last[topic] = [us, value]
+
+
 def feed(s: State, c: Settings, topic: str, us: int, value: float | None) -> Iterator[dict]:
-    """The rows that one message brings about."""
-    if s.clock is None:
-        s.clock, s.node = us, us // c.step
-    if not s.clock - c.back <= us <= s.clock + c.ahead:
-        s.held = [h for h in s.held if abs(h[1] - us) <= c.ahead] + [[topic, us, value]]
-        if len(s.held) < (3 if len({h[0] for h in s.held}) > 1 else 10):
-            return
-        held, s.held = s.held, []
-        first = min(h[1] for h in held)
-        if not s.clock < first <= s.clock + c.gap:
-            s.session, s.speed, s.variance, s.path, s.last = s.session + 1, 0.0, 1e4, 0.0, {}
-        s.clock, s.node = first, first // c.step
-        for h in held:
-            yield from feed(s, c, *h)
-        return
-    s.held = []
-    for _ in range(c.most_nodes):
-        if s.node * c.step > us:
-            break
-        yield _step(s, c)
-    s.clock = max(s.clock, us)
-    if value is not None and value == value and abs(value) <= c.most_value:
-        s.last[topic] = [us, value]
+    """The rows that one message brings about, after those that wait."""
+    s.queue.append([topic, us, value])
+    yield from drain(s, c)
 
 
 def _rows(run, pdf: pd.DataFrame, s: State, c: Settings) -> pd.DataFrame:
     out = [r for t, us, v in zip(pdf["topic"], pdf["us"], pdf["value"], strict=True) for r in feed(s, c, t, int(us), None if pd.isna(v) else float(v))]
+    while rest := list(drain(s, c)):
+        out += rest
     names = [x.split()[0] for x in OUT.split(", ")]
     return pd.DataFrame([{"run": run, **r} for r in out], columns=names)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.sources.tables import series
-from seriesloom.streaming.runner import HOUR, Settings, State, feed, in_batch, in_stream
+from seriesloom.streaming.runner import HOUR, Settings, State, drain, feed, in_batch, in_stream
 
 DIR = "/root/testdata/sf0.001"
 
@@ -53,3 +53,36 @@ def test_lone_outlier_is_held_and_a_confirmed_base_resets():
     _, s = rows(base + late)
     fresh, f = rows(late)
     assert s.session == 1 and s.clock == f.clock and s.path == pytest.approx(f.path)
+
+
+def test_a_small_bound_delays_rows_and_changes_none():
+    msgs = [("click", k * 20 * HOUR, float(10 + k % 7)) for k in range(40)] + [("view", 800 * HOUR + k * HOUR, 30.0) for k in range(30)]
+    want, _ = rows(msgs)
+    for most in (1, 4):
+        s, c = State(), Settings(most_nodes=most)
+        got = []
+        for m in msgs:
+            new = list(feed(s, c, *m))
+            assert len(new) <= most
+            got += new
+        assert s.queue or most > 1
+        while rest := list(drain(s, c)):
+            got += rest
+        assert got == want and not s.queue
+
+
+def test_a_reset_shows_the_path_before_until_a_value_is_seen():
+    base = [("click", k * HOUR, 10.0) for k in range(50)]
+    bad = [(t, 10**15 + k * HOUR, None) for k, t in enumerate(["click", "view"] * 9)]
+    out, s = rows(base + bad + [("click", 10**15 + 20 * HOUR, 7.0), ("click", 10**15 + 40 * HOUR, 7.0)])
+    after = [r for r in out if r["session"] == 1]
+    before = [r for r in out if r["session"] == 0][-1]["path"]
+    assert after[0]["fallback"] and all(r["path"] == before for r in after if r["fallback"])
+    assert not after[-1]["fallback"] and after[-1]["path"] == s.path < before + 1000
+
+
+def test_a_state_that_is_not_finite_starts_anew_and_keeps_its_path():
+    _, s = rows([("click", k * HOUR, 10.0) for k in range(50)])
+    path, s.speed = s.path, float("nan")
+    out = list(feed(s, Settings(), "click", 80 * HOUR, 10.0))
+    assert out[0]["speed"] == 0.0 and out[0]["path"] == path and out[-1]["path"] >= path
