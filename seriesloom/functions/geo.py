@@ -115,6 +115,35 @@ def enu(lat: Column, lon: Column, alt: Column, origin: tuple[float, float, float
     return east, north, up
 
 
+def ecef_inverse(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude in degrees and height, by Bowring's formula."""
+    b, ep2 = A * (1 - E2) ** 0.5, E2 / (1 - E2)
+    p = F.sqrt(x * x + y * y)
+    t = F.atan2(z * A, p * b)
+    phi = F.atan2(z + ep2 * b * F.sin(t) ** 3, p - E2 * A * F.cos(t) ** 3)
+    n = A / F.sqrt(1 - E2 * F.sin(phi) * F.sin(phi))
+    # near the poles the axis gives the height
+    alt = F.when(F.abs(F.cos(phi)) > 1e-6, p / F.cos(phi) - n).otherwise(F.abs(z) / F.abs(F.sin(phi)) - n * (1 - E2))
+    return F.degrees(phi), F.degrees(F.atan2(y, x)), alt
+
+
+def enu_inverse(east: Column, north: Column, up: Column, origin: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and height of a point given east, north and up of an origin."""
+    x, y, z = ecef(*map(F.lit, origin))
+    p, q = F.radians(F.lit(origin[0])), F.radians(F.lit(origin[1]))
+    flat = F.cos(p) * up - F.sin(p) * north
+    return ecef_inverse(x + flat * F.cos(q) - F.sin(q) * east, y + flat * F.sin(q) + F.cos(q) * east, z + F.sin(p) * up + F.cos(p) * north)
+
+
+def equirect(lat: Column, lon: Column, origin: tuple[float, float]) -> tuple[Column, Column]:
+    """East and north of an origin on a sphere, for short ways."""
+    return F.radians(lon - origin[1]) * A * F.cos(F.radians(F.lit(origin[0]))), F.radians(lat - origin[0]) * A
+
+
+def equirect_inverse(east: Column, north: Column, origin: tuple[float, float]) -> tuple[Column, Column]:
+    return F.degrees(north / A) + origin[0], F.degrees(east / (A * F.cos(F.radians(F.lit(origin[0]))))) + origin[1]
+
+
 def wrapped(x: Column, size: float = 100_000) -> Column:
     return F.pmod(x, F.lit(float(size)))
 
@@ -139,3 +168,25 @@ def to_metres_per_second(value: Column, unit: Column, gear: float = 1.0, radius:
         F.when(unit == "m/s", value).when(unit == "km/h", value / 3.6).when(unit == "rad/s", value * radius / gear)
         .when(unit == "rpm", value / 60 * turn).when(unit == "Hz", value * turn).when(unit == "pulses/s", value / pulses * turn)
     )
+
+
+def in_frame(frame: Column, lat: Column, lon: Column, alt: Column, origin: tuple[float, float, float]) -> Column:
+    """x, y, z of a point in the frame that a column names: geo, ecef, enu or equirect."""
+    e, n = equirect(lat, lon, origin[:2])
+    forms = {"geo": (lat, lon, alt), "ecef": ecef(lat, lon, alt), "enu": enu(lat, lon, alt, origin), "equirect": (e, n, alt - origin[2])}
+    point = lambda p: F.struct(*(c.alias(k) for c, k in zip(p, ("x", "y", "z"), strict=True)))
+    return F.coalesce(*(F.when(frame == k, point(p)) for k, p in forms.items()))
+
+
+def from_frame(frame: Column, at: Column, origin: tuple[float, float, float]) -> Column:
+    """lat, lon, alt of a point (x, y, z) in the frame that a column names."""
+    lat, lon = equirect_inverse(at["x"], at["y"], origin[:2])
+    forms = {"geo": (at["x"], at["y"], at["z"]), "ecef": ecef_inverse(at["x"], at["y"], at["z"]), "enu": enu_inverse(at["x"], at["y"], at["z"], origin), "equirect": (lat, lon, at["z"] + origin[2])}
+    point = lambda p: F.struct(*(c.alias(k) for c, k in zip(p, ("lat", "lon", "alt"), strict=True)))
+    return F.coalesce(*(F.when(frame == k, point(p)) for k, p in forms.items()))
+
+
+def frame_of(x: Column, y: Column) -> Column:
+    """The frame that the magnitudes of a set of points speak for (an aggregate over its middle values)."""
+    mx, my = F.approx_percentile(F.abs(x), 0.5), F.approx_percentile(F.abs(y), 0.5)
+    return F.when((mx <= 90) & (my <= 180), "geo").when((mx > 1e6) | (my > 1e6), F.when((mx < 1e6) & (my < 1e7), "utm").otherwise("ecef")).otherwise("enu")

@@ -21,7 +21,7 @@ def normal(*parts: Column) -> Column:
 KINDS = ["zero", "drop", "stuck", "scale_low", "scale_high", "scale_triple", "noise", "missing", "stamp_jump", "zero_then_drop", "outliers", "spike"]
 
 
-def with_fault(df: DataFrame, kind: str, start: Column, length: int, before: int = 1_000_000, jump: int = 30_000_000, sigma: float = 5.0) -> DataFrame:
+def with_fault(df: DataFrame, kind: str, start: Column, length: int, before: int = 1_000_000, jump: int = 30_000_000, sigma: float = 5.0, apart: int = 5_000_000) -> DataFrame:
     """Rows (run, seq, us, value) of df with one kind of fault on [start, start + length) of each run; start uses the run's columns."""
     by_time = Window.partitionBy("run").orderBy("us", "seq")
     df = df.withColumn("_t0", start).withColumn("_in", (F.col("us") >= F.col("_t0")) & (F.col("us") < F.col("_t0") + length))
@@ -33,20 +33,25 @@ def with_fault(df: DataFrame, kind: str, start: Column, length: int, before: int
         drop = inside
     elif kind == "stuck":
         held = F.last(F.when(~inside & (F.col("us") < F.col("_t0")), F.col("value")), True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-        v = F.when(inside, held).otherwise(v)
+        v = F.when(inside, F.coalesce(held, F.lit(0.0))).otherwise(v)
     elif kind.startswith("scale"):
         v = F.when(inside, v * {"scale_low": 0.7, "scale_high": 1.3, "scale_triple": 3.0}[kind]).otherwise(v)
     elif kind == "noise":
         v = F.when(inside, v + sigma * normal(F.col("run"), F.col("seq"), F.lit(kind))).otherwise(v)
     elif kind == "missing":
-        v = F.when(inside, F.lit(None).cast("double")).otherwise(v)
+        v = F.when(inside & (nth == 1), F.lit(None).cast("double")).otherwise(v)
     elif kind == "stamp_jump":
         df = df.withColumn("us", F.when(inside & (nth == 1), F.col("us") + jump).otherwise(F.col("us")))
     elif kind == "zero_then_drop":
         v = F.when((F.col("us") >= F.col("_t0") - before) & (F.col("us") < F.col("_t0")), 0.0).otherwise(v)
         drop = inside
     elif kind == "outliers":
-        v = F.when(inside & (nth <= 3), v * 10).otherwise(v)
+        # the first row from the start on, the first two behind one pause, the first three behind two
+        hit = F.lit(False)
+        for k in range(3):
+            late = F.col("us") >= F.col("_t0") + k * apart
+            hit = hit | (late & (F.sum(late.cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)) <= k + 1))
+        v = F.when(hit, v * 3).otherwise(v)
     elif kind == "spike":
         v = F.when(inside & (nth == 1), v + 1000).otherwise(v)
     else:
@@ -65,7 +70,7 @@ def slip_shape(kind: str, x: Column, length: float, low: float) -> Column:
         "ramp_both": 1 - (1 - low) * F.least(fall, rise),
         "lock": F.lit(0.0),
         "then_lock": F.when(x < 0.5 * length, F.lit(low)).otherwise(0.0),
-        "lock_ramp": F.when(x < 0.5 * length, F.lit(0.0)).otherwise((x - 0.5 * length) / (0.5 * length)),
+        "lock_ramp": F.greatest(1 - x / (0.5 * length), F.lit(0.0)),
         "pulsed": F.when(F.floor(x / (0.125 * length)) % 2 == 0, F.lit(low)).otherwise(1.0),
     }[kind]
     return F.when((x >= 0) & (x < length), inside).otherwise(1.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .timejoin import asof
@@ -48,9 +48,9 @@ def robust_regression(df: DataFrame, by: str, x: str, y: str, rounds: int = 3) -
         if k == rounds:
             return fit
         d = d.join(fit, by).withColumn("_e", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-        w = Window.partitionBy(by)
-        d = d.withColumn("_m", F.percentile(F.when(F.col("_keep"), F.col("_e")), F.lit(0.5)).over(w))
-        d = d.withColumn("_d", F.percentile(F.when(F.col("_keep"), F.abs(F.col("_e") - F.col("_m"))), F.lit(0.5)).over(w))
+        # one small row a key is joined; partial counts of equal residuals are combined before the shuffle
+        d = d.join(d.where("_keep").groupBy(by).agg(F.percentile("_e", F.lit(0.5)).alias("_m")), by)
+        d = d.join(d.where("_keep").groupBy(by).agg(F.percentile(F.abs(F.col("_e") - F.col("_m")), F.lit(0.5)).alias("_d")), by)
         d = d.withColumn("_keep", F.abs(F.col("_e") - F.col("_m")) < 4 * 1.4826 * F.col("_d")).select(by, x, y, "_keep")
 
 

@@ -44,6 +44,15 @@ def centred_difference(df: DataFrame, by: list[str], on: str, value: str, k: int
     return df.withColumn("slope", (F.lead(value, k).over(w) - F.lag(value, k).over(w)) / span)
 
 
+def gradient(df: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
+    """df with slope (per second): second order on uneven steps inside, one-sided at both ends."""
+    w = Window.partitionBy(*by).orderBy(on)
+    hs, hd = (F.col(on) - F.lag(on).over(w)) / 1e6, (F.lead(on).over(w) - F.col(on)) / 1e6
+    before, v, after = F.lag(value).over(w), F.col(value), F.lead(value).over(w)
+    inner = (hs * hs * after + (hd * hd - hs * hs) * v - hd * hd * before) / (hs * hd * (hs + hd))
+    return df.withColumn("slope", F.when(hs.isNull(), (after - v) / hd).when(hd.isNull(), (v - before) / hs).otherwise(inner))
+
+
 def corrected_clock(df: DataFrame, by: list[str], arrived: str, stamped: str, most: int) -> DataFrame:
     """df with fixed: the stamp, or arrival less the median offset where a stamp is further off than most."""
     off = F.col(arrived) - F.col(stamped)

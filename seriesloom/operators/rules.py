@@ -120,3 +120,39 @@ def densified(df: DataFrame, by: str, order: str, x: str, y: str, spacing: float
     seg = seg.where(low <= high).withColumn("node", F.explode(F.sequence(low, high)))
     t = (F.col("node") * spacing - F.col("a")) / (F.col("b") - F.col("a"))
     return seg.select(by, "node", (F.col("xa") + (F.col("xb") - F.col("xa")) * t).alias("x"), (F.col("ya") + (F.col("yb") - F.col("ya")) * t).alias("y"))
+
+
+def shaped(array: Column, width: int, least: int) -> Column:
+    """An array as rows of that width; empty if it is null or shorter than least."""
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(array) / width).cast("int") - 1), lambda i: F.slice(array, i * width + 1, F.lit(width)))
+    return F.when(array.isNotNull() & (F.size(array) >= max(least, width)), rows).otherwise(F.array())
+
+
+def published(flag: Column, *values: Column) -> Column:
+    """Is a row marked as valid, with all values finite."""
+    ok = F.coalesce(flag, F.lit(False))
+    for v in values:
+        ok = ok & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def without_after(df: DataFrame, by: str, on: str, topic: str, gone: list[str], first: str, length: int) -> DataFrame:
+    """df without the rows of the topics in gone that come `length` or more after the key's first row of the topic `first`."""
+    begin = F.min(F.when(F.col(topic) == first, F.col(on))).over(Window.partitionBy(by))
+    return df.withColumn("_begin", begin).where(~(F.col(topic).isin(gone) & F.coalesce(F.col(on) >= F.col("_begin") + length, F.lit(False)))).drop("_begin")
+
+
+def fused(df: DataFrame, by: str, order: list[str], a: str, b: str, least: float, most: float, share: float) -> DataFrame:
+    """df with point: at that share of the way from a to b where their distance is plausible (by_pair), else a and
+    that share of the last plausible way."""
+    way = F.when(F.abs(F.col(b) - F.col(a)).between(least, most), F.col(b) - F.col(a))
+    last = F.last(way, True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("point", F.col(a) + share * F.coalesce(way, last)).withColumn("by_pair", way.isNotNull())
+
+
+def bounded_by(df: DataFrame, by: list[str], level: str, rest: int, value: str) -> DataFrame:
+    """df (a small table) with fixed: value, at levels above rest not below that of rest, below it not above; and whether the bound took effect."""
+    base = df.where(F.col(level) == rest).select(*by, F.col(value).alias("_rest"))
+    d = df.join(base, by)
+    fixed = F.when(F.col(level) > rest, F.greatest(value, "_rest")).when(F.col(level) < rest, F.least(value, "_rest")).otherwise(F.col(value))
+    return d.withColumn("fixed", fixed).withColumn("bound", F.col("fixed") != F.col(value)).drop("_rest")

@@ -35,10 +35,17 @@ def folds(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % k)
 
 
-def overlaps(df: DataFrame, by: str, key: str, start: str, end: str) -> DataFrame:
-    """by, a, b, overlap of all pairs of intervals of one key that overlap, a before b."""
-    x, y = df.select(by, F.struct(key, start, end).alias("x")), df.select(by, F.struct(key, start, end).alias("y"))
-    pairs = x.join(y, by).where((F.col("x")[key] < F.col("y")[key]) & (F.col("x")[start] < F.col("y")[end]) & (F.col("y")[start] < F.col("x")[end]))
+def overlaps(df: DataFrame, by: str, key: str, start: str, end: str, width: int) -> DataFrame:
+    """by, a, b, overlap of all pairs of intervals of one key that overlap, a before b.
+
+    An interval is listed in every bucket of that width that it touches; a pair
+    counts in the bucket where its overlap begins, so only neighbours in time meet.
+    """
+    last = F.greatest(F.floor((F.col(end) - 1) / width), F.floor(F.col(start) / width))
+    listed = df.select(by, F.struct(key, start, end).alias("x"), F.explode(F.sequence(F.floor(F.col(start) / width), last)).alias("_bucket"))
+    x, y = listed, listed.withColumnRenamed("x", "y")
+    begins = F.floor(F.greatest(F.col("x")[start], F.col("y")[start]) / width) == F.col("_bucket")
+    pairs = x.join(y, [by, "_bucket"]).where(begins & (F.col("x")[key] < F.col("y")[key]) & (F.col("x")[start] < F.col("y")[end]) & (F.col("y")[start] < F.col("x")[end]))
     shared = F.least(F.col("x")[end], F.col("y")[end]) - F.greatest(F.col("x")[start], F.col("y")[start])
     return pairs.select(by, F.col("x")[key].alias("a"), F.col("y")[key].alias("b"), shared.alias("overlap"))
 

@@ -92,3 +92,18 @@ def match_path(df: DataFrame, line: list[tuple[float, float]], by: str, order: s
         return pd.DataFrame({by: pdf[by], order: pdf[order], "s": [o[0] for o in out], "miss": [o[1] for o in out]})
 
     return df.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, s double, miss double")
+
+
+def snapped(probes: DataFrame, points: DataFrame, key: str, radius: float) -> DataFrame:
+    """key, n, cx, cy: the mean of the points within radius of each probe, a point at distance d weighing 1 / (1 + d)."""
+    w = 1 / (1 + F.col("d"))
+    g = within(probes, points, radius).groupBy(key)
+    return g.agg(F.count("*").alias("n"), (F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy"))
+
+
+def offsets_to_others(df: DataFrame, by: str, key: str, x: str, y: str, radius: float) -> DataFrame:
+    """by, key, side: how far (in y) each point lies from the nearest point of another key within radius."""
+    probes = df.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(x).alias("px"), F.col(y).alias("py"))
+    pairs = within(probes, df.select(by, key, F.col(x).alias("x"), F.col(y).alias("y")), radius).where(F.col("_by") != F.col(by))
+    best = F.min(F.struct(F.round("d", 9).alias("d"), by, key, (F.col("py") - F.col("y")).alias("side")))
+    return pairs.groupBy("_by", "_key").agg(best.alias("b")).select(F.col("_by").alias(by), F.col("_key").alias(key), "b.side")

@@ -53,16 +53,16 @@ def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str],
     return got.withColumns({f"other_{on}": picked[on], **{f"other_{v}": fill(picked[v]) for v in values}}).drop("prev", "next")
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], tie: str | None = None) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], tie: str | None = None, bucket: int | None = None) -> DataFrame:
     """left with the first right row at or after it."""
-    got = around(left, right, by, on, values, tie)
+    got = around(left, right, by, on, values, tie, bucket)
     picked = F.when(F.col("prev")[on] == F.col(on), F.col("prev")).otherwise(F.col("next"))
     return got.withColumns({f"other_{x}": picked[x] for x in (on, *values)}).drop("prev", "next")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], tolerance: int, tie: str | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], tolerance: int, tie: str | None = None, bucket: int | None = None) -> DataFrame:
     """left with the nearest right row and ok: within the tolerance; equal distances go to the later row."""
-    got = around(left, right, by, on, values, tie)
+    got = around(left, right, by, on, values, tie, bucket)
     before, after = F.col(on) - F.col("prev")[on], F.col("next")[on] - F.col(on)
     picked = F.when(F.col("prev").isNull() | (after <= before), F.coalesce("next", "prev")).otherwise(F.col("prev"))
     got = got.withColumns({f"other_{x}": picked[x] for x in (on, *values)}).drop("prev", "next")
@@ -75,21 +75,21 @@ def between(at: Column, on: str, value: str) -> Column:
     return F.when(F.col("prev").isNull(), v1).when(F.col("next").isNull() | (t0 == at), v0).otherwise(v0 + (v1 - v0) * ((at - t0) / (t1 - t0)))
 
 
-def interpolate(left: DataFrame, right: DataFrame, by: str, on: str, value: str, tie: str | None = None) -> DataFrame:
-    return around(left, right, by, on, [value], tie).withColumn(f"interp_{value}", between(F.col(on), on, value)).drop("prev", "next")
+def interpolate(left: DataFrame, right: DataFrame, by: str, on: str, value: str, tie: str | None = None, bucket: int | None = None) -> DataFrame:
+    return around(left, right, by, on, [value], tie, bucket).withColumn(f"interp_{value}", between(F.col(on), on, value)).drop("prev", "next")
 
 
-def fresh(left: DataFrame, right: DataFrame, by: str, on: str, most: int) -> DataFrame:
+def fresh(left: DataFrame, right: DataFrame, by: str, on: str, most: int, bucket: int | None = None) -> DataFrame:
     """left with fresh: right has rows within `most` on both sides."""
-    got = around(left, right, by, on, [])
+    got = around(left, right, by, on, [], None, bucket)
     ok = (F.col(on) - F.col("prev")[on] <= most) & ((F.col("prev")[on] == F.col(on)) | (F.col("next")[on] - F.col(on) <= most))
     return got.withColumn("fresh", F.coalesce(ok, F.lit(False))).drop("prev", "next")
 
 
-def mutual_pairs(a: DataFrame, b: DataFrame, by: str, on: str, key: str, tolerance: int) -> DataFrame:
+def mutual_pairs(a: DataFrame, b: DataFrame, by: str, on: str, key: str, tolerance: int, bucket: int | None = None) -> DataFrame:
     """One-to-one pairs (by, a_key, b_key): each is the other's nearest within the tolerance."""
-    ab = nearest(a, b, by, on, [key], tolerance).where("ok").select(by, F.col(key).alias("a_key"), F.col(f"other_{key}").alias("b_key"))
-    ba = nearest(b, a, by, on, [key], tolerance).where("ok").select(by, F.col(f"other_{key}").alias("a_key"), F.col(key).alias("b_key"))
+    ab = nearest(a, b, by, on, [key], tolerance, None, bucket).where("ok").select(by, F.col(key).alias("a_key"), F.col(f"other_{key}").alias("b_key"))
+    ba = nearest(b, a, by, on, [key], tolerance, None, bucket).where("ok").select(by, F.col(f"other_{key}").alias("a_key"), F.col(key).alias("b_key"))
     return ab.join(ba, [by, "a_key", "b_key"])
 
 
@@ -101,9 +101,9 @@ def band_pairs(a: DataFrame, b: DataFrame, by: str, on: str, width: int) -> Data
     return left.join(right, [by, "_bucket"]).where(F.abs(F.col("a")[on] - F.col("b")[on]) <= width).select("a", "b")
 
 
-def first_response(inputs: DataFrame, outputs: DataFrame, by: str, on: str) -> DataFrame:
+def first_response(inputs: DataFrame, outputs: DataFrame, by: str, on: str, bucket: int | None = None) -> DataFrame:
     """Each input with the time to the first output at or after it; null if unanswered."""
-    got = asof_forward(inputs, outputs, by, on, [])
+    got = asof_forward(inputs, outputs, by, on, [], None, bucket)
     return got.withColumn("latency", F.col(f"other_{on}") - F.col(on))
 
 
@@ -116,3 +116,22 @@ def freshest_of(outputs: DataFrame, inputs: DataFrame, by: str, on: str, arrival
     times = F.slice(F.reverse(F.collect_list("_in").over(w)), 1, last)
     fresh_ = F.array_max(F.filter(times, lambda t: t <= F.col(on)))
     return both.withColumn("age", F.col(on) - fresh_).where("_side = 1").drop("_in", "_side")
+
+
+def answered(inputs: DataFrame, outputs: DataFrame, by: str, on: str, arrival: str, bucket: int | None = None) -> DataFrame:
+    """Each input with answered_at: the later of the time of the first output that arrived at or after it and that
+    of the first output with a time at or after its own; null where one of them is missing."""
+    by_time = asof_forward(inputs, outputs, by, on, [], None, bucket).withColumnRenamed(f"other_{on}", "_a")
+    by_arrival = asof_forward(by_time, outputs, by, arrival, [on]).withColumnRenamed(f"other_{on}", "_b").drop(f"other_{arrival}")
+    both = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b"))
+    return by_arrival.withColumn("answered_at", both).drop("_a", "_b")
+
+
+def history(left: DataFrame, right: DataFrame, by: str, on: str, value: str, delay: int, horizon: int, bucket: int | None = None) -> DataFrame:
+    """left with past_<value>: right's value at `on` - delay, interpolated; the latest one where it ends before, and
+    null where its last row by then is older than the horizon, or none is there."""
+    at = left.withColumn("_own", F.col(on)).withColumn(on, F.col(on) - delay)
+    got = around(at, right, by, on, [value], None, bucket)
+    kept = F.col("prev").isNotNull() & (F.col(on) - F.col("prev")[on] <= horizon)
+    got = got.withColumn(f"past_{value}", F.when(kept, F.when(F.col("next").isNull(), F.col("prev")[value]).otherwise(between(F.col(on), on, value))))
+    return got.withColumn(on, F.col("_own")).drop("_own", "prev", "next")

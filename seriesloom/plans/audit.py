@@ -131,8 +131,8 @@ def windowed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 6).alias("mae"), F.round(F.max(F.abs("e")), 6).alias("worst"))
 
 
-@query(f"""WITH {S}, c AS (SELECT run, seq, value, us, min(us) OVER (PARTITION BY run) // 86400000000 * 86400000000 + 432000000000 AS t0, row_number() OVER (PARTITION BY run ORDER BY us, seq) AS pos FROM s WHERE topic = 'click'),
-e AS (SELECT run, pos, value IS NOT DISTINCT FROM CASE WHEN us >= t0 AND us < t0 + 432000000000 THEN NULL ELSE value END AS same FROM c) SELECT run, count(*) AS rows, count(*) FILTER (same) AS equal, min(pos) FILTER (NOT same) AS first_difference FROM e GROUP BY run""")
+@query(f"""WITH {S}, c AS (SELECT run, seq, value, us, min(us) OVER (PARTITION BY run) // 86400000000 * 86400000000 + 432000000000 AS t0, row_number() OVER (PARTITION BY run ORDER BY us, seq) AS pos, sum(CASE WHEN us >= a0 AND us < a0 + 432000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS nth FROM (SELECT *, min(us) OVER (PARTITION BY run) // 86400000000 * 86400000000 + 432000000000 AS a0 FROM s WHERE topic = 'click') WHERE topic = 'click'),
+e AS (SELECT run, pos, value IS NOT DISTINCT FROM CASE WHEN us >= t0 AND us < t0 + 432000000000 AND nth = 1 THEN NULL ELSE value END AS same FROM c) SELECT run, count(*) AS rows, count(*) FILTER (same) AS equal, min(pos) FILTER (NOT same) AS first_difference FROM e GROUP BY run""")
 def log_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = clicks(spark, sf_dir)
     w = Window.partitionBy("run").orderBy("us", "seq")

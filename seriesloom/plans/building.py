@@ -81,10 +81,3 @@ def start_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sigma_point_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.sigma_filtered(series(spark, sf_dir, "click"))
-
-
-@query()
-def plant_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = filters.plant(spark, {"cruise": [(10, 10), (20, 0), (10, -8)], "crawl": [(20, 3), (5, 0)], "brake": [(15, 15), (10, -15)]}, 3)
-    e = (F.col("front") + F.col("rear")) / 2 - F.col("truth")
-    return made.groupBy("scenario", "seed").agg(F.count("*").alias("n"), F.round(F.max("truth"), 6).alias("top"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))

@@ -47,7 +47,7 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT * FROM s WHERE topic = 'click') a ASOF LEFT JOIN (SELECT * FROM s WHERE topic = 'purchase') b ON a.run = b.run AND a.us <= b.us""")
 def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "purchase")
-    return timejoin.asof_forward(a.drop("value"), b, "run", "us", ["value"], tie="seq")
+    return timejoin.asof_forward(a.drop("value"), b, "run", "us", ["value"], tie="seq", bucket=240 * HOUR)
 
 
 @query("""SELECT a.run, a.seq, a.us, coalesce(b.us, f.us) AS other_us, coalesce(b.value, f.value) AS other_value
@@ -76,7 +76,7 @@ CASE WHEN pus IS NULL OR nus - us <= us - pus THEN coalesce(nv, pv) ELSE pv END
 @query(NEAREST.format(right="view") + "SELECT *, coalesce(abs(other_us - us) <= 21600000000, false) AS ok FROM c")
 def nearest_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "view")
-    return timejoin.nearest(a.drop("value"), b, "run", "us", ["value"], 6 * HOUR, "seq")
+    return timejoin.nearest(a.drop("value"), b, "run", "us", ["value"], 6 * HOUR, "seq", 240 * HOUR)
 
 
 @query("SELECT run, seq, us, us + 1000 AS other_us, 1 AS other_side, true AS ok FROM s WHERE topic = 'signup'")
@@ -84,7 +84,7 @@ def nearest_tie_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     (a,) = topics(spark, sf_dir, "signup")
     a = a.drop("value")
     sides = a.select("run", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "us").withColumn("us", F.col("us") + 1000 * F.col("side"))
-    return timejoin.nearest(a, sides, "run", "us", ["side"], 1000)
+    return timejoin.nearest(a, sides, "run", "us", ["side"], 1000, bucket=240 * HOUR)
 
 
 @query(""", a AS (SELECT * FROM s WHERE topic = 'click'), b AS (SELECT * FROM s WHERE topic = 'view'),
@@ -93,7 +93,7 @@ n AS (SELECT a.seq, b.us AS t1, b.value AS v1 FROM a ASOF LEFT JOIN b ON a.run =
 SELECT run, p.seq, us, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = us THEN v0 ELSE v0 + (v1 - v0) * ((us - t0) / (t1 - t0)) END, 6) AS interp_value FROM p JOIN n USING (seq)""")
 def interp_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "view")
-    return timejoin.interpolate(a.drop("value"), b, "run", "us", "value", "seq").withColumn("interp_value", F.round("interp_value", 6))
+    return timejoin.interpolate(a.drop("value"), b, "run", "us", "value", "seq", 240 * HOUR).withColumn("interp_value", F.round("interp_value", 6))
 
 
 @query(""", a AS (SELECT * FROM s WHERE topic = 'click'), b AS (SELECT * FROM s WHERE topic = 'view'),
@@ -102,7 +102,7 @@ n AS (SELECT a.seq, b.us AS t1 FROM a ASOF LEFT JOIN b ON a.run = b.run AND a.us
 SELECT run, p.seq, us, coalesce(us - t0 <= 43200000000 AND t1 - us <= 43200000000, false) AS fresh FROM p JOIN n USING (seq)""")
 def fresh_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "view")
-    return timejoin.fresh(a.drop("value"), b, "run", "us", 12 * HOUR)
+    return timejoin.fresh(a.drop("value"), b, "run", "us", 12 * HOUR, 240 * HOUR)
 
 
 PAIR = """(SELECT run, seq AS {x}, CASE WHEN p IS NULL OR n - us <= us - p THEN coalesce(ns, ps) ELSE ps END AS {y}, CASE WHEN p IS NULL OR n - us <= us - p THEN coalesce(n, p) ELSE p END AS t, us FROM
@@ -112,7 +112,7 @@ PAIR = """(SELECT run, seq AS {x}, CASE WHEN p IS NULL OR n - us <= us - p THEN
 @query(", a AS (SELECT * FROM s WHERE topic = 'click'), b AS (SELECT * FROM s WHERE topic = 'view') SELECT x.run, x.a_key, x.b_key FROM " + PAIR.format(x="a_key", y="b_key", a="a", b="b") + " x JOIN " + PAIR.format(x="b_key", y="a_key", a="b", b="a") + " y ON x.run = y.run AND x.a_key = y.a_key AND x.b_key = y.b_key WHERE abs(x.t - x.us) <= 21600000000")
 def paired_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "view")
-    return timejoin.mutual_pairs(a, b, "run", "us", "seq", 6 * HOUR)
+    return timejoin.mutual_pairs(a, b, "run", "us", "seq", 6 * HOUR, 240 * HOUR)
 
 
 @query("SELECT a.run, a.seq AS a_seq, b.seq AS b_seq, b.us - a.us AS gap FROM s a JOIN s b ON a.run = b.run AND a.topic = 'click' AND b.topic = 'view' AND abs(a.us - b.us) <= 36000000000")
@@ -125,7 +125,7 @@ def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run, count(*) AS inputs, count(*) - count(latency) AS unanswered, min(latency) AS fastest, round(quantile_cont(latency, 0.5), 1) AS median FROM r GROUP BY run""")
 def first_response_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "click", "purchase")
-    r = timejoin.first_response(a, b, "run", "us")
+    r = timejoin.first_response(a, b, "run", "us", 240 * HOUR)
     return r.groupBy("run").agg(F.count("*").alias("inputs"), (F.count("*") - F.count("latency")).alias("unanswered"), F.min("latency").alias("fastest"), F.round(F.percentile("latency", F.lit(0.5)), 1).alias("median"))
 
 

@@ -48,7 +48,7 @@ SELECT x.cust, x.k AS a, y.k AS b, least(x.b, y.b) - greatest(x.a, y.a) AS overl
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(micros(F.col("o_orderdate")) / (24 * HOUR))
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("k"), day.alias("start"), (day + 30).alias("stop"))
-    return sets.overlaps(o, "cust", "k", "start", "stop")
+    return sets.overlaps(o, "cust", "k", "start", "stop", 30)
 
 
 @query(f"""WITH {S}, c AS (SELECT DISTINCT run, us // 86400000000 AS day, CAST(floor(value / 20) AS BIGINT) AS level FROM s), n AS (SELECT run, count(*) AS n FROM c GROUP BY run),
@@ -59,13 +59,13 @@ def cell_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.shared_cells(d, "run", ["day", "level"]).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey + 1 + c_nationkey <= (SELECT max(c_custkey) FROM customer)),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_custkey + 1 + c_nationkey <= (SELECT max(c_custkey) FROM customer)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     to = F.col("c_custkey") + 1 + F.col("c_nationkey")
     last = c.agg(F.max("c_custkey")).first()[0]
-    return sets.components(c.where((F.col("c_custkey") % 3 != 0) & (to <= last)).select(F.col("c_custkey").alias("a"), to.alias("b")))
+    return sets.components(c.where(to <= last).select(F.col("c_custkey").alias("a"), to.alias("b")))
 
 
 @query("""WITH f AS (SELECT p_brand, p_partkey, p_retailprice, CASE WHEN p_retailprice - lag(p_retailprice) OVER w > 3 THEN 1 ELSE 0 END AS far FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey))
@@ -177,22 +177,29 @@ def radius_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(probes, p, 9).select("probe", "vec_id", F.round("d", 6).alias("d"))
 
 
-RING = "SELECT s_suppkey AS seg, 100 * cos(2 * pi() * s_suppkey / 100) AS ax, 100 * sin(2 * pi() * s_suppkey / 100) AS ay, 100 * cos(2 * pi() * (s_suppkey + 1) / 100) AS ex, 100 * sin(2 * pi() * (s_suppkey + 1) / 100) AS ey, s_suppkey * 200 * sin(pi() / 100) AS s0 FROM supplier WHERE s_suppkey < 100"
+RING = "SELECT s_suppkey AS seg, 100 * cos(2 * pi() * s_suppkey / 100) AS ax, 100 * sin(2 * pi() * s_suppkey / 100) AS ay, 100 * cos(2 * pi() * (s_suppkey + 1) / 100) AS ex, 100 * sin(2 * pi() * (s_suppkey + 1) / 100) AS ey, s_suppkey * 200 * sin(pi() / 100) AS s0 FROM supplier"
 SEEN = "SELECT c_custkey AS k, (92 + c_custkey % 17) * cos(c_custkey * 0.37) AS px, (92 + c_custkey % 17) * sin(c_custkey * 0.37) AS py FROM customer"
 
 
-@query(f"""WITH g AS ({RING}), c AS ({SEEN}), t AS (SELECT *, least(greatest(((px - ax) * (ex - ax) + (py - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) AS t, sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)) AS l FROM c, g),
+_PROJECT = """WITH g AS ({line}), c AS ({seen}), t AS (SELECT *, least(greatest(((px - ax) * (ex - ax) + (py - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) AS t, sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)) AS l FROM c, g),
 d AS (SELECT *, sqrt((px - ax - t * (ex - ax)) ** 2 + (py - ay - t * (ey - ay)) ** 2) AS d FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(d, 9), seg) AS r FROM d WHERE d <= 14)
-SELECT k, seg, round(s0 + t * l, 6) AS along, round(sign((ex - ax) * (py - ay) - (ey - ay) * (px - ax)) * d, 6) AS "cross" FROM r WHERE r = 1""")
+SELECT k, seg, round(s0 + t * l, 6) AS along, round(sign((ex - ax) * (py - ay) - (ey - ay) * (px - ax)) * d, 6) AS "cross" FROM r WHERE r = 1"""
+
+
+@query(_PROJECT.format(line=RING, seen=SEEN))
 def polyline_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("loom_supplier")
-    table(spark, sf_dir, "customer").createOrReplaceTempView("loom_customer")
-    ring, seen = spark.sql(RING.replace("FROM supplier", "FROM loom_supplier")), spark.sql(SEEN.replace("FROM customer", "FROM loom_customer"))
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    x, y = lambda i: 100 * F.cos(2 * F.pi() * i / 100), lambda i: 100 * F.sin(2 * F.pi() * i / 100)
+    ring = table(spark, sf_dir, "supplier").select(k.alias("seg"), x(k).alias("ax"), y(k).alias("ay"), x(k + 1).alias("ex"), y(k + 1).alias("ey"), (k * 200 * F.sin(F.pi() / 100)).alias("s0"))
+    seen = table(spark, sf_dir, "customer").select(c.alias("k"), ((92 + c % 17) * F.cos(c * 0.37)).alias("px"), ((92 + c % 17) * F.sin(c * 0.37)).alias("py"))
     d = spatial.project(seen, ring, "k", 14)
     return d.select("k", "seg", F.round("along", 6).alias("along"), F.round("cross", 6).alias("cross"))
 
 
-@query()
+ZIGZAG = "SELECT s_suppkey AS seg, s_suppkey * 6::DOUBLE AS ax, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 8 END::DOUBLE AS ay, s_suppkey * 6::DOUBLE + 6 AS ex, CASE WHEN s_suppkey % 2 = 1 THEN 0 ELSE 8 END::DOUBLE AS ey, s_suppkey * 10::DOUBLE AS s0 FROM supplier"
+
+
+@query(_PROJECT.format(line=ZIGZAG, seen="SELECT c_custkey AS k, c_custkey * 0.4::DOUBLE + c_custkey % 7 AS px, (c_custkey % 41 - 16)::DOUBLE AS py FROM customer"))
 def polyline_projection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers along a zigzag of one segment a supplier, each 10 long, so the line grows with its table."""
     up = lambda k: F.when(k % 2 == 0, 0.0).otherwise(8.0)
@@ -231,22 +238,22 @@ _U = "CAST(CAST('0x' || substr(md5(concat_ws(':', run, seq, 'noise', '{x}')), 1,
 FAULT_SQL = {
     "zero": "SELECT run, seq, us, CASE WHEN hit THEN 0.0 ELSE value END AS value FROM f",
     "drop": "SELECT run, seq, us, value FROM f WHERE NOT hit",
-    "stuck": "SELECT run, seq, us, CASE WHEN hit THEN held ELSE value END AS value FROM f",
+    "stuck": "SELECT run, seq, us, CASE WHEN hit THEN coalesce(held, 0.0) ELSE value END AS value FROM f",
     "scale_low": "SELECT run, seq, us, round(CASE WHEN hit THEN value * 0.7 ELSE value END, 6) AS value FROM f",
     "scale_high": "SELECT run, seq, us, round(CASE WHEN hit THEN value * 1.3 ELSE value END, 6) AS value FROM f",
     "scale_triple": "SELECT run, seq, us, round(CASE WHEN hit THEN value * 3.0 ELSE value END, 6) AS value FROM f",
     "noise": f"SELECT run, seq, us, round(CASE WHEN hit THEN value + 5 * sqrt(-2 * ln(1 - {_U.format(x='u')})) * cos(2 * pi() * ({_U.format(x='v')})) ELSE value END, 6) AS value FROM f",
-    "missing": "SELECT run, seq, us, CASE WHEN hit THEN NULL ELSE value END AS value FROM f",
+    "missing": "SELECT run, seq, us, CASE WHEN hit AND nth = 1 THEN NULL ELSE value END AS value FROM f",
     "stamp_jump": "SELECT run, seq, CASE WHEN hit AND nth = 1 THEN us + 30000000 ELSE us END AS us, value FROM f",
     "zero_then_drop": "SELECT run, seq, us, CASE WHEN us >= t0 - 86400000000 AND us < t0 THEN 0.0 ELSE value END AS value FROM f WHERE NOT hit",
-    "outliers": "SELECT run, seq, us, round(CASE WHEN hit AND nth <= 3 THEN value * 10 ELSE value END, 6) AS value FROM f",
+    "outliers": "SELECT run, seq, us, round(CASE WHEN " + " OR ".join(f"(us >= t0 + {k * DAY} AND count(*) FILTER (us >= t0 + {k * DAY}) OVER w <= {k + 1})" for k in range(3)) + " THEN value * 3 ELSE value END, 6) AS value FROM f WINDOW w AS (PARTITION BY run ORDER BY us, seq ROWS UNBOUNDED PRECEDING)",
     "spike": "SELECT run, seq, us, round(CASE WHEN hit AND nth = 1 THEN value + 1000 ELSE value END, 6) AS value FROM f",
 }
 
 
 def _fault_query(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return faults.with_fault(clicks(spark, sf_dir), kind, fault_start(), 5 * DAY, before=DAY).withColumn("value", F.round("value", 6))
+        return faults.with_fault(clicks(spark, sf_dir), kind, fault_start(), 5 * DAY, before=DAY, apart=DAY).withColumn("value", F.round("value", 6))
 
     run.__name__ = f"fault_{kind}"
     return run
@@ -257,7 +264,7 @@ for _kind in faults.KINDS:
 
 _SHAPE = {
     "step": "0.3", "ramp_in": "1 - 0.7 * fall", "ramp_out": "1 - 0.7 * rise", "ramp_both": "1 - 0.7 * least(fall, rise)", "lock": "0.0", "then_lock": "CASE WHEN x < 216000 THEN 0.3 ELSE 0.0 END",
-    "lock_ramp": "CASE WHEN x < 216000 THEN 0.0 ELSE (x - 216000) / 216000 END", "pulsed": "CASE WHEN CAST(floor(x / 54000) AS BIGINT) % 2 = 0 THEN 0.3 ELSE 1.0 END",
+    "lock_ramp": "greatest(1 - x / 216000, 0)", "pulsed": "CASE WHEN CAST(floor(x / 54000) AS BIGINT) % 2 = 0 THEN 0.3 ELSE 1.0 END",
 }
 
 

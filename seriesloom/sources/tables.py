@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,19 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     pos = F.col("pos").cast("long") if "pos" in df.columns else F.monotonically_increasing_id()
     return df.select(F.col("line"), pos.alias("pos"), F.expr("try_cast(lat as double)").alias("lat"), F.expr("try_cast(lon as double)").alias("lon"))
+
+
+def run_list(df: DataFrame) -> DataFrame:
+    """run, topic, rows, start, duration and the topic's share of the run's rows; one small row per run and topic."""
+    g = df.groupBy("run", "topic").agg(F.count("*").alias("rows"), F.min("us").alias("start"), (F.max("us") - F.min("us")).alias("duration"))
+    return g.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy("run")))
+
+
+def typed(df: DataFrame, topic: str, payload: str, schemas: dict[str, str]) -> DataFrame:
+    """Rows of the named topics with the fields of their JSON payload; a schema for each topic, all of one form of row."""
+    names = list(dict.fromkeys(f.split()[0] for s in schemas.values() for f in s.split(", ")))
+    parts = [df.where(F.col(topic) == t).withColumn("_p", F.from_json(payload, s)).select("*", "_p.*").drop("_p") for t, s in schemas.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select(*df.columns, *names)

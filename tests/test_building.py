@@ -7,7 +7,7 @@ import pytest
 
 from seriesloom.functions import config
 from seriesloom.operators import mapping, rules
-from seriesloom.streaming.filters import SigmaFilter, plant
+from seriesloom.streaming.filters import SigmaFilter
 
 
 def test_sigma_filter_equals_kalman_when_linear():
@@ -31,13 +31,6 @@ def test_gate_refuses_outliers_and_bad_values():
     assert flt.update(1.0, lambda s: s[0], 1.0)
 
 
-def test_plant_is_repeatable_and_sensible(spark):
-    make = lambda: sorted(map(tuple, plant(spark, {"up": [(5, 10)], "rest": [(5, 0)]}, 2).collect()))
-    rows = make()
-    assert rows == make() and len(rows) == 400
-    assert max(r[5] for r in rows if r[0] == "up") > 3 and all(r[5] == 0 for r in rows if r[0] == "rest")
-
-
 def test_starts_with_refractory(spark):
     v = [0, 0, 5, 9, 0, 0, 6, 9, 0, 0, 0, 0, 0, 5, 9]
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "run long, seq long, value double")

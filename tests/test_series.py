@@ -69,8 +69,8 @@ def test_faults_touch_only_their_window(spark):
         assert got == again
         assert all(got[k].value == 30.0 and got[k].us == k * 100_000 for k in range(4000) if not 990 <= k < 1200)
     count = lambda kind, f: faults.with_fault(d, kind, start, length).where(f).count()
-    assert count("zero", "value = 0") == 200 and count("drop", "true") == 3800 and count("missing", "value is null") == 200
-    assert count("zero_then_drop", "value = 0") == 10 and count("outliers", "value = 300") == 3
+    assert count("zero", "value = 0") == 200 and count("drop", "true") == 3800 and count("missing", "value is null") == 1
+    assert count("zero_then_drop", "value = 0") == 10 and count("outliers", "value = 90") == 6
 
 
 def test_components_and_first_fit(spark):
