@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 from .timejoin import asof
 
 
@@ -40,18 +42,22 @@ def normal_equations(df: DataFrame, u: Column, v: Column, y: Column, grid_u: tup
 
 
 def robust_regression(df: DataFrame, by: str, x: str, y: str, rounds: int = 3) -> DataFrame:
-    """by, slope, intercept, n: least squares, refitted to rows whose residual is within 4 scaled median deviations."""
-    d = df.select(by, x, y).withColumn("_keep", F.lit(True))
-    for k in range(rounds + 1):
-        use = lambda c: F.when(F.col("_keep"), F.col(c))
-        fit = d.groupBy(by).agg(F.regr_slope(use(y), use(x)).alias("slope"), F.regr_intercept(use(y), use(x)).alias("intercept"), F.count(use(y)).alias("n"))
-        if k == rounds:
-            return fit
-        d = d.join(fit, by).withColumn("_e", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-        # one small row a key is joined; partial counts of equal residuals are combined before the shuffle
-        d = d.join(d.where("_keep").groupBy(by).agg(F.percentile("_e", F.lit(0.5)).alias("_m")), by)
-        d = d.join(d.where("_keep").groupBy(by).agg(F.percentile(F.abs(F.col("_e") - F.col("_m")), F.lit(0.5)).alias("_d")), by)
-        d = d.withColumn("_keep", F.abs(F.col("_e") - F.col("_m")) < 4 * 1.4826 * F.col("_d")).select(by, x, y, "_keep")
+    """by, slope, intercept, n: least squares, refitted to rows whose residual is within 4 scaled median deviations.
+
+    What a round leaves is one small row a key; the rows themselves are read anew.
+    """
+    d = df.select(by, x, y)
+    e = F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")
+    fit = lambda rows: rows.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(y).alias("n"))
+    last, kept = cut(fit(d)), d
+    for _ in range(rounds):
+        now = kept.select(by, x, y).join(last, by).withColumn("_e", e)
+        middle = cut(now.groupBy(by).agg(F.percentile("_e", F.lit(0.5)).alias("_m")))
+        away = now.join(middle, by).groupBy(by).agg(F.percentile(F.abs(F.col("_e") - F.col("_m")), F.lit(0.5)).alias("_d"))
+        known = cut(last.join(middle, by).join(away, by))
+        kept = d.join(known, by).where(F.abs(e - F.col("_m")) < 4 * 1.4826 * F.col("_d"))
+        last = cut(fit(kept))
+    return last
 
 
 def sharpest(df: DataFrame, grid: list[tuple[float, float]], e: Column, scale: Column, bound: float) -> DataFrame:

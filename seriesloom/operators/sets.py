@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def duplicates(df: DataFrame, key: str, content: Column) -> DataFrame:
     """key, canonical (smallest key with equal content), size of every row whose content occurs more than once.
@@ -50,14 +49,24 @@ def overlaps(df: DataFrame, by: str, key: str, start: str, end: str, width: int)
     return pairs.select(by, F.col("x")[key].alias("a"), F.col("y")[key].alias("b"), shared.alias("overlap"))
 
 
-def shared_cells(df: DataFrame, key: str, cells: list[str]) -> DataFrame:
-    """a, b, shared, ratio: common cells of two keys over the smaller set, for keys that share any."""
+def shared_cells(df: DataFrame, key: str, cells: list[str], least: float) -> DataFrame:
+    """a, b, shared, ratio: common cells of two keys over the smaller set, for keys whose ratio is at least `least`.
+
+    The smaller set of such a pair has one of the common cells among its rarest
+    n - ceil(least n) + 1, so only those are looked up in the other sets.
+    """
     sets = df.select(key, *cells).distinct()
-    size = sets.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = sets.withColumnRenamed(key, "a"), sets.withColumnRenamed(key, "b")
-    both = a.join(b, cells).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio"))
+    often = sets.groupBy(*cells).agg(F.count("*").alias("_often"))
+    sets = sets.join(often, cells).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_often", *cells))
+    sets = cut(sets.withColumn("_first", place <= F.col("n") - F.ceil(F.col("n") * least) + 1))
+    a = sets.select(*cells, F.col(key).alias("a"), F.col("n").alias("na"), "_first")
+    b = sets.select(*cells, F.col(key).alias("b"), F.col("n").alias("nb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = a.where("_first").join(b, cells).where(smaller).select("a", "b").distinct()
+    both = met.join(a.drop("_first"), "a").join(b, ["b", *cells]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("n"))
+    both = both.where(F.col("shared") >= F.col("n") * least)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("ratio"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,13 +74,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges no longer change,
     which a chain of n nodes does in about log n rounds; a loop (a, a) makes a
-    node of its own.  Lineage is cut each round by a checkpoint, in a temporary
-    folder where the session has none for it (a local session, as in tests).
+    node of its own.  Lineage is cut each round by a checkpoint.
     """
-    spark, cut = edges.sparkSession, lambda d: d.checkpoint()
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="seriesloom-"))
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
     up = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     given = edges.where("a is not null and b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
     nodes = cut(given.select(F.col("u").alias("node")).union(given.select("v")).distinct())

@@ -246,7 +246,7 @@ def frame_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", "frame", F.round(back["lat"], 7).alias("lat"), F.round(back["lon"], 7).alias("lon"))
 
 
-@query(f"""WITH p AS ({POINTS}), q AS (SELECT label AS probe, round(avg(x), 6) AS px, round(avg(y), 6) AS py FROM p GROUP BY label), d AS (SELECT probe, px, py, x, y, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM q, p)
+@query(f"""{POINTS}, q AS (SELECT label AS probe, round(avg(x), 6) AS px, round(avg(y), 6) AS py FROM p GROUP BY label), d AS (SELECT probe, px, py, x, y, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM q, p)
 SELECT probe, count(*) AS n, round(sum(x / (1 + d)) / sum(1 / (1 + d)), 5) AS cx, round(sum(y / (1 + d)) / sum(1 / (1 + d)), 5) AS cy FROM d WHERE d <= 9 GROUP BY probe""")
 def weighted_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)

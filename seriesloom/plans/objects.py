@@ -53,10 +53,10 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {S}, c AS (SELECT DISTINCT run, us // 86400000000 AS day, CAST(floor(value / 20) AS BIGINT) AS level FROM s), n AS (SELECT run, count(*) AS n FROM c GROUP BY run),
 p AS (SELECT a.run AS a, b.run AS b, count(*) AS shared FROM c a JOIN c b ON a.day = b.day AND a.level = b.level AND a.run < b.run GROUP BY 1, 2)
-SELECT a, b, shared, round(shared / least(x.n, y.n), 6) AS ratio FROM p JOIN n x ON p.a = x.run JOIN n y ON p.b = y.run""")
+SELECT a, b, shared, round(shared / least(x.n, y.n), 6) AS ratio FROM p JOIN n x ON p.a = x.run JOIN n y ON p.b = y.run WHERE shared >= least(x.n, y.n) * 0.5""")
 def cell_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = series(spark, sf_dir).select("run", F.floor(F.col("us") / (24 * HOUR)).alias("day"), F.floor(F.col("value") / 20).alias("level"))
-    return sets.shared_cells(d, "run", ["day", "level"]).withColumn("ratio", F.round("ratio", 6))
+    return sets.shared_cells(d, "run", ["day", "level"], 0.5).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_custkey + 1 + c_nationkey <= (SELECT max(c_custkey) FROM customer)),
