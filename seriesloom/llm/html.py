@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select button canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select button canvas audio video".split())
 #: Their content is characters up to the next end tag; the others hold elements.
 CHARACTERS = frozenset("script style textarea title".split())
 #: A second one ends the first.
@@ -52,7 +52,7 @@ ENDS = {
 }
 APART = frozenset("nav footer aside form menu dialog fieldset".split())
 JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar|footer|site-?header|masthead|top-?bar|comments?|comment-?\w+|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|related|recommend\w*|share|sharing|social|bread-?crumbs?|widget\w*|newsletter|subscribe|subscription|sign-?up|popup|pop-up|modal|overlay|login|search\w*|pagination|pager|tags?|meta|copyright|legal|disclaimer|skip\w*|toolbar|dialog|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar|footer|site-?header|masthead|top-?bar|comments?|comment-?\w+|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|related|recommend\w*|share|sharing|social|bread-?crumbs?|widget\w*|newsletter|subscribe|subscription|sign-?up|popup|pop-up|modal|overlay|login|search\w*|pagination|pager|tags?(?=$|\s)|meta|copyright|legal|disclaimer|skip\w*|toolbar|dialog|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|article-?body|post-?body|text|body|prose|markdown)(?:$|[\s_-])", re.I)
@@ -343,7 +343,7 @@ SAME, ACROSS, OWN, UP = 0.5, 0.1, 0.6, 0.3
 
 def content_blocks(html: str, weights: tuple[float, ...]) -> list[Block]:
     found = blocks_of(html)
-    prefer = [round(1000 * max(-8.0, min(8.0, sum(map(float.__mul__, weights, map(float, features(b))))))) for b in found]
+    prefer = [round(1000 * sum(map(float.__mul__, weights, map(float, features(b))))) for b in found]
     edges: list[tuple[int, int, int]] = []
     hubs: dict[int, int] = {}
     for i, b in enumerate(found):

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from seriesloom.llm.html import blocks_of, content_blocks, extract_text, main_text, minimum_cut, sample_page, trained
 
 
@@ -71,3 +73,31 @@ def test_unclosed_elements_do_not_hide_the_rest():
         assert shown(f"<p>A</p><{tag}>Menu<p>One</p><div><{tag}>no</{tag}></div><p>Two</p>") == (["A", "Two"] if tag in ("title", "textarea") else ["A", "One", "Two"]), tag
     assert shown("<svg><svg>a</svg><text>b</text></svg><p>One</p><button><div>no</div></button><p>Two</p></svg>") == ["One", "Two"]
     assert shown("<button><svg>a</button><p>One</p><svg>b</svg><p>Two</p>") == ["One", "Two"]
+
+
+ONE = "The river rose in the night and the village was cut off from the road for two days."
+TWO = "Boats brought bread and water, and the school was used as a store by the people."
+WHOLE = f"<article><p>{ONE}</p><p>{TWO}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><script>for(var i=0;i<n;i++)go(i);</script>{WHOLE}</body></html>",
+        f"<html><body><article><p>{ONE}</p><script>for(var i=0;i<n;i++)go(i);</script><p>{TWO}</p></article></body></html>",
+        f"<html><body><script>var s='<!--';</script>{WHOLE}</body></html>",
+        f"<html><body><style>a<b{{}}</style>{WHOLE}</body></html>",
+        f"<html><body><button>Go{WHOLE}</body></html>",
+        f"<html><head><title>T</title><p>{ONE}</p><p>{TWO}</p></html>",
+        f"<title>T</title>{WHOLE}",
+        f"<html><body><article><p title=John's>{ONE}</p><p>{TWO}</p></article></body></html>",
+        f"<html><body><article><p title='a > b' data-x=\"c>d\">{ONE}</p><p>{TWO}</p></article></body></html>",
+        f"<html><body><div class='post tag-news'><p>{ONE}</p><p>{TWO}</p></div></body></html>",
+    ],
+)
+def test_no_markup_costs_an_article(page):
+    assert main_text(page, trained()) == f"{ONE}\n{TWO}"
+
+
+def test_formulas_are_text():
+    assert main_text(f"<article><p>{ONE} <math><mi>x</mi></math> ends.</p><p>{TWO}</p></article>", trained()) == f"{ONE} x ends.\n{TWO}"
