@@ -94,8 +94,9 @@ class TokenLedger:
         self._fs.delete(self._path(f"{self.root}/writer"), False)
 
     def _write(self, folder: str, signed: DataFrame) -> None:
-        # one file a bucket and task at most; a bucket is a folder, which a reader can skip
-        signed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/rows")
+        # a bucket is a folder, which a reader can skip, and is written by one task; rows without id, all of one bucket, by several
+        part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(*KEYS, "tokens"), F.lit(16))).otherwise(F.lit(-1))
+        signed.repartition(F.col("bucket"), part).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/rows")
         rows = self.spark.read.schema(ROWS).parquet(f"{self.root}/{folder}/rows")
         rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.root}/{folder}/totals")
 
