@@ -128,7 +128,7 @@ def shaped(array: Column, width: int, least: int) -> Column:
     return F.when(array.isNotNull() & (F.size(array) >= max(least, width)), rows).otherwise(F.array())
 
 
-def published(flag: Column, *values: Column) -> Column:
+def valid_row(flag: Column, *values: Column) -> Column:
     """Is a row marked as valid, with all values finite."""
     ok = F.coalesce(flag, F.lit(False))
     for v in values:

@@ -56,7 +56,7 @@ def array_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S} SELECT run, count(*) AS rows, count(*) FILTER (topic <> 'purchase' AND value IS NOT NULL AND isfinite(value) AND seq % 5 <> 0) AS published FROM s GROUP BY run")
 def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = series(spark, sf_dir)
-    ok = rules.published((F.col("topic") != "purchase") & (F.col("seq") % 5 != 0), F.col("value"))
+    ok = rules.valid_row((F.col("topic") != "purchase") & (F.col("seq") % 5 != 0), F.col("value"))
     return d.groupBy("run").agg(F.count("*").alias("rows"), F.count_if(ok).alias("published"))
 
 
