@@ -202,7 +202,7 @@ def trained(seed: int = 5, steps: int = 300) -> LicenseModel:
 
 
 def has_telling(text: Column, model: LicenseModel) -> Column:
-    return F.lower(text).rlike(r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in model.telling) + r")(?![a-z0-9])")
+    return F.arrays_overlap(words_of(text), F.array(*map(F.lit, model.telling)))
 
 
 def paragraphs(text: Column) -> Column:
@@ -245,7 +245,7 @@ def classify(lines: DataFrame, model: LicenseModel) -> DataFrame:
 def find_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """doc_id, family, n_paragraphs, n_confirmed, p, similarity: a row per document and family found in it."""
     model = model or trained()
-    has = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(has_telling(F.col("text"), model))
+    has = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = has.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("line")).where(has_telling(F.col("line"), model))
     found = lines.join(classify(lines, model), "line")
     return found.groupBy("doc_id", "family").agg(
