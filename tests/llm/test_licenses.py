@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from seriesloom.llm.licenses import CONFIRM, OTHERS, PLAIN, TEMPLATES, WORD, _sample, classify, find_licenses, grams, pairs, trained, words_in
+from seriesloom.llm.licenses import CONFIRM, OTHERS, PLAIN, TEMPLATES, WORD, _sample, classify, find_licenses, grams, pairs, paragraphs, trained, words_in
 
 
 def guess(text, m):
@@ -74,3 +75,15 @@ def test_documents(spark):
     assert got[0, "mit"] == (2, 2) and got[8, "mit"] == (1, 1) and got[1, "apache"] == (1, 1) and got[6, "gpl"] == (1, 1) and got[9, "proprietary"] == (1, 1)
     assert find_licenses(docs.limit(0)).count() == 0
     assert WORD and not [k for k in got if k[0] in (2, 3, 4)]
+
+
+def test_wrapped_lines_join_alike_however_they_end(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "a" * 48, "é" * 50, "\n", "\r\n", "\t", "  ", ".", ". ", ";", "x"]) for _ in range(40)) for _ in range(300)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", paragraphs(F.col("t")).alias("p")).collect()
+    joined = 0
+    for r in got:
+        want = re.sub(r"(?<=[^\n]{50})(?<![.:;!?\s])[ \t]*\r?\n(?=[ \t]*[^\s])", " ", texts[r.i]).split("\n")
+        joined += len(want) < texts[r.i].count("\n") + 1
+        assert r.p == want
+    assert joined > 50
