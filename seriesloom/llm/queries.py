@@ -19,6 +19,7 @@ from .quality import QualityRules, quality_figures
 from .repeats import cut_repeats
 from .secrets import find_secrets
 from .tokens import replay
+from .whitening import whitening_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE = "byte_bpe_50k.tiktoken"
@@ -72,6 +73,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_table(table(spark, sf_dir, "embeddings"))
+
+
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
@@ -127,5 +132,5 @@ m AS (SELECT node AS rep, min(seen) AS label FROM r GROUP BY node), n AS (SELECT
 SELECT k.doc_id, k.n AS n_shingles, coalesce(label, c.rep, k.doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN c ON k.n > 0 AND k.key = c.key LEFT JOIN m ON c.rep = m.rep LEFT JOIN n ON c.rep = n.rep
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard, op11_embedding_whitening)}
 SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
