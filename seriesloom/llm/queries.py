@@ -13,6 +13,7 @@ from .common import Scratch, table
 from .html import extract_text
 from .jaccard import similar_groups
 from .licenses import find_licenses
+from .minhash import near_copies
 from .mixing import mixing_rates, mixing_sql
 from .neighbours import nearest_to_every
 from .quality import QualityRules, quality_figures
@@ -77,6 +78,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_table(table(spark, sf_dir, "embeddings"))
 
 
+def op12_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
@@ -119,18 +124,24 @@ count AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FR
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN count USING (doc_id)
 """
 
-OP10_SQL = f"""
+def groups_sql(k: int, percent: int, last: str) -> str:
+    """Sizes and groups of sets of k-word n-grams over documents, in DuckDB's SQL; last: a further column."""
+    return f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
 k AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS key, s FROM g),
 c AS MATERIALIZED (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY key),
 x AS MATERIALIZED (SELECT rep, n, unnest(s) AS s FROM c),
-l AS MATERIALIZED (SELECT a, b FROM (SELECT p.rep AS a, q.rep AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c FROM x p JOIN x q ON p.s = q.s AND p.rep < q.rep AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n) GROUP BY 1, 2) WHERE 100 * c >= 85 * (na + nb - c)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT p.rep AS a, q.rep AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c FROM x p JOIN x q ON p.s = q.s AND p.rep < q.rep AND 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) GROUP BY 1, 2) WHERE 100 * c >= {percent} * (na + nb - c)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a),
 m AS (SELECT node AS rep, min(seen) AS label FROM r GROUP BY node), n AS (SELECT a AS rep, count(*) AS n_links FROM u GROUP BY a)
-SELECT k.doc_id, k.n AS n_shingles, coalesce(label, c.rep, k.doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN c ON k.n > 0 AND k.key = c.key LEFT JOIN m ON c.rep = m.rep LEFT JOIN n ON c.rep = n.rep
+SELECT k.doc_id, k.n AS n_shingles, coalesce(label, c.rep, k.doc_id) AS component_id, {last} FROM k LEFT JOIN c ON k.n > 0 AND k.key = c.key LEFT JOIN m ON c.rep = m.rep LEFT JOIN n ON c.rep = n.rep
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard, op11_embedding_whitening)}
-SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+
+OP10_SQL = groups_sql(4, 85, "coalesce(n_links, 0) AS n_links")
+OP12_SQL = groups_sql(5, 85, "coalesce(label, c.rep, k.doc_id) = k.doc_id AS kept")
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard, op11_embedding_whitening, op12_super_minhash)}
+SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_super_minhash": OP12_SQL}
