@@ -16,6 +16,7 @@ from .licenses import find_licenses
 from .minhash import near_copies
 from .mixing import mixing_rates, mixing_sql
 from .neighbours import nearest_to_every
+from .phrases import top_phrases
 from .quality import QualityRules, quality_figures
 from .repeats import cut_repeats
 from .secrets import find_secrets
@@ -82,6 +83,10 @@ def op12_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_phrases(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
@@ -143,5 +148,22 @@ SELECT k.doc_id, k.n AS n_shingles, coalesce(label, c.rep, k.doc_id) AS componen
 OP10_SQL = groups_sql(4, 85, "coalesce(n_links, 0) AS n_links")
 OP12_SQL = groups_sql(5, 85, "coalesce(label, c.rep, k.doc_id) = k.doc_id AS kept")
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard, op11_embedding_whitening, op12_super_minhash)}
-SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_super_minhash": OP12_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+scored AS (SELECT cuts.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_nn_descent, op3_byte_bpe, op4_source_mixing, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_html_extraction, op9_suffix_dedup, op10_ngram_jaccard, op11_embedding_whitening, op12_super_minhash, op13_phrase_mining)}
+SQL: dict[str, str] = {"op4_source_mixing": mixing_sql(MIX), "op6_quality_rules": quality_sql(QualityRules()), "op9_suffix_dedup": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_super_minhash": OP12_SQL, "op13_phrase_mining": OP13_SQL}
