@@ -1,10 +1,14 @@
 """Joins of keyed series on time: as-of, nearest, interpolating, band and response joins.
 
-All of them but the band join are one shuffle on the key: both series are laid
-into one, and windows carry the neighbours of the other side.  No pairs arise.
-With `bucket`, a key is also split by time, and what a bucket inherits from
-earlier ones is carried in by a join of one row per bucket, so that a long run
-is not one task.
+All of them but the band join shuffle the rows once, on the key: both series
+are laid into one, and windows carry the neighbours of the other side.  No
+pairs arise.  With `bucket`, the rows are shuffled once on the key and a time
+bucket, so that a long run is not one task, and what a bucket inherits from
+others is joined in from a table of one row per key and bucket.  The result
+does not depend on the bucket.
+
+A row whose key or time is null meets nothing: a left one stays without a
+match, a right one is no match.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def around(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str
     seen = F.struct(on, *values)
     none = F.lit(None).cast(right.select(seen.alias("x")).schema["x"].dataType)
     a = left.withColumns({"_right": none, "_side": F.lit(1), "_tie": F.lit(None).cast("long")})
-    b = right.select(by, on, seen.alias("_right"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(None)).cast("long").alias("_tie"))
+    b = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(by, on, seen.alias("_right"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(None)).cast("long").alias("_tie"))
     both = a.unionByName(b, allowMissingColumns=True)
     keys = [by]
     if bucket:
@@ -32,13 +36,16 @@ def around(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str
     ahead = Window.partitionBy(*keys).orderBy(F.desc(on), F.desc("_side"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("prev", F.last("_right", True).over(back)).withColumn("next", F.last("_right", True).over(ahead))
     if bucket:
-        ends = both.where("_side = 0").groupBy(*keys).agg(F.max_by("_right", F.struct(on, "_tie")).alias("_last"), F.min_by("_right", F.struct(on, F.negative("_tie"))).alias("_first"))
-        ends = both.select(*keys).distinct().join(ends, keys, "left")
+        # max_by and min_by pass over rows without an order: those of the left side
+        own = lambda tie: F.when(F.col("_side") == 0, F.struct(on, tie))
+        ends = both.where(F.col(by).isNotNull() & F.col("_bucket").isNotNull()).groupBy(*keys)
+        ends = ends.agg(F.max_by("_right", own(F.col("_tie"))).alias("_last"), F.min_by("_right", own(F.negative("_tie"))).alias("_first"))
         up = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         down = Window.partitionBy(by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*keys, F.last("_last", True).over(up).alias("_last"), F.last("_first", True).over(down).alias("_first"))
-        out = out.join(ends, keys).withColumn("prev", F.coalesce("prev", "_last")).withColumn("next", F.coalesce("next", "_first"))
-    return out.where("_side = 1").drop("_right", "_side", "_tie", "_bucket", "_last", "_first")
+        out = out.join(ends, keys, "left").withColumn("prev", F.coalesce("prev", "_last")).withColumn("next", F.coalesce("next", "_first"))
+    meets = F.col(by).isNotNull() & F.col(on).isNotNull()
+    return out.where("_side = 1").withColumns({"prev": F.when(meets, F.col("prev")), "next": F.when(meets, F.col("next"))}).drop("_right", "_side", "_tie", "_bucket", "_last", "_first")
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], before_first: str = "null", tie: str | None = None, shift: int = 0, bucket: int | None = None) -> DataFrame:
@@ -107,22 +114,24 @@ def first_response(inputs: DataFrame, outputs: DataFrame, by: str, on: str, buck
     return got.withColumn("latency", F.col(f"other_{on}") - F.col(on))
 
 
-def freshest_of(outputs: DataFrame, inputs: DataFrame, by: str, on: str, arrival: str, last: int = 64) -> DataFrame:
-    """Each output with the age of the freshest of the last inputs that had arrived by then, with a time no later than its own."""
-    a = outputs.withColumn("_in", F.lit(None).cast("long")).withColumn("_side", F.lit(1))
-    b = inputs.select(by, arrival, F.col(on).alias("_in"), F.lit(0).alias("_side"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(arrival, "_side").rowsBetween(-2 * last, 0)
-    times = F.slice(F.reverse(F.collect_list("_in").over(w)), 1, last)
-    fresh_ = F.array_max(F.filter(times, lambda t: t <= F.col(on)))
-    return both.withColumn("age", F.col(on) - fresh_).where("_side = 1").drop("_in", "_side")
+def freshest_of(outputs: DataFrame, inputs: DataFrame, by: str, on: str, arrival: str, last: int = 64, bucket: int | None = None) -> DataFrame:
+    """Each output with the age, by arrival, of the freshest of the last inputs that had arrived by then: of those with a
+    time no later than its own, the one with the latest time (of equal ones the last to arrive).  Null if there is none.
+
+    Only inputs count among the last, however many outputs lie between; bucket is one of arrival.
+    """
+    known = inputs.where(F.col(by).isNotNull() & F.col(arrival).isNotNull()).select(by, arrival, F.col(on).alias("_on"))
+    known = known.withColumn("_recent", F.collect_list(F.struct("_on", arrival)).over(Window.partitionBy(by).orderBy(arrival, "_on").rowsBetween(1 - last, 0)))
+    got = asof(outputs, known, by, arrival, ["_recent"], tie="_on", bucket=bucket)
+    freshest = F.array_max(F.filter(F.col("other__recent"), lambda x: x["_on"] <= F.col(on)))
+    return got.withColumn("age", F.col(arrival) - freshest[arrival]).drop(f"other_{arrival}", "other__recent")
 
 
-def answered(inputs: DataFrame, outputs: DataFrame, by: str, on: str, arrival: str, bucket: int | None = None) -> DataFrame:
+def answered(inputs: DataFrame, outputs: DataFrame, by: str, on: str, arrival: str, bucket: int | None = None, arrival_bucket: int | None = None) -> DataFrame:
     """Each input with answered_at: the later of the time of the first output that arrived at or after it and that
     of the first output with a time at or after its own; null where one of them is missing."""
     by_time = asof_forward(inputs, outputs, by, on, [], None, bucket).withColumnRenamed(f"other_{on}", "_a")
-    by_arrival = asof_forward(by_time, outputs, by, arrival, [on]).withColumnRenamed(f"other_{on}", "_b").drop(f"other_{arrival}")
+    by_arrival = asof_forward(by_time, outputs, by, arrival, [on], None, arrival_bucket).withColumnRenamed(f"other_{on}", "_b").drop(f"other_{arrival}")
     both = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b"))
     return by_arrival.withColumn("answered_at", both).drop("_a", "_b")
 

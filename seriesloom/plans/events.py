@@ -129,7 +129,9 @@ def first_response_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("run").agg(F.count("*").alias("inputs"), (F.count("*") - F.count("latency")).alias("unanswered"), F.min("latency").alias("fastest"), F.round(F.percentile("latency", F.lit(0.5)), 1).alias("median"))
 
 
-@query("SELECT a.run, a.seq, a.us - b.us AS age FROM (SELECT * FROM s WHERE topic = 'purchase') a ASOF LEFT JOIN (SELECT * FROM s WHERE topic = 'click') b ON a.run = b.run AND a.us >= b.us")
+@query(""", o AS (SELECT * FROM s WHERE topic = 'purchase'), i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq, us) AS k FROM s WHERE topic = 'click'),
+h AS (SELECT o.run, o.seq, o.us, max(i.k) AS k FROM o LEFT JOIN i ON i.run = o.run AND i.seq <= o.seq GROUP BY 1, 2, 3)
+SELECT h.run, h.seq, h.seq - arg_max(i.seq, struct_pack(us := i.us, seq := i.seq)) AS age FROM h LEFT JOIN i ON i.run = h.run AND i.k BETWEEN h.k - 63 AND h.k AND i.us <= h.us GROUP BY 1, 2""")
 def input_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = topics(spark, sf_dir, "purchase", "click")
     return timejoin.freshest_of(a, b, "run", "us", "seq").select("run", "seq", "age")

