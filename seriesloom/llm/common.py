@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -113,6 +114,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of at most `most` bytes for the jobs that are run within; the session's own setting comes back."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

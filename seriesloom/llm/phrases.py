@@ -34,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Scratch, join_spread, joined, mix64, slices, text_slices
+from .common import RangeHash, Scratch, bounded_batches, join_spread, joined, mix64, slices, text_slices
 
 #: Bytes of text in a chunk, but for a longer piece.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bounds of a bitmap's size, as powers of two (32 MB at most), and bits for each frequent phrase as a power of two.
 LEAST_BITS, MOST_BITS, SPARE_BITS = 16, 28, 4
 #: Slices over which the phrases of one language are ranked first.
@@ -217,16 +217,17 @@ def top_phrases(docs: DataFrame, longest: int = 3, least: int = 10, covered_perc
     """
     scratch = Scratch(docs.sparkSession, "phrases")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    lists = scratch.keep(texts.mapInArrow(_lists, LISTS), "lists")
-    words = lists.select("lang", F.explode(F.arrays_zip("words", "hashes", "sizes")).alias("w"))
-    words = words.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.sizes").alias("f"), F.first("w.hashes").alias("h")).where(F.col("f") >= least)
-    words = scratch.keep(words, "words")
-    maps, columns = [bitmap(words.select("h"))], lists.select("hashes", "sizes", "positions")
-    for k in range(2, longest):
-        counted = columns.mapInArrow(lambda it, k=k, m=list(maps): _hashed(k, m, it), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-        maps.append(bitmap(scratch.keep(counted.where(F.col("f") >= least).select("h"), f"level-{k}")))
-    spelled = lists.select("lang", "words", "hashes", "sizes", "positions").mapInArrow(lambda it: _spelled(longest, maps, it), "lang string, phrase string, k int, f long")
-    phrases = scratch.keep(spelled.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+    with bounded_batches(docs.sparkSession):
+        lists = scratch.keep(texts.mapInArrow(_lists, LISTS), "lists")
+        words = lists.select("lang", F.explode(F.arrays_zip("words", "hashes", "sizes")).alias("w"))
+        words = words.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.sizes").alias("f"), F.first("w.hashes").alias("h")).where(F.col("f") >= least)
+        words = scratch.keep(words, "words")
+        maps, columns = [bitmap(words.select("h"))], lists.select("hashes", "sizes", "positions")
+        for k in range(2, longest):
+            counted = columns.mapInArrow(lambda it, k=k, m=list(maps): _hashed(k, m, it), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+            maps.append(bitmap(scratch.keep(counted.where(F.col("f") >= least).select("h"), f"level-{k}")))
+        spelled = lists.select("lang", "words", "hashes", "sizes", "positions").mapInArrow(lambda it: _spelled(longest, maps, it), "lang string, phrase string, k int, f long")
+        phrases = scratch.keep(spelled.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
 
     known = words.select("lang", "phrase", "f").unionByName(phrases.select("lang", "phrase", "f"))
     cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "k", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
