@@ -3,9 +3,8 @@
 Equal sets are one class, represented by its smallest document; all else works
 on classes, so copies are never paired.
 
-Order.  The n-grams are counted in buckets, over all documents; the number of
-buckets follows the input up to a bound.  N-grams of crowded buckets are
-common, all others rare.  Every set is ordered rare first, then by how common,
+Order.  The n-grams are counted in buckets, over all documents.  N-grams of
+crowded buckets are common, all others rare.  Every set is ordered rare first, then by how common,
 then by hash.  Two sets that link share an n-gram among the first
 |s| - ceil(t |s|) + 1 of both (the prefix).
 
@@ -52,8 +51,8 @@ from pyspark.sql import functions as F
 from .common import RangeHash, Scratch, join_spread, joined, mix64, small_batches, text_slices, word_bounds
 from .graph import components
 
-#: Buckets of the n-gram counts as a power of two: one for so many bytes of text, within bounds (16 MB of levels at most).
-LEAST_BITS, MOST_BITS, BUCKET_BYTES = 18, 24, 1024
+#: Buckets of the n-gram counts as a power of two.  A task gives a row a bucket at most, so their number must not follow the input.
+BITS = 18
 #: Bytes hashed at once.
 SLICE = 1 << 18
 #: Weight of a block: n-grams of its sets, a set counting as BLOCK / BLOCK_SETS at least.
@@ -119,8 +118,7 @@ def _count(k: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def common_levels(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     """Per bucket: 0 if its n-grams are rare, else the order of its count."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+    bits = BITS
     counts = docs.select("text").mapInArrow(lambda it: _count(k, bits, it), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "counts")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
