@@ -120,15 +120,16 @@ def branches(rows: DataFrame, kept: DataFrame, by: list[str], order: list[str],
     """
     wanted = plan.withColumn("bucket", bucket_of("at", width))
     begin = last_state(kept, wanted.select(*by, "branch", "bucket"), by, ["branch"])
+    plan = plan.select(*by, "branch", F.col("at").alias("_departs"))
     begin = cut(begin.join(plan, [*by, "branch"]))
-    behind = rows.withColumn("_bucket", bucket_of(on, width)).join(begin.select(*by, "branch", "at", F.col("bucket").alias("_from")), by)
+    behind = rows.withColumn("_bucket", bucket_of(on, width)).join(begin.select(*by, "branch", "_departs", F.col("bucket").alias("_from")), by)
     behind = behind.where(F.col("_from").isNull() | (F.col("_bucket") >= F.col("_from")))
-    behind = alter(behind.withColumn("changed", F.col(on) >= F.col("at")).drop("_bucket", "_from", "at"))
+    behind = alter(behind.withColumn("changed", F.col(on) >= F.col("_departs")).drop("_bucket", "_from", "_departs"))
     key = [*by, "branch"]
     out = output(fold(behind, key, order, f, None, begin.select(*key, "state"))).drop("bucket")
     if on not in out.columns:
         return out
-    return out.join(plan, key).where(F.col(on) >= F.col("at")).drop("at")
+    return out.join(plan, key).where(F.col(on) >= F.col("_departs")).drop("_departs")
 
 
 class Timeline:

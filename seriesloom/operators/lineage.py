@@ -5,17 +5,32 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="seriesloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session without one (as in tests) gets a temporary folder, any other
+    an error, as its executors would share none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_folder()
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the session names; a local session without one (as in tests) gets a
-    temporary folder, any other an error, as its executors would share none."""
+    """df from a checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="seriesloom-"))
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

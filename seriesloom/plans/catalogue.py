@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, building, evaluation, events, objects
+from . import audit, building, estimation, evaluation, events, matching, objects
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES, **audit.QUERIES, **building.QUERIES, **evaluation.QUERIES}
-SQL: dict[str, str] = {**events.SQL, **objects.SQL, **audit.SQL, **building.SQL, **evaluation.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES, **audit.QUERIES, **building.QUERIES, **evaluation.QUERIES, **estimation.QUERIES, **matching.QUERIES}
+SQL: dict[str, str] = {**events.SQL, **objects.SQL, **audit.SQL, **building.SQL, **evaluation.SQL, **estimation.SQL, **matching.SQL}

@@ -25,6 +25,8 @@ from math import isfinite
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.folds import Fold, fold, output
+
 HOUR = 3_600_000_000
 OUT = "run long, node long, us long, speed double, variance double, path double, session int, stale boolean, fallback boolean"
 
@@ -120,13 +122,26 @@ def _rows(run, pdf: pd.DataFrame, s: State, c: Settings) -> pd.DataFrame:
     return pd.DataFrame([{"run": run, **r} for r in out], columns=names)
 
 
-def in_batch(df: DataFrame, settings: Settings) -> DataFrame:
-    """Rows of OUT for messages (run, topic, seq, us, value); a run is one task."""
+def as_fold(settings: Settings, changed: dict[str, Settings] | None = None) -> Fold:
+    """The runner as a fold over messages (topic, us, value); with changed, also over branch and changed (whether the
+    message lies behind the branch's departure), from where on changed[branch] holds, if there is one."""
+    names = [x.split()[0] for x in OUT.split(", ")][1:]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(key[0], pdf.sort_values("seq"), State(), settings)
+    def step(s: State, m: dict) -> list[tuple]:
+        own = settings if changed is None or not m["changed"] else changed.get(m["branch"], settings)
+        v = m["value"]
+        rows = list(feed(s, own, m["topic"], m["us"], None if v is None or v != v else v))
+        while rest := list(drain(s, own)):
+            rows += rest
+        return [tuple(r[c] for c in names) for r in rows]
 
-    return df.groupBy("run").applyInPandas(run, OUT)
+    return Fold(State, step, ["topic", "us", "value", *([] if changed is None else ["branch", "changed"])], OUT.removeprefix("run long, "))
+
+
+def in_batch(df: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of OUT for messages (run, topic, seq, us, value).  A run streams through one task, which holds its state and
+    one batch of messages."""
+    return output(fold(df, ["run"], ["seq"], as_fold(settings))).drop("bucket")
 
 
 def in_stream(df: DataFrame, settings: Settings) -> DataFrame:
