@@ -10,8 +10,9 @@ positions behind a phrase's occurrences are merged with the postings of the
 words, and a phrase and the word found there make a longer phrase with a list
 of its own.  The length of a list is the phrase's exact frequency in the
 chunk; sums over chunks are exact frequencies.  Only frequent phrases are
-extended, and only if what follows their first word is frequent too: each level
-leaves a bitmap of the frequent phrases' hashes.  The bitmap grows with their
+extended, and only if what follows their first word is frequent too: a pass for
+each level counts hashes, in blocks by their first bits, and leaves a bitmap of
+those that are frequent.  The bitmap grows with their
 number up to a bound; a hash that meets another costs work, never a phrase, as
 the last pass counts by the words themselves.
 
@@ -40,6 +41,8 @@ from .common import RangeHash, Scratch, bounded_batches, join_spread, joined, mi
 CHUNK = 2 << 20
 #: Bounds of a bitmap's size, as powers of two (32 MB at most), and bits for each frequent phrase as a power of two.
 LEAST_BITS, MOST_BITS, SPARE_BITS = 16, 28, 4
+#: Occurrences of words for each block of phrases that are counted together, and hashes of a block after which equal ones are summed.
+BLOCK, TOGETHER = 1 << 20, 1 << 20
 #: Slices over which the phrases of one language are ranked first.
 RANKED = 64
 
@@ -173,24 +176,60 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, i, Chunk(array("hashes").view(np.uint64), array("sizes").astype(np.int64), np.frombuffer(batch.column("positions")[i].as_py(), np.int32))
 
 
-def _hashed(k: int, maps: list[Bitmap], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and frequency of each phrase of k words in each chunk whose parts may be frequent."""
+def _hashed(k: int, maps: list[Bitmap], bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of k words of each chunk whose parts may be frequent, as blocks of hashes and frequencies by the first bits of the hash."""
     for _, _, c in chunks(batches):
         for below in maps[: k - 1]:
             c.keep(below.has(c.hashes))
             c.extend(below)
-        yield pa.RecordBatch.from_arrays([pa.array(c.hashes.view(np.int64)), pa.array(c.sizes, pa.int64())], ["h", "f"])
+        order = np.argsort(c.hashes)
+        h, f = c.hashes[order], c.sizes[order].astype(np.int32)
+        block = (h >> np.uint64(64 - bits)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+        cut = [pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (h, f)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]]), *cut], ["block", "h", "f"])
+
+
+def summed(hashes: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with the sum of its frequencies."""
+    h, f = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64)
+    order = np.argsort(h)
+    h, f = h[order], f[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(f, first)
+
+
+def _frequent(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes that are frequent; rows come sorted by block, and one block is held, its hashes once each."""
+    now, hs, fs, held = None, [], [], 0
+
+    def close() -> pa.RecordBatch:
+        h, f = summed(hs, fs) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(h[f >= least].view(np.int64))], ["h"])
+
+    for batch in batches:
+        for block, h, f in zip(*(batch.column(x).to_pylist() for x in ("block", "h", "f")), strict=True):
+            if block != now:
+                yield close()
+                now, hs, fs, held = block, [], [], 0
+            hs.append(np.frombuffer(h, np.uint64))
+            fs.append(np.frombuffer(f, np.int32))
+            held += len(hs[-1])
+            if held > TOGETHER:
+                h, f = summed(hs, fs)
+                hs, fs, held = [h], [f], -len(h)
+    yield close()
 
 
 def _spelled(longest: int, maps: list[Bitmap], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The phrases of 2 to `longest` words that may be frequent, in words, with their frequency in each chunk."""
     for batch, i, c in chunks(batches):
         words = batch.column("words")[i].values
-        for below in maps:
+        for below in maps[: longest - 1]:
             c.keep(below.has(c.hashes))
             c.extend(below)
             k = c.words.shape[1]
-            these = maps[k - 1].has(c.hashes) if k < longest else np.ones(len(c.sizes), bool)
+            these = maps[k - 1].has(c.hashes)
             text = pc.binary_join_element_wise(*(words.take(pa.array(w)) for w in c.words[these].T), " ")
             m = len(text)
             yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("lang")[i], m), text, pa.repeat(pa.scalar(k, pa.int32()), m), pa.array(c.sizes[these], pa.int64())], ["lang", "phrase", "k", "f"])
@@ -223,9 +262,11 @@ def top_phrases(docs: DataFrame, longest: int = 3, least: int = 10, covered_perc
         words = words.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.sizes").alias("f"), F.first("w.hashes").alias("h")).where(F.col("f") >= least)
         words = scratch.keep(words, "words")
         maps, columns = [bitmap(words.select("h"))], lists.select("hashes", "sizes", "positions")
-        for k in range(2, longest):
-            counted = columns.mapInArrow(lambda it, k=k, m=list(maps): _hashed(k, m, it), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-            maps.append(bitmap(scratch.keep(counted.where(F.col("f") >= least).select("h"), f"level-{k}")))
+        occurrences = lists.agg(F.sum(F.octet_length("positions") / 4)).first()[0] or 0
+        bits = min(22, max(8, int(occurrences / BLOCK).bit_length()))
+        for k in range(2, longest + 1):
+            blocks = columns.mapInArrow(lambda it, k=k, m=list(maps): _hashed(k, m, bits, it), "block long, h binary, f binary").repartition("block").sortWithinPartitions("block")
+            maps.append(bitmap(scratch.keep(blocks.mapInArrow(lambda it: _frequent(least, it), "h long"), f"level-{k}")))
         spelled = lists.select("lang", "words", "hashes", "sizes", "positions").mapInArrow(lambda it: _spelled(longest, maps, it), "lang string, phrase string, k int, f long")
         phrases = scratch.keep(spelled.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
 

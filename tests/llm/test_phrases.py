@@ -56,6 +56,8 @@ def test_phrases(spark, monkeypatch, longest, top, chunk, bits):
         monkeypatch.setattr(phrases, "MOST_BITS", 15)
         monkeypatch.setattr(phrases, "LEAST_BITS", 15)
         monkeypatch.setattr(phrases.Bitmap, "has", lambda self, h: np.ones(len(h), bool))
+    if chunk < 900:
+        monkeypatch.setattr(phrases, "TOGETHER", 5)
     docs = spark.createDataFrame([(1, t, la, 7, "x") for t, la in rows], "doc_id long, text string, lang string, n int, phrase string").repartition(3)
     assert found(phrases.top_phrases(docs, longest=longest, top=top)) == plain(rows, longest, top=top)
 
