@@ -37,8 +37,8 @@ CHANGE = "doc_id long, source string, lang string, tokenizer string, op string,
 ROWS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, bucket int"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 KEYS = ["source", "lang", "tokenizer"]
-#: Buckets of documents, and batches after which they are folded.
-BUCKETS, FOLD = 64, 16
+#: Buckets of documents, batches after which they are folded, and rows of a bucket that one task writes.
+BUCKETS, FOLD, TASK_ROWS = 64, 16, 1 << 20
 #: Bytes of text that are decoded at once.
 SLICE = 1 << 18
 
@@ -93,9 +93,11 @@ class TokenLedger:
     def unlock(self) -> None:
         self._fs.delete(self._path(f"{self.root}/writer"), False)
 
-    def _write(self, folder: str, signed: DataFrame) -> None:
-        # a bucket is a folder, which a reader can skip, and is written by one task; rows without id, all of one bucket, by several
-        part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(*KEYS, "tokens"), F.lit(16))).otherwise(F.lit(-1))
+    def _write(self, folder: str, signed: DataFrame, n: int) -> None:
+        # a bucket is a folder, which a reader can skip; as many tasks write it as its share of some n rows asks for, and
+        # rows without id, all of one bucket, are spread as if there were as many of them
+        few = F.pmod(F.xxhash64("doc_id"), F.lit(1 + n // (BUCKETS * TASK_ROWS)))
+        part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(*KEYS, "tokens"), F.lit(16 + n // TASK_ROWS))).otherwise(few)
         signed.repartition(F.col("bucket"), part).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/rows")
         rows = self.spark.read.schema(ROWS).parquet(f"{self.root}/{folder}/rows")
         rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.root}/{folder}/totals")
@@ -106,6 +108,8 @@ class TokenLedger:
             return False
         self._mark("writer")  # fails if there is one
         try:
+            if self._fs.exists(self._path(f"{self.root}/commits/{batch}")):  # by a writer that held the lock until now
+                return False
             who = ["doc_id", "tokenizer"]
             changes = changes.select(*who, "op", "source", "lang", "seq", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("tokens"))
             changes.write.mode("overwrite").parquet(f"{self.root}/batches/{batch}/changes")
@@ -118,7 +122,7 @@ class TokenLedger:
                 a, b = last.alias("a"), self.current(touched).alias("b")
                 same = (F.col("a.doc_id") == F.col("b.doc_id")) & F.col("a.tokenizer").eqNullSafe(F.col("b.tokenizer"))
                 signed = signed.unionByName(b.join(a, same, "left_semi").select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"), "bucket"))
-            self._write(f"batches/{batch}", signed)
+            self._write(f"batches/{batch}", signed, changes.count())
             self._mark(f"commits/{batch}")
             self._fs.delete(self._path(f"{self.root}/batches/{batch}/changes"), True)
             if len(self._sources()) > self.fold_after:
@@ -131,7 +135,8 @@ class TokenLedger:
         """A snapshot of all committed batches; it counts from the moment its marker exists."""
         name, held = f"{len(self._names('folded')):08d}", self.batches()
         self._fs.delete(self._path(f"{self.root}/snapshots/{name}"), True)
-        self._write(f"snapshots/{name}", self.current())
+        rows = self.current()
+        self._write(f"snapshots/{name}", rows, rows.count())
         for b in held:
             self._mark(f"snapshots/{name}/covers/{b}")
         self._mark(f"folded/{name}")

@@ -42,6 +42,33 @@ def test_folded_batches_and_a_second_writer(spark, tmp_path):
     assert totals(ledger) == want
 
 
+def test_a_writer_between_test_and_lock(spark, tmp_path, monkeypatch):
+    """Another writer commits the batch after this one has looked for its marker and before it holds the lock."""
+    rows = spark.createDataFrame([(1, "a", "en", "t", "insert", 0, 10), (2, "a", "en", "t", "insert", 0, 5), (3, "a", "en", "t", "insert", 0, 1)], CHANGE)
+    ledger, other = (TokenLedger(spark, f"file://{tmp_path}") for _ in range(2))
+    mark = ledger._mark
+
+    def late(file):
+        if file == "writer":
+            monkeypatch.setattr(ledger, "_mark", mark)
+            assert other.commit("b1", rows)
+        mark(file)
+
+    monkeypatch.setattr(ledger, "_mark", late)
+    assert not ledger.commit("b1", rows)
+    assert totals(ledger) == {("a", "en", "t"): (3, 16)} and ledger.batches() == ["b1"]
+    assert ledger.commit("b2", rows.withColumn("n_tokens", rows["n_tokens"] + 1))  # the lock is free again
+    assert totals(ledger) == {("a", "en", "t"): (3, 19)}
+
+
+def test_a_large_batch_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("seriesloom.llm.tokens.TASK_ROWS", 1)
+    ledger = TokenLedger(spark, f"file://{tmp_path}")
+    ledger.commit("b1", spark.createDataFrame([(i, "a", "en", "t", "insert", 0, 1) for i in range(640)] + [(None, f"s{i}", "en", "t", "insert", 0, 1) for i in range(40)], CHANGE))
+    assert max(len(list(d.glob("*.parquet"))) for d in (tmp_path / "batches" / "b1" / "rows").iterdir() if d.is_dir()) > 1
+    assert sum(n for _, n in totals(ledger).values()) == 680
+
+
 def test_unfinished_batch_does_not_count(spark, tmp_path):
     ledger = TokenLedger(spark, f"file://{tmp_path}")
     ledger.commit("b1", spark.createDataFrame([(1, "a", "en", "t", "insert", 0, 1)], CHANGE))
