@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import corrections, folds, slips
+from ..operators import corrections, folds, slips, stats, tables, timejoin
 from ..operators.lineage import cut, shared_folder
-from ..sources.tables import series
+from ..sources.tables import series, table
 from ..streaming import runner
 from .events import HOUR, S
 
@@ -138,3 +138,52 @@ def joint_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("expected", F.coalesce((F.lag("value", 1).over(w) + F.lag("value", 2).over(w)) / 2, F.lit(50.0)))
     d = d.select("run", "us", "seq", F.col("topic").alias("axle"), F.col("value").alias("z"), "expected", (F.abs(F.col("value") - F.col("expected")) <= 45).alias("ok"))
     return slips.slips(d, SLIPS, 20 * DAY).withColumn("size", F.round("size", 6))
+
+
+# ---- scenarios and arms
+
+#: Which messages behind the departure stay, and how the runner is set.
+SCENARIOS = {"all": "true", "no_clicks": "topic <> 'click'", "thinned": "seq % 3 = 0", "first_half": f"us % {SPAN} < {SPAN // 2}"}
+ARMS = {"base": runner.Settings(), "noisy": runner.Settings(noise=900.0), "quick": runner.Settings(drift=400.0)}
+DEPARTS = 0.3
+
+
+def scenario_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, scenario, arm and the runner's rows behind the departure, all from one set of snapshots."""
+    msgs = series(spark, sf_dir, "click", "view")
+    last = msgs.agg(F.max("seq")).first()[0] or 0
+    width = max(1, last // 16)
+    kept = cut(folds.states(folds.fold(msgs.where(F.col("seq") < int(DEPARTS * last)), ["run"], ["seq"], runner.as_fold(ARMS["base"]), folds.bucket_of("seq", width)), ["run"]))
+    names = [f"{s}/{a}" for s in SCENARIOS for a in ARMS]
+    plan = msgs.select("run").distinct().select("run", F.explode(F.array(*map(F.lit, names))).alias("branch"), F.lit(int(DEPARTS * last)).cast("long").alias("at"))
+    scenario = lambda: F.split_part("branch", F.lit("/"), F.lit(1))
+
+    def alter(d: DataFrame) -> DataFrame:
+        stays = F.lit(True)
+        for name, rule in SCENARIOS.items():
+            stays = F.when(scenario() == name, F.expr(rule)).otherwise(stays)
+        return d.where(~F.col("changed") | stays)
+
+    rows = folds.branches(msgs, kept, ["run"], ["seq"], "seq", width, runner.as_fold(ARMS["base"], {f"{s}/{a}": x for s in SCENARIOS for a, x in ARMS.items()}), plan, alter)
+    return rows.select("run", scenario().alias("scenario"), F.split_part("branch", F.lit("/"), F.lit(2)).alias("arm"), "node", "us", "speed", "stale")
+
+
+@query()
+def scenario_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every arm in every scenario against the values of signups, interpolated at the rows' times."""
+    rows = cut(scenario_rows(spark, sf_dir))
+    truth = series(spark, sf_dir, "signup").where("value is not null").groupBy("run", "us").agg(F.avg("value").alias("value"))
+    at = timejoin.interpolate(rows.select("run", "us").distinct(), truth, "run", "us", "value", bucket=SPAN)
+    scored = rows.join(at, ["run", "us"]).withColumn("e", F.col("speed") - F.col("interp_value"))
+    return scored.groupBy("scenario", "arm").agg(*stats.error_stats(F.col("e")), F.round(F.avg(F.col("stale").cast("int")), 6).alias("stale"))
+
+
+GRID_U, GRID_V = [-0.05, -0.03, -0.01, 0.0, 0.01, 0.03, 0.05], [0.0, 5.0, 15.0, 25.0, 40.0, 50.0]
+
+
+@query()
+def fitted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tax of order lines over discount (less a twentieth) and quantity, smoothed and constrained on both sides of zero."""
+    d = table(spark, sf_dir, "lineitem")
+    w = tables.fitted_table(d, F.col("l_discount") - 0.05, F.col("l_quantity"), F.col("l_tax"), GRID_U, GRID_V)
+    return tables.as_rows(spark, tables.sign_constrained(w, GRID_U), GRID_U, GRID_V)

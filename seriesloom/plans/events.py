@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, islands, running, stats, timejoin
+from ..operators import grid, islands, quantiles, running, stats, timejoin
 from ..sources.tables import series, table
 
 HOUR = 3_600_000_000
@@ -359,7 +359,10 @@ def error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT topic, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM s GROUP BY topic")
 def dist_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series(spark, sf_dir).groupBy("topic").agg(*stats.distribution(F.col("value")))
+    d, names = series(spark, sf_dir), {0.5: "p50", 0.95: "p95", 0.99: "p99"}
+    whole = d.groupBy("topic").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("max"))
+    shares = quantiles.side_by_side(quantiles.order_statistics(d, ["topic"], "value", list(names)), ["topic"], names)
+    return whole.join(shares, "topic", "left").select("topic", "n", "mean", *(F.round(n, 6).alias(n) for n in names.values()), "max")
 
 
 @query(PAIRS + " SELECT run, round(avg(CAST(abs(e) <= (10 + 0.5 * est) AS INT)), 6) AS within_1, round(avg(CAST(abs(e) <= 2 * (10 + 0.5 * est) AS INT)), 6) AS within_2 FROM p GROUP BY run")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import faults, fitting, sets, spatial, timejoin
+from ..operators import faults, fitting, quantiles, sets, spatial, timejoin
 from ..sources.tables import micros, series, table
 from ..streaming import runner
 from .events import HOUR, S, pairs, topics
@@ -328,8 +328,11 @@ def robust_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, round(1 / quantile_cont(l_extendedprice / l_quantity, 0.5), 9) AS scale FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def group_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.col("l_extendedprice") / F.col("l_quantity")
-    g = table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.percentile(ratio, F.lit(0.5)).alias("m"))
-    return g.select("l_returnflag", "l_linestatus", F.round(1 / F.col("m"), 9).alias("scale"))
+    keys, none = ("l_returnflag", "l_linestatus"), F.lit(None).cast("string")
+    levels = F.array(F.struct(*keys), F.struct(keys[0], none.alias(keys[1])), F.struct(none.alias(keys[0]), none.alias(keys[1])))
+    d = table(spark, sf_dir, "lineitem").select(F.explode(levels).alias("k"), ratio.alias("ratio")).select("k.*", "ratio")
+    g = quantiles.order_statistics(d, list(keys), "ratio", [0.5])
+    return g.select(*keys, F.round(1 / F.col("x"), 9).alias("scale"))
 
 
 SWEEP = [(float(a), b) for a in (5, 20, 40) for b in (0.2, 0.5, 1.0)]
