@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .spatial import within
 
 
 def duplicates(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -69,6 +68,19 @@ def shared_cells(df: DataFrame, key: str, cells: list[str], least: float) -> Dat
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("ratio"))
 
 
+#: Slices over which the edges of one node are spread.
+SLICES = 64
+
+
+def to_least(edges: DataFrame, least: Column, which: Column) -> tuple[DataFrame, DataFrame]:
+    """Edges (v, least of u) for the edges (u, v) of a kind, and (u, least) per node u.  The edges of one node are spread over
+    slices where its least meets them, so that the centre of a star is not one task."""
+    own = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SLICES)).cast("int"))
+    found = own.groupBy("u").agg(least.alias("m"), F.bit_or(F.expr("shiftleft(1L, _s)")).alias("_has"))
+    dealt = found.select("u", "m", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.getbit("_has", i) == 1)).alias("_s"))
+    return own.where(which).join(dealt, ["u", "_s"]).select(F.col("v").alias("u"), F.col("m").alias("v")), found.select("u", F.col("m").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable by edges (a, b).
 
@@ -82,10 +94,9 @@ def components(edges: DataFrame) -> DataFrame:
     e, seen = cut(up(given)), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = up(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(up(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))))
+        large = up(to_least(both, F.least(F.min("v"), F.first("u")), F.col("v") > F.col("u"))[0])
+        moved, least = to_least(large, F.min("v"), F.lit(True))
+        e = cut(up(moved.unionByName(least)))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -104,19 +115,30 @@ def linked_in_line(df: DataFrame, by: str, x: str, gap: float, tie: str) -> Data
 def first_fit(df: DataFrame, by: str, key: str, x: str, y: str, radius: float) -> DataFrame:
     """by, key, cluster: in key order, an unused point opens a cluster and absorbs all unused within radius.
 
-    The result depends on the order, so each group is one task; groups must fit one.
+    In rounds: an undecided point without a smaller neighbour (a point within
+    radius) that is undecided or has opened opens itself; one whose smallest
+    such neighbour has opened joins it.
+    The neighbours of a point come from a join on cells, once.  Keys are unique
+    within a group; rows with a null group, key or place have no cluster and no row.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        out, px, py = [-1] * len(pdf), pdf[x].to_numpy(), pdf[y].to_numpy()
-        for i in range(len(pdf)):
-            if out[i] < 0:
-                near = ((px - px[i]) ** 2 + (py - py[i]) ** 2) ** 0.5 <= radius
-                for j in near.nonzero()[0]:
-                    if out[j] < 0:
-                        out[j] = int(pdf[key][i])
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": out})
-
-    kinds = dict(df.dtypes)
-    return df.select(by, key, x, y).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster long")
+    whole = df.select(by, F.col(key).cast("long").alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(f"`{by}` is not null and _k is not null and _x is not null and _y is not null")
+    whole = cut(whole)
+    probes = whole.select(F.col(by).alias("_by"), F.col("_k").alias("b"), F.col("_x").alias("px"), F.col("_y").alias("py"))
+    points = whole.select(by, F.col("_k").alias("a"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    near = cut(within(probes, points, radius).where((F.col("_by") == F.col(by)) & (F.col("a") < F.col("b"))).select(by, "a", "b"))  # a is the smaller
+    left, openers, done = whole.select(by, "_k"), whole.select(by, "_k").limit(0), []
+    while not left.isEmpty():
+        # what may take an undecided point: smaller neighbours that are undecided or have opened
+        takers = left.unionByName(openers).withColumnRenamed("_k", "a")
+        first = near.join(left.withColumnRenamed("_k", "b"), [by, "b"], "left_semi").join(takers, [by, "a"], "left_semi").groupBy(by, F.col("b").alias("_k")).agg(F.min("a").alias("a"))
+        first = cut(first)
+        opens = left.join(first, [by, "_k"], "left_anti")
+        openers = cut(openers.unionByName(opens))
+        joins = cut(first.join(openers.withColumnRenamed("_k", "a"), [by, "a"], "left_semi").select(by, "_k", F.col("a").alias("cluster")))
+        done.append(joins)
+        left = cut(left.join(openers.unionByName(joins.select(by, "_k")), [by, "_k"], "left_anti"))
+    done.append(openers.withColumn("cluster", F.col("_k")))
+    out = whole.select(by, "_k", F.col("_k").alias("cluster")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out.select(by, F.col("_k").cast(dict(df.dtypes)[key]).alias(key), "cluster")

@@ -1,4 +1,4 @@
-"""Queries for map building, slips, filters and simulated runs."""
+"""Queries for map building, slips and filters."""
 
 from __future__ import annotations
 

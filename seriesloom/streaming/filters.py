@@ -1,4 +1,4 @@
-"""Sigma-point filtering of a run, and a seeded plant that makes runs."""
+"""Sigma-point filtering of a run."""
 
 from __future__ import annotations
 

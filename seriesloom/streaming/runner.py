@@ -8,9 +8,9 @@ a new base: a gap if it lies ahead by no more than `gap`, else a reset.  A bad
 value still advances the clock.  At each node the values that are fresh are
 averaged, and a one-dimensional Kalman filter smooths them.
 
-A message brings about at most `most_nodes` nodes at once.  One whose stamp the
-grid has not reached waits, with all behind it, in a queue that is part of the
-state; so a small bound delays rows and changes none.  After a reset rows show
+A message, or a batch of a stream, brings about at most `most_nodes` nodes at
+once.  One whose stamp the grid has not reached waits, with all behind it, in a
+queue that is part of the state; so a small bound delays rows and changes none.  After a reset rows show
 the path of the session before, marked as fallback, until the new one has seen
 a value.  A state that is no longer finite starts anew and keeps its path.
 """
@@ -114,14 +114,6 @@ def feed(s: State, c: Settings, topic: str, us: int, value: float | None) -> Ite
     yield from drain(s, c)
 
 
-def _rows(run, pdf: pd.DataFrame, s: State, c: Settings) -> pd.DataFrame:
-    out = [r for t, us, v in zip(pdf["topic"], pdf["us"], pdf["value"], strict=True) for r in feed(s, c, t, int(us), None if pd.isna(v) else float(v))]
-    while rest := list(drain(s, c)):
-        out += rest
-    names = [x.split()[0] for x in OUT.split(", ")]
-    return pd.DataFrame([{"run": run, **r} for r in out], columns=names)
-
-
 def as_fold(settings: Settings, changed: dict[str, Settings] | None = None) -> Fold:
     """The runner as a fold over messages (topic, us, value); with changed, also over branch and changed (whether the
     message lies behind the branch's departure), from where on changed[branch] holds, if there is one."""
@@ -145,14 +137,20 @@ def in_batch(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def in_stream(df: DataFrame, settings: Settings) -> DataFrame:
-    """The same for a streaming df; state is kept per run, and a batch is taken in arrival order."""
+    """The same for a streaming df; state is kept per run, and a batch is taken in arrival order.
+
+    A batch gives at most `most_nodes` rows of a run.  What the messages ask for
+    beyond waits in the state for the batches of the run's next messages.
+    """
+    names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(key, frames, state) -> Iterator[pd.DataFrame]:
         s = State(**json.loads(state.get[0])) if state.exists else State()
         pdf = pd.concat(list(frames), ignore_index=True).sort_values("seq")
-        out = _rows(key[0], pdf, s, settings)
+        s.queue += [[t, int(us), None if pd.isna(v) else float(v)] for t, us, v in zip(pdf["topic"], pdf["us"], pdf["value"], strict=True)]
+        out = list(drain(s, settings))
         state.update((json.dumps(asdict(s)),))
-        yield out
+        yield pd.DataFrame([{"run": key[0], **r} for r in out], columns=names)
 
     return df.groupBy("run").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
 

@@ -1,6 +1,7 @@
 """Small series with answers worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,19 @@ def test_components_and_first_fit(spark):
     assert {r.k: r.cluster for r in sets.first_fit(pts, "g", "k", "x", "y", 4.0).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_first_fit_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    pts = [(g, k, rng.uniform(0, 30), rng.uniform(0, 30)) for g in range(2) for k in rng.sample(range(900), 90)] + [(0, 1000, 3.0, 3.0), (0, 1001, 3.0, 3.0), (None, 1, 0.0, 0.0), (1, 2000, None, 1.0)]
+    want = {}
+    for g in range(2):
+        own = sorted((k, x, y) for q, k, x, y in pts if q == g and x is not None)
+        for k, x, y in own:
+            if (g, k) not in want:
+                want |= {(g, j): k for j, u, v in own if (g, j) not in want and math.hypot(u - x, v - y) <= 4.0}
+    df = spark.createDataFrame(pts, "g long, k long, x double, y double").repartition(3)
+    assert {(r.g, r.k): r.cluster for r in sets.first_fit(df, "g", "k", "x", "y", 4.0).collect()} == want
+
+
 def test_components_of_long_chains(spark):
     line = [0, *range(150, 0, -1)]  # the least label moves one node a round
     edges = spark.createDataFrame([*zip(line, line[1:]), (500, 500), (700, 701), (None, 3), (900, None)], "a long, b long")

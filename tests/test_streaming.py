@@ -25,6 +25,20 @@ def test_stream_equals_batch(spark, tmp_path):
         assert a[:3] == b[:3] and a.speed == pytest.approx(b.speed) and a.path == pytest.approx(b.path)
 
 
+def test_a_batch_of_a_stream_gives_its_budget_at_most(spark, tmp_path):
+    """One message far ahead asks for forty rows; batches of later messages, even useless ones, bring them ten at a time."""
+    first = [(1, "click", 0, 0, 10.0), (1, "view", 1, 240 * HOUR, 20.0)]
+    parts = [first, *[[(1, "view", 2 + k, 240 * HOUR, None)] for k in range(4)]]
+    sizes = []
+    for part in parts:
+        spark.createDataFrame(part, "run long, topic string, seq long, us long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("run long, topic string, seq long, us long, value double").parquet(f"{tmp_path}/in")
+        q = in_stream(stream, Settings(most_nodes=10)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        sizes.append(spark.read.parquet(f"{tmp_path}/out").count())
+    assert sizes == [10, 20, 30, 40, 41]
+
+
 def rows(msgs):
     s, c = State(), Settings()
     return [r for m in msgs for r in feed(s, c, *m)], s
