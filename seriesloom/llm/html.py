@@ -28,7 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|[^<]++|<", re.S)
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+TOKEN = re.compile(COMMENT + r"|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|[^<]++|<", re.S)
+#: Behind the last >, where no tag can end.
+REST = re.compile(COMMENT + r"|()()()[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object select button canvas audio video".split())
@@ -58,16 +61,34 @@ JUNK = re.compile(
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|article-?body|post-?body|text|body|prose|markdown)(?:$|[\s_-])", re.I)
 
 
+#: Of names that mean boilerplate, those of readers' comments.
+TALK = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?\w+|respond|replies|disqus)(?:$|[\s_-])", re.I)
+#: Shares of a page's text from which an element with a heading or a name of content, or any form, holds the page itself.
+HALF, NEARLY_ALL = 0.5, 0.8
+
+
 class Element:
-    __slots__ = ("apart", "hint", "inside", "junk", "parent", "tag")
+    __slots__ = ("apart", "hint", "inside", "junk", "main", "named", "parent", "size", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.apart = tag in APART or (tag == "header" and not self.inside) or bool(parent and parent.apart)
-        self.junk = bool(names and tag not in ("body", "html", "article", "main") and JUNK.search(names)) or bool(parent and parent.junk)
-        self.hint = bool(names and MAIN.search(names) and not self.junk) or bool(parent and parent.hint and not self.junk)
+        self.apart = tag in APART or (tag == "header" and not self.inside)
+        self.junk = bool(names and tag not in ("body", "html", "article", "main") and JUNK.search(names))
+        self.hint = bool(names and MAIN.search(names))
+        self.named = self.hint and not TALK.search(names)
+        self.main = tag in ("h1", "article", "main")
+        self.size = 0
+
+    def settle(self, whole: int) -> None:
+        """Take over what holds for the parent, once the text below is known.  An element that holds the page itself is no
+        boilerplate, whatever its name, nor is a form around it."""
+        up, share = self.parent, self.size / max(whole, 1)
+        holds = share >= HALF and (self.main or self.named)
+        self.junk = (self.junk and not holds) or bool(up and up.junk)
+        self.apart = (self.apart and not (self.tag == "form" and (holds or share >= NEARLY_ALL))) or bool(up and up.apart)
+        self.hint = (self.hint and not self.junk) or bool(up and up.hint and not self.junk)
 
 
 class Block:
@@ -89,7 +110,8 @@ def tokens_of(html: str) -> tuple[list[re.Match], dict[int, int]]:
     def last(name):
         return next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name)
 
-    while m := TOKEN.match(html, at):
+    last_end = html.rfind(">")
+    while m := (TOKEN if at <= last_end else REST).match(html, at):
         tokens.append(m)
         at, here = m.end(), len(tokens) - 1
         name = m[2].lower() if m[2] else ""
@@ -123,6 +145,11 @@ def blocks_of(html: str) -> list[Block]:
     found: list[Block] = []
     root = Element("html", None)
     stack, parts, linked, in_link = [root], [], 0, 0
+    made, depth = [root], Counter()  # elements in page order; how many of a tag are open
+
+    def close_to(i: int) -> None:
+        depth.subtract(e.tag for e in stack[i:])
+        del stack[i:]
 
     def close_block():
         nonlocal parts, linked
@@ -149,9 +176,8 @@ def blocks_of(html: str) -> list[Block]:
                 in_link = 0
             if tag in BLOCK:
                 close_block()
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if at:
-                    del stack[at:]
+                if depth[tag]:
+                    close_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -165,9 +191,11 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[i].tag in stop:
                     break
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close_to(i)
             if tag != "html":
                 stack.append(Element(tag, stack[-1], m[3]))
+                made.append(stack[-1])
+                depth[tag] += 1
         elif tag == "a":
             in_link = 1
         elif tag in VOID:
@@ -175,6 +203,14 @@ def blocks_of(html: str) -> list[Block]:
             if tag == "hr":
                 close_block()
     close_block()
+    for b in found:
+        b.element.size += len(b.text) - b.linked
+    for e in reversed(made):
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.main |= e.main and not e.junk
+    for e in made:
+        e.settle(root.size)
     return found
 
 

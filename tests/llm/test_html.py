@@ -101,3 +101,41 @@ def test_no_markup_costs_an_article(page):
 
 def test_formulas_are_text():
     assert main_text(f"<article><p>{ONE} <math><mi>x</mi></math> ends.</p><p>{TWO}</p></article>", trained()) == f"{ONE} x ends.\n{TWO}"
+
+
+WORDS = "Rain fell on the town all night and the river rose over its banks by morning."
+NAMES = "content-with-sidebar has-sidebar post_comments-open entry_share-enabled story_legal-news page_search-results widget-content social-story banner-story single-post_alert meta-article".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_an_article_under_a_name_of_boilerplate(name):
+    body = "".join(f"<p>{WORDS} ({i})</p>" for i in range(5))
+    page = f'<body><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class="{name.replace("_", " ")}"><h1>High water</h1>{body}<div class="comments"><p>First comment here.</p></div></div><footer><p>&copy; us</p></footer>'
+    assert main_text(page, trained()) == "High water\n" + "\n".join(f"{WORDS} ({i})" for i in range(5))
+
+
+def test_a_page_within_one_form():
+    body = "".join(f"<p>{WORDS} ({i})</p>" for i in range(5))
+    page = f"<body><form action=x><nav><ul><li><a href=a>One</a></ul></nav><div><h1>High water</h1>{body}</div><footer><p>&copy; us</p></footer></form>"
+    assert main_text(page, trained()) == "High water\n" + "\n".join(f"{WORDS} ({i})" for i in range(5))
+
+
+def test_many_comments_are_no_article():
+    talk = "".join(f"<div class=comment-body><p>{WORDS} ({i})</p></div>" for i in range(20))
+    page = f"<body><article><h1>High water</h1><p>{WORDS}</p></article><section id=comments class=comments-content><h2>Comments</h2>{talk}</section>"
+    assert main_text(page, trained()) == f"High water\n{WORDS}"
+
+
+def test_comments_end_as_in_a_browser():
+    for c in ("<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!---->"):
+        assert shown(f"<p>A</p>{c}<p>B</p>") == ["A", "B"]
+    assert shown("<p>A</p><!-- x <p>B</p>") == ["A"]
+
+
+def test_pages_in_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, "<div>" * 20_000 + "</p>" * 20_000, "<p>x</p>" + "<a b=" * 200_000, "<" * 500_000):
+        began = time.process_time()
+        blocks_of(page)
+        assert time.process_time() - began < 6
