@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import corrections, folds, slips, stats, tables, timejoin
 from ..operators.lineage import cut, shared_folder
 from ..sources.tables import series, table
-from ..streaming import runner
+from ..streaming import alignment, runner
 from .events import HOUR, S
 
 QUERIES, SQL = {}, {}
@@ -187,3 +187,31 @@ def fitted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem")
     w = tables.fitted_table(d, F.col("l_discount") - 0.05, F.col("l_quantity"), F.col("l_tax"), GRID_U, GRID_V)
     return tables.as_rows(spark, tables.sign_constrained(w, GRID_U), GRID_U, GRID_V)
+
+
+# ---- alignment
+
+ALIGN = alignment.AlignRules(window=5 * DAY, first="click", second="view", second_only_after=DAY, tolerance=12 * HOUR, base=(1.0, 60.0), moved=8.0, near=3.0, least_way=5.0)
+
+_FIX = f"""WITH {S}, x AS (SELECT run, us, seq, topic AS antenna, sum(round(value, 2)::DECIMAL(18, 2)) OVER (PARTITION BY run ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE / 10 AS way, value FROM s WHERE topic IN ('click', 'view') AND value IS NOT NULL),
+f AS (SELECT run, us, antenna, way, way + seq % 7 AS x, value / 20 + CASE WHEN antenna = 'view' THEN 4 ELSE 0 END AS y FROM x), w AS (SELECT * FROM f QUALIFY us <= min(us) OVER (PARTITION BY run) + {5 * DAY}),
+c AS (SELECT run, min(us) AS start, count(*) AS used, count(*) FILTER (antenna = 'click') AS n1, max(us) FILTER (antenna = 'view') - min(us) FILTER (antenna = 'view') AS span FROM w GROUP BY run),
+o AS (SELECT w.* FROM w JOIN c USING (run) WHERE (n1 > 0 AND antenna = 'click') OR (n1 = 0 AND span >= {DAY})),
+g AS (SELECT run, any_value(antenna) AS antenna, max(way) - min(way) > 8 AS moving, arg_max(x, us) AS lx, arg_max(y, us) AS ly, arg_max(way, us) AS way, arg_min(x, us) AS fx, arg_min(y, us) AS fy, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM o GROUP BY run),
+d AS (SELECT o.*, sqrt((x - mx) ** 2 + (y - my) ** 2) AS away FROM o JOIN g USING (run)), k AS (SELECT run, avg(x) AS x, avg(y) AS y FROM (SELECT *, min(away) OVER (PARTITION BY run) AS least FROM d) WHERE away <= least + 1e-6 OR away < 3 GROUP BY run),
+p AS (SELECT a.run, sum(b.x - a.x) AS dx, sum(b.y - a.y) AS dy FROM w a JOIN w b ON a.run = b.run AND a.antenna = 'click' AND b.antenna = 'view' AND abs(a.us - b.us) <= {12 * HOUR} WHERE sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) BETWEEN 1 AND 60 GROUP BY a.run),
+h AS (SELECT c.run, start, used, CASE WHEN moving THEN lx ELSE k.x END AS x, CASE WHEN moving THEN ly ELSE k.y END AS y, g.way, CASE WHEN dx IS NOT NULL THEN atan2(dx, dy) WHEN sqrt((lx - fx) ** 2 + (ly - fy) ** 2) > 5 THEN atan2(lx - fx, ly - fy) END AS heading, moving, antenna FROM c JOIN g USING (run) JOIN k USING (run) LEFT JOIN p USING (run))
+SELECT run, start, used, round(x, 6) AS x, round(y, 6) AS y, round(way, 6) AS way, round(heading, 6) AS heading, heading IS NOT NULL AS ready, moving, antenna FROM h"""
+
+
+def fixes_of_antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("run").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    d = series(spark, sf_dir, "click", "view").where("value is not null").withColumn("way", F.sum(F.round("value", 2).cast("decimal(18,2)")).over(w).cast("double") / 10)
+    y = F.col("value") / 20 + F.when(F.col("topic") == "view", 4).otherwise(0)
+    return d.select("run", "us", F.col("topic").alias("antenna"), (F.col("way") + F.col("seq") % 7).alias("x"), y.alias("y"), "way")
+
+
+@query(_FIX)
+def alignment_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = alignment.in_batch(fixes_of_antennas(spark, sf_dir), ALIGN)
+    return d.select("run", "start", "used", *(F.round(c, 6).alias(c) for c in ("x", "y", "way", "heading")), "ready", "moving", "antenna")
