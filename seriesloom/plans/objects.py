@@ -81,7 +81,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", *xy)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT label, 0::BIGINT AS i, []::STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[] AS o FROM (SELECT DISTINCT label FROM p)
+UNION ALL SELECT r.label, p.i, CASE WHEN len(list_filter(r.o, lambda z: sqrt((z.x - p.x) ** 2 + (z.y - p.y) ** 2) <= 8)) = 0 THEN list_append(r.o, struct_pack(k := p.vec_id, x := p.x, y := p.y)) ELSE r.o END FROM r JOIN p ON p.label = r.label AND p.i = r.i + 1),
+f AS (SELECT label, arg_max(o, i) AS o FROM r GROUP BY label)
+SELECT p.label, p.vec_id, list_min(list_transform(list_filter(o, lambda z: sqrt((z.x - p.x) ** 2 + (z.y - p.y) ** 2) <= 8), lambda z: z.k)) AS cluster FROM p JOIN f USING (label)""")
 def cluster_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.first_fit(points(spark, sf_dir), "label", "vec_id", "x", "y", 8.0)
 
