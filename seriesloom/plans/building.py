@@ -73,7 +73,9 @@ def straight_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, v AS (SELECT run, seq, value, row_number() OVER (PARTITION BY run ORDER BY seq) AS i, max(value) OVER b AS before, count(value) OVER b AS n, max(value) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ahead FROM s WINDOW b AS (PARTITION BY run ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+c AS (SELECT run, seq, i FROM v WHERE value >= 40 AND n = 2 AND before < 40 AND ahead > 80),
+r AS (SELECT run, min(i) AS i FROM c GROUP BY run UNION ALL SELECT r.run, min(c.i) FROM r JOIN c ON c.run = r.run AND c.i >= r.i + 5 GROUP BY r.run) SELECT run, seq FROM r JOIN c USING (run, i)""")
 def start_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.starts(series(spark, sf_dir), "run", "seq", "value", 40, 80, 5, 2)
 

@@ -87,12 +87,18 @@ def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANCHORS = routes.AnchorRules(sigma=2.0, growth=0.2, most=40.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {MAP}, sp AS (SELECT run, list(base + s) AS a FROM rt JOIN pts USING (path) GROUP BY run),
+n AS (SELECT run, odo, row_number() OVER (PARTITION BY run ORDER BY us, odo) AS i FROM (SELECT DISTINCT run, us, odo FROM st)),
+z AS (SELECT run, 0::BIGINT AS i, 0.0::DOUBLE AS shift, 0.0::DOUBLE AS since, NULL::DOUBLE AS odo, NULL::DOUBLE AS moved FROM (SELECT DISTINCT run FROM n)
+UNION ALL SELECT run, i, CASE WHEN b IS NULL THEN shift ELSE shift + (b.a - here) END, CASE WHEN b IS NULL THEN since ELSE odo END, odo, CASE WHEN b IS NOT NULL THEN b.a - here END FROM (SELECT n.run, n.i, n.odo, z.shift, z.since, n.odo + z.shift AS here,
+list_sort(list_transform(list_filter(coalesce(sp.a, []), lambda x: abs(x - (n.odo + z.shift)) <= 3 * sqrt(1 + (2 + 0.2 * abs(n.odo - z.since)) ** 2) AND abs(x - n.odo) <= 40), lambda x: struct_pack(d := abs(x - (n.odo + z.shift)), a := x)))[1] AS b FROM z JOIN n ON n.run = z.run AND n.i = z.i + 1 LEFT JOIN sp ON sp.run = n.run))
+SELECT run, round(odo, 6) AS odo, round(moved, 6) + 0.0 AS moved, round(shift, 6) + 0.0 AS shift FROM z WHERE moved IS NOT NULL""")
 def stop_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point of a path is a stop."""
     points, _, stands, route = walked(spark, sf_dir)
     stops = points.select("path", "s", F.lit(1.0).alias("sd"))
-    return routes.anchors(stands, route, stops, ANCHORS)
+    d = routes.anchors(stands, route, stops, ANCHORS)
+    return d.select("run", *((F.round(c, 6) + 0.0).alias(c) for c in ("odo", "moved", "shift")))
 
 
 # ---- projection

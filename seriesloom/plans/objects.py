@@ -363,6 +363,10 @@ def stream_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runner.in_batch(series(spark, sf_dir, "click", "view"), runner.Settings())
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, v AS (SELECT run, seq, value, row_number() OVER (PARTITION BY run ORDER BY seq) AS i FROM s WHERE topic = 'click'),
+r AS (SELECT run, NULL::BIGINT AS seq, 0::BIGINT AS i, 0.0::DOUBLE AS speed, 10000.0::DOUBLE AS variance FROM (SELECT DISTINCT run FROM v)
+UNION ALL SELECT r.run, v.seq, v.i, CASE WHEN value IS NULL THEN speed ELSE speed + (variance + 25) / (variance + 25 + 100) * (value - speed) END, CASE WHEN value IS NULL THEN variance + 25 ELSE (variance + 25) * (1 - (variance + 25) / (variance + 25 + 100)) END FROM r JOIN v ON v.run = r.run AND v.i = r.i + 1)
+SELECT run, seq, round(speed, 6) AS speed, round(variance, 6) AS variance FROM r WHERE i > 0""")
 def kalman_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runner.smoothed(series(spark, sf_dir, "click").drop("topic"), runner.Settings())
+    d = runner.smoothed(series(spark, sf_dir, "click").drop("topic"), runner.Settings())
+    return d.select("run", "seq", F.round("speed", 6).alias("speed"), F.round("variance", 6).alias("variance"))
