@@ -92,3 +92,46 @@ def available(kind: str, us: Column, start: Column, end: Column, run: Column, un
         "sparse": uniform(run, k, F.lit("sparse")) < 0.25,
         "bursts": (k % 4 == 0) & (uniform(run, k, F.lit("bursts")) < 0.75),
     }[kind]
+
+
+#: Chances of the glitches of a burst.
+GLITCHES = {"jump": 0.5, "stamp": 0.3, "degraded": 0.25, "alone": 0.25, "garbage": 0.3}
+
+
+def glitchy(df: DataFrame, start: Column, unit: int, second: str, second_long: int) -> DataFrame:
+    """Rows (run, seq, receiver, tb, th, x, y, status) of three units from a run's start on, and of bursts of one unit after them with glitches.
+
+    start uses the row's columns.  Bursts are units as in `sparse`; which glitches one has, and how large, is drawn by
+    hash: a jump of 15 to 80 on one to five epochs (equal th), stamps moved by a second (`second_long`) for 2 to 4 tenths
+    of the unit, status 0 and a shift of 5 to 15, no rows of the receiver `second`, and three rows of garbage before the
+    burst's first row (0, 0; no x; status -1), whose seq is null.
+    """
+    d = df.withColumn("_k", F.floor((F.col("tb") - start) / unit))
+    draw = lambda name: uniform(F.col("run"), F.col("_k"), F.lit(name))
+    has = lambda name: F.col("_burst") & (draw(name) < GLITCHES[name])
+    d = d.where((F.col("_k") < 3) | (draw("sparse") < 0.25)).withColumn("_burst", F.col("_k") >= 3)
+    burst = Window.partitionBy("run", "_k")
+    d = d.withColumns({"_e": F.dense_rank().over(burst.orderBy("th")) - 1, "_lo": F.min("tb").over(burst)}).withColumn("_all", F.max("_e").over(burst) + 1)
+    n = 1 + F.floor(5 * draw("jump_n"))
+    at = F.floor(draw("jump_at") * F.greatest(F.lit(1), F.col("_all") - n))
+    since = (0.8 * draw("stamp_at")) * unit
+    length = (0.2 + 0.2 * draw("stamp_length")) * unit
+    into = F.col("tb") - F.col("_lo")
+    jumps = has("jump") & (F.col("_e") >= at) & (F.col("_e") < at + n)
+    far = F.when(jumps, 15 + 65 * draw("jump_far")).otherwise(0.0), 2 * F.pi() * draw("jump_turn")
+    off = F.when(has("degraded"), 5 + 10 * draw("off_far")).otherwise(0.0), 2 * F.pi() * draw("off_turn")
+    moved = has("stamp") & (into >= since) & (into <= since + length)
+    sign = F.when(draw("stamp_sign") < 0.5, -1).otherwise(1)
+    kept = d.where(~(has("alone") & (F.col("receiver") == second)))
+    out = kept.select(
+        "run", "seq", "receiver", "tb", F.when(moved, F.col("th") + sign * second_long).otherwise(F.col("th")).alias("th"),
+        (F.col("x") + far[0] * F.sin(far[1]) + off[0] * F.sin(off[1])).alias("x"), (F.col("y") + far[0] * F.cos(far[1]) + off[0] * F.cos(off[1])).alias("y"),
+        F.when(has("degraded"), 0).otherwise(F.col("status")).alias("status"),
+    )
+    # the first row of a burst with garbage brings three more
+    order = Window.partitionBy("run", "_k").orderBy("tb", "seq")
+    first = d.where(has("garbage")).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    rows = [(1, F.col("receiver"), 0, F.lit(0.0), F.lit(0.0), 0), (2, F.lit(second), 0, F.lit(None).cast("double"), F.col("y"), 2), (3, F.col("receiver"), 5, F.col("x"), F.col("y"), -1)]
+    more = [F.struct(who.alias("receiver"), (F.col("tb") + k).alias("tb"), (F.col("th") + late).alias("th"), x.alias("x"), y.alias("y"), F.lit(status).alias("status")) for k, who, late, x, y, status in rows]
+    garbage = first.select("run", F.lit(None).cast("long").alias("seq"), F.explode(F.array(*more)).alias("g")).select("run", "seq", "g.*")
+    return out.unionByName(garbage)
