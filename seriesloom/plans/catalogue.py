@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, building, estimation, evaluation, events, matching, objects, snapping, terminals
+from . import audit, auditing, building, estimation, evaluation, events, matching, objects, snapping, terminals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES, **audit.QUERIES, **building.QUERIES, **evaluation.QUERIES, **estimation.QUERIES, **matching.QUERIES, **snapping.QUERIES, **terminals.QUERIES}
-SQL: dict[str, str] = {**events.SQL, **objects.SQL, **audit.SQL, **building.SQL, **evaluation.SQL, **estimation.SQL, **matching.SQL, **snapping.SQL, **terminals.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**events.QUERIES, **objects.QUERIES, **audit.QUERIES, **building.QUERIES, **evaluation.QUERIES, **estimation.QUERIES, **matching.QUERIES, **auditing.QUERIES, **snapping.QUERIES, **terminals.QUERIES}
+SQL: dict[str, str] = {**events.SQL, **objects.SQL, **audit.SQL, **building.SQL, **evaluation.SQL, **estimation.SQL, **matching.SQL, **auditing.SQL, **snapping.SQL, **terminals.SQL}
