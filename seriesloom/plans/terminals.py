@@ -26,21 +26,21 @@ def query(sql: str | None = None):
 
 def linked(p: str, link: float, n: str = "") -> str:
     """lab{n} (g, k, cluster) of points p (k, g, x, y): the smallest key that steps within a link reach."""
-    return f"""e{n} AS (SELECT a.g, a.k AS a, b.k AS b FROM {p} a JOIN {p} b ON a.g = b.g AND sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= {link}),
-l{n}(g, k, cluster) AS (SELECT g, k, k FROM {p} UNION SELECT l{n}.g, e{n}.b, l{n}.cluster FROM l{n} JOIN e{n} ON l{n}.g = e{n}.g AND l{n}.k = e{n}.a), lab{n} AS (SELECT g, k, min(cluster) AS cluster FROM l{n} GROUP BY g, k)"""
+    return f"""e{n} AS MATERIALIZED (SELECT a.g, a.k AS a, b.k AS b FROM {p} a JOIN {p} b ON a.g = b.g AND sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= {link}),
+l{n}(g, k, cluster) AS (SELECT g, k, k FROM {p} UNION SELECT l{n}.g, e{n}.b, l{n}.cluster FROM l{n} JOIN e{n} ON l{n}.g = e{n}.g AND l{n}.k = e{n}.a), lab{n} AS MATERIALIZED (SELECT g, k, min(cluster) AS cluster FROM l{n} GROUP BY g, k)"""
 
 
 # A run's way is a fifth of its values; it leads along the x axis up to 0, and on along one of four branches.
 TRACK = f"""{S}, v AS (SELECT run, seq, us, sum(round(value * 0.2, 3)::DECIMAL(18, 3)) OVER (PARTITION BY run ORDER BY us, seq ROWS UNBOUNDED PRECEDING)::DOUBLE AS s FROM s WHERE value IS NOT NULL),
 w AS (SELECT *, greatest(s - 300, 0) AS o, CASE run % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.6 END AS fx, CASE run % 4 WHEN 2 THEN 0.8 WHEN 3 THEN -0.8 ELSE 0.0 END AS fy FROM v),
 t AS (SELECT run, seq, us, s, least(s, 300) - 300 + o * fx AS x, (seq % 3) * 0.5 + o * fy AS y FROM w),
-rows_ AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY run) AS n FROM t)"""
+rows_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY run) AS n FROM t)"""
 
-ENDS = "en AS (SELECT 0 AS g, run, run * 2 + q.e AS k, x, y FROM rows_, (VALUES (0), (1)) q(e) WHERE (e = 0 AND i = 1) OR (e = 1 AND i = n))"
+ENDS = "en AS MATERIALIZED (SELECT 0 AS g, run, run * 2 + q.e AS k, x, y FROM rows_, (VALUES (0), (1)) q(e) WHERE (e = 0 AND i = 1) OR (e = 1 AND i = n))"
 LINK, LEAST, RADIUS = 30.0, 3, 120.0
-CENTRES = f"{ENDS}, {linked('en', LINK)}, ce AS (SELECT cluster AS centre, avg(x) AS x, avg(y) AS y, count(DISTINCT run) AS runs, count(*) AS n FROM lab JOIN en USING (k) GROUP BY cluster HAVING count(DISTINCT run) >= {LEAST})"
+CENTRES = f"{ENDS}, {linked('en', LINK)}, ce AS MATERIALIZED (SELECT cluster AS centre, avg(x) AS x, avg(y) AS y, count(DISTINCT run) AS runs, count(*) AS n FROM lab JOIN en USING (k) GROUP BY cluster HAVING count(DISTINCT run) >= {LEAST})"
 PASSAGES = f"""ins AS (SELECT r.run, centre, i, r.n FROM rows_ r JOIN ce ON sqrt((r.x - ce.x) ** 2 + (r.y - ce.y) ** 2) < {RADIUS}), grp AS (SELECT *, i - row_number() OVER (PARTITION BY run, centre ORDER BY i) AS c FROM ins),
-pa AS (SELECT run, centre, min(i) - 1 AS first, max(i) AS last, max(i) = max(n) AS ends FROM grp GROUP BY run, centre, c HAVING min(i) > 1)"""
+pa AS MATERIALIZED (SELECT run, centre, min(i) - 1 AS first, max(i) AS last, max(i) = max(n) AS ends FROM grp GROUP BY run, centre, c HAVING min(i) > 1)"""
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def terminal_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminals.passages(rows, cut(terminals.centres(rows, LINK, LEAST)), RADIUS)
 
 
-@query(f"""WITH RECURSIVE {TRACK}, {CENTRES}, {PASSAGES}, ar AS (SELECT pa.centre AS g, pa.run AS k, r.x, r.y, first, last FROM pa JOIN rows_ r ON pa.run = r.run AND r.i = r.n WHERE ends),
+@query(f"""WITH RECURSIVE {TRACK}, {CENTRES}, {PASSAGES}, ar AS MATERIALIZED (SELECT pa.centre AS g, pa.run AS k, r.x, r.y, first, last FROM pa JOIN rows_ r ON pa.run = r.run AND r.i = r.n WHERE ends),
 {linked('ar', 20.0, '2')},
 m AS (SELECT g, arg_max(cluster, struct_pack(n := n, c := -cluster)) AS main FROM (SELECT g, cluster, count(*) AS n FROM lab2 GROUP BY g, cluster) GROUP BY g)
 SELECT k AS run, g AS centre, first, last, cluster = main AS main FROM ar JOIN lab2 USING (g, k) JOIN m USING (g)""")
@@ -84,9 +84,10 @@ def terminal_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def terminal_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map is the x axis up to 0; a run is a passage, and stands where its value is below 5."""
+    """The map is the x axis up to 0; a run is a passage, and stands where its value is below 5.  Rows are some ten apart,
+    and so are the steps of an axis."""
     rows = tracks(spark, sf_dir)
     points = rows.select(F.col("run").alias("passage"), "i", "s", "x", "y", (F.least("s", F.lit(300.0)) - 300).alias("cx"), F.lit(0.0).alias("cy"), (F.col("s") > 300).alias("held"))
     stands = rows.join(series(spark, sf_dir).where("value < 5").select("run", "seq"), ["run", "seq"]).select(F.col("run").alias("passage"), "s")
-    found, _ = terminals.branches(points, stands)
+    found, _ = terminals.branches(points, stands, terminals.BranchRules(step=10.0, axis_join=12.0))
     return found
