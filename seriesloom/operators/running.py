@@ -62,10 +62,16 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float) ->
     return g.select(*by, F.size("v").cast("long").alias("n"), fold.alias("ewma"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as processors divide: over 0 it is NaN or infinite and no error."""
+    return F.when(b == 0, a * float("inf")).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
 def online_scale(df: DataFrame, by: list[str], order: str, weight: str, ratio: str) -> DataFrame:
-    """df with scale: the weighted mean ratio of all rows so far."""
+    """df with scale: the weighted mean ratio of all rows so far, NaN while all weights are 0."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("scale", F.sum(F.col(weight) * F.col(ratio)).over(w) / F.sum(weight).over(w))
+    d = df.withColumns({"_a": F.sum(F.col(weight) * F.col(ratio)).over(w), "_b": F.sum(weight).over(w)})
+    return d.withColumn("scale", quotient(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def prefix_median(df: DataFrame, by: list[str], order: str, value: str, last: int) -> DataFrame:
