@@ -20,6 +20,12 @@ def distribution(x: Column) -> list[Column]:
     return [F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.round(F.max(x), 6).alias("max")]
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Of pairs without nulls; NaN where one of the two does not vary (corr is an error there), null without pairs."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread == 0, float("nan")).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
 def coverage(e: Column, sigma: Column, k: float) -> Column:
     return F.avg((F.abs(e) <= k * sigma).cast("int"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import faults, grid, islands, rules, spatial, timejoin
+from ..operators import faults, grid, islands, rules, spatial, stats, timejoin
 from ..sources.tables import run_list, series, table, typed
 from .building import TRACK, tracks
 from .events import HOUR, ISLANDS, S, pairs, topics
@@ -163,7 +163,7 @@ def run_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).rollup("run").agg(
         F.count("*").alias("rows"), n.alias("n"), r6(n / F.count("*")).alias("pair_share"), r6(F.avg(F.abs(e))).alias("mae"), r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(e)).alias("bias"), r6(F.max(F.abs(e))).alias("worst"),
         r6(F.count_if(F.abs(e) <= 20) / F.nullif(n, F.lit(0))).alias("within_20"), F.count_if((ref < 20) & (est >= 20)).alias("false_rest"), r6(F.avg(ref)).alias("mean_ref"), r6(F.avg(est)).alias("mean_est"),
-        r6(F.stddev_pop(e)).alias("spread"), r6((F.max("us") - F.min("us")) / 3.6e9).alias("hours"), r6(F.corr(F.when(both, ref), F.when(both, est))).alias("agreement"),
+        r6(F.stddev_pop(e)).alias("spread"), r6((F.max("us") - F.min("us")) / 3.6e9).alias("hours"), r6(stats.correlation(F.when(both, ref), F.when(both, est))).alias("agreement"),
     )
 
 

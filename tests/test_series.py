@@ -176,3 +176,12 @@ def test_only_inputs_count_among_the_last(spark):
     for bucket in (None, 20):
         for last, want in ((64, {(1, 100): 34, (2, 100): None, (1, 30): 0}), (3, {(1, 100): None, (2, 100): None, (1, 30): 0})):
             assert {(r.run, r.arr): r.age for r in timejoin.freshest_of(outputs, inputs, "run", "us", "arr", last, bucket).collect()} == want
+
+
+def test_scale_and_agreement_without_weight_or_spread(spark):
+    d = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 2, 0.0, 3.0), (1, 3, 4.0, 5.0)], "g int, k int, w double, r double")
+    got = [r.scale for r in running.online_scale(d, ["g"], "k", "w", "r").orderBy("k").collect()]
+    assert math.isnan(got[0]) and math.isnan(got[1]) and got[2] == 5.0
+    d = spark.createDataFrame([(1, 2.0, 1.0), (1, 2.0, 3.0), (2, 1.0, 1.0), (2, 2.0, 4.0), (2, 3.0, 1.0), (3, None, None), (4, 1.0, 1.0)], "g int, x double, y double")
+    got = {r.g: r.c for r in d.groupBy("g").agg(stats.correlation(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert math.isnan(got[1]) and got[2] == pytest.approx(0.0) and got[3] is None and math.isnan(got[4])
