@@ -22,17 +22,19 @@ from .spatial import around_cells, cell
 def near_segments(probes: DataFrame, segments: DataFrame, reach: float, by: list[str]) -> DataFrame:
     """probes (by, px, py, ...) with the segments (by, ax, ay, ex, ey, ...) within reach, t_raw (length along, unclipped), along, dist and side (positive to the left)."""
     dx, dy = F.col("ex") - F.col("ax"), F.col("ey") - F.col("ay")
-    length = F.hypot(dx, dy)
+    length = F.sqrt(dx * dx + dy * dy)
     n = F.greatest(F.ceil(length / reach), F.lit(1))
     middle = lambda i: (i + F.lit(0.5)) / n
     cells = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(cell(F.col("ax") + middle(i) * dx, reach).alias("cx"), cell(F.col("ay") + middle(i) * dy, reach).alias("cy"))))
-    listed = segments.where(length > 0).withColumn("_cell", F.explode(cells)).select("*", "_cell.cx", "_cell.cy").drop("_cell")
+    finite = (length > 0) & (length < float("inf"))  # NaN is not
+    listed = segments.where(finite).withColumn("_cell", F.explode(cells)).select("*", "_cell.cx", "_cell.cy").drop("_cell")
     met = around_cells(probes, "px", "py", reach, 2).join(listed, [*by, "cx", "cy"]).drop("cx", "cy").distinct()
-    ux, uy = dx / length, dy / length
-    raw = (F.col("px") - F.col("ax")) * ux + (F.col("py") - F.col("ay")) * uy
-    met = met.withColumns({"length": length, "t_raw": raw, "along": F.least(F.greatest(raw, F.lit(0.0)), length)})
-    gap = F.hypot(F.col("px") - F.col("ax") - F.col("along") * ux, F.col("py") - F.col("ay") - F.col("along") * uy)
-    side = ux * (F.col("py") - F.col("ay")) - uy * (F.col("px") - F.col("ax"))
+    # divided last, so that a point on the line of a segment has the side 0 where the numbers allow it
+    raw = ((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy) / F.col("length")
+    met = met.withColumn("length", length).withColumn("t_raw", raw).withColumn("along", F.least(F.greatest("t_raw", F.lit(0.0)), F.col("length")))
+    gx, gy = F.col("px") - F.col("ax") - F.col("along") * dx / F.col("length"), F.col("py") - F.col("ay") - F.col("along") * dy / F.col("length")
+    gap = F.sqrt(gx * gx + gy * gy)
+    side = (dx * (F.col("py") - F.col("ay")) - dy * (F.col("px") - F.col("ax"))) / F.col("length")
     return met.withColumns({"dist": gap, "side": side}).where(F.col("dist") <= reach)
 
 
@@ -58,15 +60,17 @@ def track(ref: DataFrame, least: float, beyond: float) -> DataFrame:
     """run, seg, us, ax, ay, ex, ey, s: the segments of tracks (run, us, x, y), thinned, and one more before and behind.
 
     us is the time of a segment's first point (null before the track), s its arc length from the track's first point.
-    A run of fewer than two points has none.
+    A run of fewer than two points has none.  With least 0 two places may be one: their segment has no length, and what
+    would prolong it no place (NaN).
     """
     kept = output(fold(ref, ["run"], ["us"], thinning(least)))
     w = Window.partitionBy("run").orderBy("us")
     at = kept.withColumns({"seg": F.row_number().over(w), "ex": F.lead("x").over(w), "ey": F.lead("y").over(w), "bx": F.lag("x").over(w), "by_": F.lag("y").over(w)})
-    step = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))
+    sx, sy = F.col("x") - F.col("bx"), F.col("y") - F.col("by_")
+    step = F.sqrt(sx * sx + sy * sy)
     at = at.withColumn("s", F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).where("ex is not null or bx is not null")
     own = at.where("ex is not null").select("run", "seg", "us", F.col("x").alias("ax"), F.col("y").alias("ay"), "ex", "ey", "s")
-    far = lambda fx, fy, tx, ty: (F.lit(beyond) * (tx - fx) / F.hypot(tx - fx, ty - fy), F.lit(beyond) * (ty - fy) / F.hypot(tx - fx, ty - fy))
+    far = lambda fx, fy, tx, ty: [running.quotient(beyond * d, F.hypot(tx - fx, ty - fy)) for d in (tx - fx, ty - fy)]
     x, y, ex, ey, bx, by_ = (F.col(c) for c in ("x", "y", "ex", "ey", "bx", "by_"))
     hx, hy = far(x, y, ex, ey)
     head = at.where("bx is null").select("run", F.lit(0).alias("seg"), F.lit(None).cast("long").alias("us"), (x - hx).alias("ax"), (y - hy).alias("ay"), x.alias("ex"), y.alias("ey"), F.lit(-beyond).alias("s"))
@@ -91,9 +95,13 @@ def along_cross(ref: DataFrame, est: DataFrame, least: float = 1.0, window: floa
     segs = cut(track(smooth, least, window))
     own = timejoin.asof(smooth.where("x is not null and y is not null"), segs.where("us is not null"), "run", "us", ["ax", "ay", "ex", "ey", "s"], bucket=bucket).where("other_s is not null")
     ux, uy = F.col("other_ex") - F.col("other_ax"), F.col("other_ey") - F.col("other_ay")
-    length = F.hypot(ux, uy)
-    foot = ((F.col("x") - F.col("other_ax")) * ux + (F.col("y") - F.col("other_ay")) * uy) / length
-    own = own.select("run", "us", (F.col("other_s") + F.least(F.greatest(foot, F.lit(0.0)), length)).alias("s_ref"), (ux / length).alias("ox"), (uy / length).alias("oy"))
+    length = F.sqrt(ux * ux + uy * uy)
+    leads = (length > 0) & (length < float("inf"))
+    foot = ((F.col("x") - F.col("other_ax")) * ux + (F.col("y") - F.col("other_ay")) * uy) / F.when(leads, length)
+    # where the reference stands it leads no way (NaN), and every way is its way: NaN is greater than 0
+    ox, oy = (F.when(leads, u / F.when(leads, length)).otherwise(float("nan")) for u in (ux, uy))
+    s_ref = F.col("other_s") + F.when(leads, F.least(F.greatest(foot, F.lit(0.0)), length)).otherwise(0.0)
+    own = own.select("run", "us", s_ref.alias("s_ref"), ox.alias("ox"), oy.alias("oy"))
     probes = est.select("run", "us", F.col("x").alias("px"), F.col("y").alias("py")).join(own, ["run", "us"])
     met = near_segments(probes, segs.drop("us"), reach + near, ["run"])
     met = met.where(((F.col("ex") - F.col("ax")) * F.col("ox") + (F.col("ey") - F.col("ay")) * F.col("oy") > 0) & (F.col("s") + F.col("length") >= F.col("s_ref") - window) & (F.col("s") <= F.col("s_ref") + window))

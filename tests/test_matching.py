@@ -177,3 +177,16 @@ def test_path_graph_cross_and_along(spark):
             assert r.path == 0 and r.lat == pytest.approx(0.5) and r.s == pytest.approx(min(max(x, 0), 400)) and r.beyond == (not -0.5 <= x <= 400.5)
         else:
             assert r.path == 1 and r.lat == pytest.approx(3.0) and r.s == pytest.approx(k - 1000)
+
+
+def test_along_cross_where_the_reference_stands(spark):
+    """Equal places one after another, at the begin, between and at the end, are segments without length."""
+    at = [0.0, 0.0, 0.0, 0.0, 10.0, 20.0, 20.0, 20.0, 20.0, 30.0, 40.0, 40.0, 40.0]
+    ref = spark.createDataFrame([(1, k, x, 0.0) for k, x in enumerate(at)], "run int, us long, x double, y double")
+    est = spark.createDataFrame([(1, k, x + 2, 3.0) for k, x in enumerate(at)], "run int, us long, x double, y double")
+    got = {r.us: r for r in projection.along_cross(ref, est, least=0.0).collect()}
+    assert len(got) == len(at) and all(got[k].s_ref == pytest.approx(x) for k, x in enumerate(at))
+    for k, x in enumerate(at):
+        # before a stand the end of a segment is a foot too, and behind the last one no line goes on
+        along, cross = (0.0, math.hypot(2, 3)) if x in (20.0, 40.0) else (2.0, 3.0)
+        assert (got[k].along, got[k].cross) == (pytest.approx(along), pytest.approx(cross)), k
