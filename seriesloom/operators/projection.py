@@ -134,7 +134,9 @@ def match_graph(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame
     of both tables; those that no path suits come without one.
     """
     segs = cut(graph_segments(points.where("path is not null and x is not null and y is not null")))
-    left = cut(probes.select("k", "px", "py", "yaw").where("px is not null and py is not null"))
+    # equal probes are one place, which is looked for once
+    places = cut(cut(probes.select("px", "py", "yaw").where("px is not null and py is not null").distinct()).withColumn("k", F.monotonically_increasing_id()))
+    left = places
     box = left.agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("px", "py"))).first()
     map_ = segs.agg(F.min(F.least("ax", "ex")), F.max(F.greatest("ax", "ex")), F.min(F.least("ay", "ey")), F.max(F.greatest("ay", "ey"))).first()
     found, r = [], reach
@@ -153,8 +155,10 @@ def match_graph(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame
             break
         r *= 2
     kinds = "path {}, s double, lat double, dist double, z double, beyond boolean".format(dict(points.dtypes)["path"])
-    out = found[0] if found else probes.select("k").limit(0).select("k", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in kinds.split(", "))))
+    out = found[0] if found else places.select("k").limit(0).select("k", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in kinds.split(", "))))
     for x in found[1:]:
         out = out.unionByName(x)
-    return probes.select("k").join(out, "k", "left")
+    at = places.join(out, "k").drop("k").withColumnsRenamed({c: f"_{c}" for c in ("px", "py", "yaw")})
+    same = (F.col("px") == F.col("_px")) & (F.col("py") == F.col("_py")) & F.col("yaw").eqNullSafe(F.col("_yaw"))
+    return probes.select("k", "px", "py", "yaw").join(at, same, "left").drop("px", "py", "yaw", "_px", "_py", "_yaw")
 
