@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .spatial import within
+from .spatial import cell
 
 
 def duplicates(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -115,30 +115,26 @@ def linked_in_line(df: DataFrame, by: str, x: str, gap: float, tie: str) -> Data
 def first_fit(df: DataFrame, by: str, key: str, x: str, y: str, radius: float) -> DataFrame:
     """by, key, cluster: in key order, an unused point opens a cluster and absorbs all unused within radius.
 
-    In rounds: an undecided point without a smaller neighbour (a point within
-    radius) that is undecided or has opened opens itself; one whose smallest
-    such neighbour has opened joins it.
-    The neighbours of a point come from a join on cells, once.  Keys are unique
-    within a group; rows with a null group, key or place have no cluster and no row.
+    In rounds over cells of the radius: the smallest undecided key of a cell opens if those of the eight cells around are
+    larger; then all undecided points within radius of what has opened are decided.  A point belongs to the smallest opener
+    within radius.  Points meet openers only, which are more than the radius apart, so a cell sees a fixed number of them
+    however many points it holds.  Keys are unique within a group; rows with a null group, key or place have no cluster and
+    no row.
     """
-    whole = df.select(by, F.col(key).cast("long").alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(f"`{by}` is not null and _k is not null and _x is not null and _y is not null")
-    whole = cut(whole)
-    probes = whole.select(F.col(by).alias("_by"), F.col("_k").alias("b"), F.col("_x").alias("px"), F.col("_y").alias("py"))
-    points = whole.select(by, F.col("_k").alias("a"), F.col("_x").alias("x"), F.col("_y").alias("y"))
-    near = cut(within(probes, points, radius).where((F.col("_by") == F.col(by)) & (F.col("a") < F.col("b"))).select(by, "a", "b"))  # a is the smaller
-    left, openers, done = whole.select(by, "_k"), whole.select(by, "_k").limit(0), []
+    at = df.select(by, F.col(key).cast("long").alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(f"`{by}` is not null and _k is not null and _x is not null and _y is not null")
+    whole = cut(at.withColumns({"_cx": cell(F.col("_x"), radius), "_cy": cell(F.col("_y"), radius)}))
+    place = [by, "_cx", "_cy"]
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = lambda d: d.withColumn("_d", F.explode(steps)).withColumns({"_cx": F.col("_cx") + F.col("_d.i"), "_cy": F.col("_cy") + F.col("_d.j")}).drop("_d")
+    seen = lambda d: around(d).groupBy(*place).agg(F.collect_list(F.struct("_k", "_x", "_y")).alias("_near"))
+    holds = lambda o: (F.sqrt((F.col("_x") - o["_x"]) ** 2 + (F.col("_y") - o["_y"]) ** 2) <= radius) | (F.col("_k") == o["_k"])
+    left, openers = whole, None
     while not left.isEmpty():
-        # what may take an undecided point: smaller neighbours that are undecided or have opened
-        takers = left.unionByName(openers).withColumnRenamed("_k", "a")
-        first = near.join(left.withColumnRenamed("_k", "b"), [by, "b"], "left_semi").join(takers, [by, "a"], "left_semi").groupBy(by, F.col("b").alias("_k")).agg(F.min("a").alias("a"))
-        first = cut(first)
-        opens = left.join(first, [by, "_k"], "left_anti")
-        openers = cut(openers.unionByName(opens))
-        joins = cut(first.join(openers.withColumnRenamed("_k", "a"), [by, "a"], "left_semi").select(by, "_k", F.col("a").alias("cluster")))
-        done.append(joins)
-        left = cut(left.join(openers.unionByName(joins.select(by, "_k")), [by, "_k"], "left_anti"))
-    done.append(openers.withColumn("cluster", F.col("_k")))
-    out = whole.select(by, "_k", F.col("_k").alias("cluster")).limit(0)
-    for part in done:
-        out = out.unionByName(part)
-    return out.select(by, F.col("_k").cast(dict(df.dtypes)[key]).alias(key), "cluster")
+        least = cut(left.groupBy(*place).agg(F.min_by(F.struct("_k", "_x", "_y"), "_k").alias("_o")).select(*place, "_o.*"))
+        opens = cut(least.join(around(least).groupBy(*place).agg(F.min("_k").alias("_k")), [*place, "_k"], "left_semi"))
+        openers = opens if openers is None else openers.unionByName(opens)
+        left = cut(left.join(seen(opens), place, "left").where(~F.coalesce(F.exists("_near", holds), F.lit(False))).drop("_near"))
+    own = F.col("_k").cast(dict(df.dtypes)[key]).alias(key)
+    if openers is None:
+        return whole.select(by, own, F.col("_k").alias("cluster"))
+    return whole.join(seen(openers), place).select(by, own, F.array_min(F.transform(F.filter("_near", holds), lambda o: o["_k"])).alias("cluster"))

@@ -185,3 +185,19 @@ def test_scale_and_agreement_without_weight_or_spread(spark):
     d = spark.createDataFrame([(1, 2.0, 1.0), (1, 2.0, 3.0), (2, 1.0, 1.0), (2, 2.0, 4.0), (2, 3.0, 1.0), (3, None, None), (4, 1.0, 1.0)], "g int, x double, y double")
     got = {r.g: r.c for r in d.groupBy("g").agg(stats.correlation(F.col("x"), F.col("y")).alias("c")).collect()}
     assert math.isnan(got[1]) and got[2] == pytest.approx(0.0) and got[3] is None and math.isnan(got[4])
+
+
+def test_first_fit_lists_no_pairs_of_a_crowd(spark):
+    """Against a plain walk, and 30,000 points on three places (some 150 million pairs before)."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1), k, rng.uniform(0, 30), rng.choice([rng.uniform(0, 30), 4.0, 8.0])) for k in range(500)]
+    got = {(r.g, r.k): r.cluster for r in sets.first_fit(spark.createDataFrame(rows, "g int, k int, x double, y double"), "g", "k", "x", "y", 4.0).collect()}
+    for g in (0, 1):
+        opened = []
+        for _, k, x, y in (r for r in rows if r[0] == g):
+            near = [o for o, a, b in opened if math.sqrt((x - a) ** 2 + (y - b) ** 2) <= 4.0]
+            if not near:
+                opened.append((k, x, y))
+            assert got[g, k] == (near[0] if near else k)
+    crowd = spark.range(30_000).select(F.lit(1).alias("g"), F.col("id").alias("k"), (F.col("id") % 3 * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    assert {tuple(r) for r in sets.first_fit(crowd, "g", "k", "x", "y", 4.0).groupBy("cluster").count().collect()} == {(0, 10_000), (1, 10_000), (2, 10_000)}
