@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def error_stats(e: Column) -> list[Column]:
     """n, rmse, mae, bias, p95, worst and median of |e|; null if there is nothing."""
@@ -15,6 +19,19 @@ def error_stats(e: Column) -> list[Column]:
     ]
 
 
+def error_stats_of_few(df: DataFrame, by: list[str], e: str, *more: Column) -> DataFrame:
+    """by, the figures of error_stats, and more aggregates, for few large groups: percentiles by range counts, so that no task holds a group."""
+    plain = [c for k, c in enumerate(error_stats(F.col(e))) if k not in (4, 6)]
+    q = quantiles.order_statistics(df.withColumn("_a", F.abs(e)), by, "_a", [0.5, 0.95])
+    q = quantiles.side_by_side(q, by, {0.5: "median", 0.95: "p95"})
+    order = ["n", "rmse", "mae", "bias", "p95", "worst", "median"]
+    d = df.groupBy(*by).agg(*plain, *more)
+    rest = [c for c in d.columns if c not in order and c not in by]
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    d = d.join(q.withColumnsRenamed({c: f"_{c}" for c in by}), same, "left")
+    return d.select(*by, *(F.round(c, 6).alias(c) if c in ("p95", "median") else c for c in order), *rest)
+
+
 def distribution(x: Column) -> list[Column]:
     p = lambda q, name: F.round(F.percentile(x, F.lit(q)), 6).alias(name)
     return [F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.round(F.max(x), 6).alias("max")]

@@ -175,7 +175,8 @@ def scenario_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = series(spark, sf_dir, "signup").where("value is not null").groupBy("run", "us").agg(F.avg("value").alias("value"))
     at = timejoin.interpolate(rows.select("run", "us").distinct(), truth, "run", "us", "value", bucket=SPAN)
     scored = rows.join(at, ["run", "us"]).withColumn("e", F.col("speed") - F.col("interp_value"))
-    return scored.groupBy("scenario", "arm").agg(*stats.error_stats(F.col("e")), F.round(F.avg(F.col("stale").cast("int")), 6).alias("stale"))
+    scored = cut(scored.select("scenario", "arm", "e", "stale"))
+    return stats.error_stats_of_few(scored, ["scenario", "arm"], "e", F.round(F.avg(F.col("stale").cast("int")), 6).alias("stale"))
 
 
 GRID_U, GRID_V = [-0.05, -0.03, -0.01, 0.0, 0.01, 0.03, 0.05], [0.0, 5.0, 15.0, 25.0, 40.0, 50.0]

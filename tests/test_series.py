@@ -201,3 +201,13 @@ def test_first_fit_lists_no_pairs_of_a_crowd(spark):
             assert got[g, k] == (near[0] if near else k)
     crowd = spark.range(30_000).select(F.lit(1).alias("g"), F.col("id").alias("k"), (F.col("id") % 3 * 10.0).alias("x"), F.lit(0.0).alias("y"))
     assert {tuple(r) for r in sets.first_fit(crowd, "g", "k", "x", "y", 4.0).groupBy("cluster").count().collect()} == {(0, 10_000), (1, 10_000), (2, 10_000)}
+
+
+def test_figures_of_few_large_groups_are_those_of_groups(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.gauss(0, 5) if rng.random() < 0.9 else None) for _ in range(500)] + [("c", "x", None)]
+    d = spark.createDataFrame(rows, "g string, h string, e double")
+    plain = d.groupBy("g", "h").agg(*stats.error_stats(F.col("e")))
+    few = stats.error_stats_of_few(d, ["g", "h"], "e")
+    assert few.columns == plain.columns and few.exceptAll(plain).isEmpty() and plain.exceptAll(few).isEmpty()
+    assert "percentile(" not in few._jdf.queryExecution().optimizedPlan().toString()
