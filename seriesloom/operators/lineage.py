@@ -29,8 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the shared folder."""
+    """df from a checkpoint in the shared folder, without the estimate of its size.
+
+    A checkpoint keeps the estimate, which is a product at every join.  In a loop that joins a table with itself it has
+    some four times the digits each round, and soon fills the driver.  Without one, joins follow the sizes met at run time.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    rows = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import faults, grid, islands, running, sets, spatial, stats, timejoin
+from seriesloom.operators.lineage import cut
 from seriesloom.plans.catalogue import QUERIES
 
 S = "run long, seq long, us long, value double"
@@ -211,3 +212,16 @@ def test_figures_of_few_large_groups_are_those_of_groups(spark):
     few = stats.error_stats_of_few(d, ["g", "h"], "e")
     assert few.columns == plain.columns and few.exceptAll(plain).isEmpty() and plain.exceptAll(few).isEmpty()
     assert "percentile(" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_estimates_do_not_grow_in_loops(spark):
+    d = cut(spark.range(10).toDF("a"))
+    for _ in range(6):
+        d = cut(d.join(d.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).join(d.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select("a"))
+    assert d.count() == 10
+    assert int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() <= 64
+
+
+def test_a_cut_keeps_rows_and_types(spark):
+    d = spark.sql("select 1L a, 1.50BD b, array(struct(1 x, null y)) c, timestamp'2024-01-01 00:00:00' d, map('k', 2.5D) e, cast(null as string) f, binary('z') g, date'2024-02-29' h")
+    assert cut(d).dtypes == d.dtypes and cut(d).collect() == d.collect() and cut(d.limit(0)).collect() == []
