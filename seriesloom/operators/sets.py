@@ -51,20 +51,28 @@ def overlaps(df: DataFrame, by: str, key: str, start: str, end: str, width: int)
 def shared_cells(df: DataFrame, key: str, cells: list[str], least: float) -> DataFrame:
     """a, b, shared, ratio: common cells of two keys over the smaller set, for keys whose ratio is at least `least`.
 
-    The smaller set of such a pair has one of the common cells among its rarest
-    n - ceil(least n) + 1, so only those are looked up in the other sets.
+    Keys of equal sets are one class, and only classes are compared.  The smaller set of such a pair has one of the common
+    cells among its rarest n - ceil(least n) + 1, so only those are looked up in the other sets.  A set travels with its
+    cells, as sorted numbers, so that a pair is judged where it meets and counts at its first common cell; pairs that fail
+    are written nowhere.  A cell with a null is one of its set, but common to none.
     """
-    sets = df.select(key, *cells).distinct()
-    often = sets.groupBy(*cells).agg(F.count("*").alias("_often"))
-    sets = sets.join(often, cells).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_often", *cells))
-    sets = cut(sets.withColumn("_first", place <= F.col("n") - F.ceil(F.col("n") * least) + 1))
-    a = sets.select(*cells, F.col(key).alias("a"), F.col("n").alias("na"), "_first")
-    b = sets.select(*cells, F.col(key).alias("b"), F.col("n").alias("nb"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = a.where("_first").join(b, cells).where(smaller).select("a", "b").distinct()
-    both = met.join(a.drop("_first"), "a").join(b, ["b", *cells]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("n"))
-    both = both.where(F.col("shared") >= F.col("n") * least)
+    sets = df.where(F.col(key).isNotNull()).select(key, *cells).distinct()
+    often = sets.dropna(subset=cells).groupBy(*cells).agg(F.count("*").alias("_often"))
+    # the rarer, the smaller; the numbers are read from the checkpoint, so they stay
+    ids = cut(often.orderBy("_often", *cells).select(*cells, F.monotonically_increasing_id().alias("_id")))
+    coded = sets.join(ids, cells, "left").groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_id")).alias("ids"))
+    coded = cut(coded)
+    classes = cut(coded.groupBy("n", "ids").agg(F.min(key).alias("c"), F.count("*").alias("m")))
+    first = F.greatest(F.size("ids") - F.ceil(F.col("n") * least) + 1, F.lit(0)).cast("int")
+    a = classes.select("c", "n", "ids", F.posexplode(F.slice("ids", F.lit(1), first)).alias("_at", "_id"))
+    b = classes.select(F.col("c").alias("d"), F.col("n").alias("nd"), F.col("ids").alias("others"), F.explode("ids").alias("_id"))
+    smaller = (F.col("n") < F.col("nd")) | ((F.col("n") == F.col("nd")) & (F.col("c") < F.col("d")))
+    met = a.join(b, "_id").where(smaller & ~F.arrays_overlap(F.slice("ids", F.lit(1), F.col("_at")), "others"))
+    met = met.select("c", "d", F.size(F.array_intersect("ids", "others")).cast("long").alias("shared"), "n")
+    same = classes.where("m > 1 and size(ids) > 0").select("c", F.col("c").alias("d"), F.size("ids").cast("long").alias("shared"), "n")
+    links = cut(met.unionByName(same).where(F.col("shared") >= F.col("n") * least))
+    of = coded.join(classes.select("n", "ids", "c"), ["n", "ids"]).select(F.col(key).alias("a"), "c")
+    both = links.join(of, "c").join(of.select(F.col("a").alias("b"), F.col("c").alias("d")), "d").where("c <> d or a < b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("ratio"))
 
 

@@ -225,3 +225,29 @@ def test_estimates_do_not_grow_in_loops(spark):
 def test_a_cut_keeps_rows_and_types(spark):
     d = spark.sql("select 1L a, 1.50BD b, array(struct(1 x, null y)) c, timestamp'2024-01-01 00:00:00' d, map('k', 2.5D) e, cast(null as string) f, binary('z') g, date'2024-02-29' h")
     assert cut(d).dtypes == d.dtypes and cut(d).collect() == d.collect() and cut(d.limit(0)).collect() == []
+
+
+def test_shared_cells_against_a_plain_count(spark):
+    rng = random.Random(7)
+    kinds = [[(rng.randrange(6), rng.choice([None, 0, 1, 2])) for _ in range(rng.randrange(1, 12))] for _ in range(15)]
+    rows = [(key, *c) for key in range(60) for c in rng.choice(kinds)] + [(None, 1, 1)]
+    d = spark.createDataFrame(rows, "k int, p int, q int")
+    own = {k: {r[1:] for r in rows if r[0] == k} for k in range(60)}
+    for least in (0.3, 0.5, 1.0):
+        want = {}
+        for a in own:
+            for b in range(a + 1, 60):
+                both, n = sum(None not in c for c in own[a] & own[b]), min(len(own[a]), len(own[b]))
+                if both and both >= n * least:
+                    want[a, b] = (both, both / n)
+        got = [((r.a, r.b), (r.shared, r.ratio)) for r in sets.shared_cells(d, "k", ["p", "q"], least).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_keys_of_equal_sets_meet_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sets, "cut", lambda d: written.append(cut(d)) or written[-1])
+    d = spark.range(300).selectExpr("id k", "explode(sequence(1 + id % 2 * 2, 8 + id % 2 * 2)) p", "0 q")
+    assert sets.shared_cells(d, "k", ["p", "q"], 0.5).count() == 300 * 299 // 2
+    assert written[-1].count() == 3
+    assert sets.shared_cells(d, "k", ["p", "q"], 0.9).count() == 2 * (150 * 149 // 2)
