@@ -175,3 +175,10 @@ def test_no_branches(spark):
     shape = "passage long, i long, s double, x double, y double, cx double, cy double, held boolean"
     found, axes = terminals.branches(spark.createDataFrame([], shape), spark.createDataFrame([], "passage long, s double"))
     assert found.count() == 0 and axes.count() == 0
+
+
+def test_clusters_carry_no_estimates_of_their_rounds(spark):
+    line = spark.range(200).selectExpr("id key", "id * 1.0D x", "0.0D y")
+    out = linked_in_plane(line, "key", "x", "y", 1.0)
+    assert int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 1000
+    assert {r.cluster for r in out.collect()} == {0}
