@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .lineage import cut
-
 from .timejoin import asof
 
 
@@ -44,19 +44,24 @@ def normal_equations(df: DataFrame, u: Column, v: Column, y: Column, grid_u: tup
 def robust_regression(df: DataFrame, by: str, x: str, y: str, rounds: int = 3) -> DataFrame:
     """by, slope, intercept, n: least squares, refitted to rows whose residual is within 4 scaled median deviations.
 
-    What a round leaves is one small row a key; the rows themselves are read anew.
+    Medians come from range counts, so that no task holds a group.  What a round leaves is one small row a key; the rows
+    themselves are read anew.  A key of whose rows none is left has no line, and n is 0.
     """
-    d = df.select(by, x, y)
+    d = df.where(F.col(by).isNotNull()).select(by, x, y)
     e = F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")
-    fit = lambda rows: rows.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(y).alias("n"))
-    last, kept = cut(fit(d)), d
+    kept = lambda c: F.when(F.col("_keep"), F.col(c))
+    fit = lambda rows: rows.groupBy(by).agg(F.regr_slope(kept(y), kept(x)).alias("slope"), F.regr_intercept(kept(y), kept(x)).alias("intercept"), F.count(kept(y)).alias("n"))
+    few = lambda t: F.broadcast(t) if t.count() <= quantiles.BROADCAST else t
+    median = lambda rows, name: quantiles.order_statistics(rows, [by], name, [0.5]).select(by, F.col("x").alias(f"{name}_mid"))
+    judged = d.withColumn("_keep", F.lit(True))
+    last = cut(fit(judged))
     for _ in range(rounds):
-        now = kept.select(by, x, y).join(last, by).withColumn("_e", e)
-        middle = cut(now.groupBy(by).agg(F.percentile("_e", F.lit(0.5)).alias("_m")))
-        away = now.join(middle, by).groupBy(by).agg(F.percentile(F.abs(F.col("_e") - F.col("_m")), F.lit(0.5)).alias("_d"))
-        known = cut(last.join(middle, by).join(away, by))
-        kept = d.join(known, by).where(F.abs(e - F.col("_m")) < 4 * 1.4826 * F.col("_d"))
-        last = cut(fit(kept))
+        now = judged.where("_keep").select(by, x, y).join(few(last), by).withColumn("_e", e).select(by, "_e")
+        middle = cut(median(now, "_e"))
+        away = median(now.join(few(middle), by).select(by, F.abs(F.col("_e") - F.col("_e_mid")).alias("_d")), "_d")
+        known = cut(last.drop("n").join(middle, by, "left").join(away, by, "left"))
+        judged = d.join(few(known), by).withColumn("_keep", F.coalesce(F.abs(e - F.col("_e_mid")) < 4 * 1.4826 * F.col("_d_mid"), F.lit(False))).select(by, x, y, "_keep")
+        last = cut(fit(judged))
     return last
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import faults, grid, islands, running, sets, spatial, stats, timejoin
+from seriesloom.operators import faults, fitting, grid, islands, running, sets, spatial, stats, timejoin
 from seriesloom.operators.lineage import cut
 from seriesloom.plans.catalogue import QUERIES
 
@@ -251,3 +251,13 @@ def test_keys_of_equal_sets_meet_once(spark, monkeypatch):
     assert sets.shared_cells(d, "k", ["p", "q"], 0.5).count() == 300 * 299 // 2
     assert written[-1].count() == 3
     assert sets.shared_cells(d, "k", ["p", "q"], 0.9).count() == 2 * (150 * 149 // 2)
+
+
+def test_robust_lines_without_a_group_in_a_task(spark):
+    d = spark.range(20_000).selectExpr("id % 2 g", "id % 50 * 1.0D x", "id % 50 * 3.0D + 7 + id % 11 * 0.25D + if(id % 100 = 1, 500, 0) y")
+    d = d.unionByName(spark.createDataFrame([(5, 1.0, 2.0), (6, 1.0, 1.0), (6, 2.0, 2.0), (None, 1.0, 2.0)], "g long, x double, y double"))
+    out = fitting.robust_regression(d, "g", "x", "y")
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    got = {r.g: r for r in out.collect()}
+    assert set(got) == {0, 1, 5, 6} and abs(got[0].slope - 3) < 0.01 and abs(got[1].slope - 3) < 0.01
+    assert (got[0].n, got[1].n) == (10_000, 9_800) and (got[5].slope, got[5].n) == (None, 0) and got[6].n == 0
