@@ -130,12 +130,22 @@ def anchors(stands: DataFrame, route: DataFrame, stops: DataFrame, r: AnchorRule
     """run, odo, moved, shift: stands (run, us, odo) tied to stops (path, s, sd) on the run's route, in order of time.
 
     The nearest stop (the first of equal ones) within three sigma of the shifted place counts.  Only stops within
-    `most` of a stand reach it: a join on buckets of the odometer.
+    `most` of a stand reach it: a stand is laid on the paths around it, by buckets of the stretch on which its run stands,
+    and meets the stops of these by buckets of the arc length.  So a path's stops are not listed for every run.
     """
-    at = stops.join(route, "path").where("s between 0 and length").select("run", (F.col("base") + F.col("s")).alias("at"), "sd")
-    at = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("at") / r.most) + d for d in (-1, 0, 1)))))
-    own = stands.where("run is not null and odo is not null").withColumn("_b", F.floor(F.col("odo") / r.most))
-    met = own.join(at, ["run", "_b"], "left").groupBy("run", "us", "odo").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "sd")))).alias("stops"))
+    own = cut(stands.where("run is not null and odo is not null").select("run", "us", "odo").distinct())
+    span = own.groupBy("run").agg((F.min("odo") - 2 * r.most).alias("_lo"), (F.max("odo") + 2 * r.most).alias("_hi"))
+    ways = route.join(span, "run").where("base <= _hi and base + length >= _lo")
+    ways = ways.select("run", "k", "path", "base", "length", F.explode(F.sequence(F.floor(F.greatest("base", "_lo") / r.most), F.floor(F.least(F.col("base") + F.col("length"), "_hi") / r.most))).alias("_b"))
+    around = own.withColumn("_b", F.explode(F.array(*(F.floor(F.col("odo") / r.most) + d for d in (-1, 0, 1)))))
+    laid = around.join(ways, ["run", "_b"]).select("run", "us", "odo", "k", "path", "base", "length").distinct()
+    # a hair more than the reach, which the distance itself decides
+    edge = lambda way, hair: F.floor((F.col("odo") + way - F.col("base")) / r.most + hair)
+    laid = laid.withColumn("_b", F.explode(F.sequence(edge(-r.most, -1e-6), edge(r.most, 1e-6))))
+    at = stops.withColumn("_b", F.floor(F.col("s") / r.most))
+    near = laid.join(at, ["path", "_b"]).where("s between 0 and length").withColumn("at", F.col("base") + F.col("s"))
+    near = near.where(F.abs(F.col("at") - F.col("odo")) <= r.most)
+    met = near.groupBy("run", "us", "odo").agg(F.array_sort(F.collect_list(F.struct("at", "sd"))).alias("stops"))
     return output(fold(met, ["run"], ["us", "odo"], anchoring(r))).drop("bucket")
 
 

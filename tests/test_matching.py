@@ -6,6 +6,7 @@ import random
 import pytest
 
 from seriesloom.operators import projection, routes
+from seriesloom.operators.folds import fold
 
 
 def interp(points, s):
@@ -190,3 +191,14 @@ def test_along_cross_where_the_reference_stands(spark):
         # before a stand the end of a segment is a foot too, and behind the last one no line goes on
         along, cross = (0.0, math.hypot(2, 3)) if x in (20.0, 40.0) else (2.0, 3.0)
         assert (got[k].along, got[k].cross) == (pytest.approx(along), pytest.approx(cross)), k
+
+
+def test_stops_of_a_long_path_are_not_listed_for_every_run(spark, monkeypatch):
+    stops = spark.range(20_000).selectExpr("1L path", "id * 10.0D s", "1.0D sd")
+    route = spark.range(100).selectExpr("id run", "0L k", "1L path", "0.0D base", "199990.0D length")
+    stands = spark.range(100).selectExpr("id run", "0L us", "1000.0D + id % 4 odo")
+    met = []
+    monkeypatch.setattr(routes, "fold", lambda d, *more: met.append(d) or fold(d, *more))
+    found = routes.anchors(stands, route, stops, routes.AnchorRules(sigma=2.0, growth=0.0, most=40.0))
+    assert [r.shift for r in found.orderBy("run").collect()] == [(0.0, -1.0, -2.0, -3.0)[k % 4] for k in range(100)]
+    assert met[0].selectExpr("max(size(stops))").first()[0] <= 9
