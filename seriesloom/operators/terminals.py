@@ -139,14 +139,37 @@ def axes(points: DataFrame, left: DataFrame, r: BranchRules) -> tuple[DataFrame,
     return axis, noise
 
 
+#: Passages of a dead end that a round tries as openers: in the first round, and at most; each round has twice as many.
+TRIED = 256, 512
+
+
+def _along(parts: DataFrame, sizes: DataFrame, axis: DataFrame, openers: DataFrame, radius: float) -> DataFrame:
+    """passage, branch, _at: which of the parts' passages run along which axes of openers (passage, dead_end, _at) of the same dead end."""
+    ways = axis.join(openers.select("passage", F.col("dead_end").alias("_end"), "_at"), "passage")
+    ways = ways.select(F.col("passage").alias("branch"), "_end", "_at", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = within(ways, parts, radius).where(F.col("dead_end") == F.col("_end"))
+    return near.groupBy("passage", "branch", "_at").agg(F.count_distinct("s").alias("_near")).join(sizes, "passage").where("10 * _near >= 9 * _size").select("passage", "branch", "_at")
+
+
+def _opening(some: DataFrame, along: DataFrame) -> DataFrame:
+    """passage, dead_end, _at of those of some that run along no earlier one of them that opens."""
+    kind = f"array<{dict(some.dtypes)['passage']}>"
+    takers = along.groupBy("passage").agg(F.collect_set("branch").alias("_by"))
+    rows = some.join(takers, "passage", "left").select("dead_end", F.struct("_at", "passage", F.coalesce("_by", F.array().cast(kind)).alias("_by")).alias("_p"))
+    add = lambda opened, p: F.when(F.arrays_overlap(opened, p["_by"]), opened).otherwise(F.concat(opened, F.array(p["passage"])))
+    opened = rows.groupBy("dead_end").agg(F.aggregate(F.array_sort(F.collect_list("_p")), F.array().cast(kind), add).alias("_o"))
+    return some.join(opened.select(F.explode("_o").alias("passage")), "passage", "left_semi")
+
+
 def branches(points: DataFrame, stands: DataFrame, r: BranchRules = BranchRules()) -> tuple[DataFrame, DataFrame]:
     """dead_end, branch, x, y, off, window, n, stood, and the axes (branch, s, x, y): branches behind dead ends that a map lacks.
 
     points as in `departures`; stands: passage, s.  Dead ends are opened in order of passages, each takes those within
     hold_join.  Of a dead end's passages the one least off its axis opens a branch, takes all that run along it, and so
-    on with the rest: a round of joins opens a branch at every dead end, so the rounds are the branches of one dead end,
-    and passages meet only axes of branches, never one another.  off: the way from the branch's begin to the dead end;
-    stood: passages of the branch with a stand in the window before the dead end or up to `past` behind.
+    on with the rest.  A round does so for the next few hundred of every dead end at once: they are laid on one another's
+    axes, those that no earlier opener takes open, and all others meet only what has opened.  off: the way from the
+    branch's begin to the dead end; stood: passages of the branch with a stand in the window before the dead end or up to
+    `past` behind.
 
     Passages are integers; rows with a null in any column take no part; a passage named by its number is also its branch.
     """
@@ -157,20 +180,29 @@ def branches(points: DataFrame, stands: DataFrame, r: BranchRules = BranchRules(
     ends = first_fit(left.withColumn("_one", F.lit(0)), "_one", "passage", "x", "y", r.hold_join).select("passage", F.col("cluster").alias("dead_end"))
     all_ = cut(left.join(ends, "passage").join(noise, "passage").withColumn("off", F.col("s_hold") - F.col("s_from")))
     parts = axis.join(all_.select("passage", "off", "dead_end"), "passage").where(F.col("s") >= F.col("off") + r.past)
-    parts = cut(parts.select("passage", "dead_end", F.col("s").alias("ps"), F.col("x").alias("px"), F.col("y").alias("py")))
+    parts = cut(parts.select("passage", "dead_end", "s", "x", "y"))
     sizes = cut(parts.groupBy("passage").agg(F.count("*").alias("_size")))
-    open_, done = all_.select("passage", "dead_end", "noise"), []
+    # of equal ways the first opens a branch, or is taken, for all; one with no part behind the end is taken by none
+    way = axis.groupBy("passage").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("s", "x", "y")))), 256).alias("_way"))
+    seen = cut(all_.join(way, "passage").join(sizes.select("passage"), "passage").select("passage", "dead_end", "noise", "off", "_way"))
+    alike = ["dead_end", "noise", "off", "_way"]
+    equal = cut(seen.join(seen.groupBy(*alike).agg(F.min("passage").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), alike).where("passage <> _first").select("passage", "_first"))
+    open_, parts, ways = (d.join(equal, "passage", "left_anti") for d in (all_.select("passage", "dead_end", "noise"), parts, axis))
+    open_, parts, ways, done, tried = cut(open_), cut(parts), cut(ways), [], TRIED[0]
     while not open_.isEmpty():
-        first = cut(open_.groupBy("dead_end").agg(F.min_by("passage", F.struct("noise", "passage")).alias("branch")))
-        ways = axis.join(first.select(F.col("branch").alias("passage"), F.col("dead_end").alias("_end"), "branch"), "passage").select("branch", "_end", "x", "y")
-        near = within(parts.join(open_.select("passage"), "passage", "left_semi"), ways, r.axis_join).where(F.col("dead_end") == F.col("_end"))
-        along = near.groupBy("passage", "branch").agg(F.count_distinct("ps").alias("_near")).join(sizes, "passage").where("10 * _near >= 9 * _size").select("passage", "branch")
-        took = cut(along.unionByName(first.select(F.col("branch").alias("passage"), "branch")).distinct())
+        order = F.row_number().over(Window.partitionBy("dead_end").orderBy("noise", "passage"))
+        some = cut(open_.withColumn("_at", order).where(F.col("_at") <= tried).select("passage", "dead_end", "_at"))
+        first = cut(_opening(some, _along(parts.join(some.select("passage"), "passage", "left_semi"), sizes, ways, some, r.axis_join)))
+        along = _along(parts, sizes, ways, first, r.axis_join)
+        own = along.groupBy("passage").agg(F.min_by("branch", "_at").alias("branch"))
+        took = cut(own.unionByName(first.select("passage", F.col("passage").alias("branch"))).distinct())
         done.append(took)
-        open_ = cut(open_.join(took, "passage", "left_anti"))
+        open_, parts, ways = (cut(d.join(took, "passage", "left_anti")) for d in (open_, parts, ways))
+        tried = min(2 * tried, TRIED[1])
     of = all_.select("passage", F.col("passage").alias("branch")).limit(0)
     for part in done:
         of = of.unionByName(part)
+    of = of.unionByName(equal.join(of.withColumnRenamed("passage", "_first"), "_first").select("passage", "branch"))
     own = of.join(all_, "passage")
     heads = own.where("passage = branch").select("branch", "dead_end", "off")
     wide = heads.groupBy("dead_end").agg(F.greatest(F.max("off") + r.margin, F.lit(r.window)).alias("window"))

@@ -171,6 +171,27 @@ def test_branches(spark):
     assert {a.branch for a in axes.select("branch").distinct().collect()} == {b[1] for b in got}
 
 
+def test_branches_open_many_a_round(spark, monkeypatch):
+    """Thirty rays behind one dead end, each its own branch, some of two passages and some of copies: in rounds of a few and in rounds of many."""
+    tracks, r = {}, terminals.BranchRules()
+    for p in range(42):
+        turn, e = (p % 30) * np.pi / 31 - 1.5, np.random.default_rng(p).normal(0, 0.2, (80, 2)).tolist()
+        way = [3.0 * k - 60.0 for k in range(80)]
+        tracks[p + 50] = tracks[p] = [(o + 60.0, (o if o <= 0 else o * float(np.cos(turn))) + float(a), (0.0 if o <= 0 else o * float(np.sin(turn))) + float(b), min(o, 0.0), 0.0, o > 0) for o, (a, b) in zip(way, e, strict=True)]
+    rows = [(p, i, *row) for p, t in tracks.items() for i, row in enumerate(t)]
+    points = spark.createDataFrame(rows, "passage long, i long, s double, x double, y double, cx double, cy double, held boolean")
+    stands = spark.createDataFrame([], "passage long, s double")
+    want, cuts, real = plain_branches(tracks, [], r), [], terminals.cut
+    assert len(want) >= 20
+    monkeypatch.setattr(terminals, "cut", lambda d: cuts.append(1) or real(d))
+    for tried in (terminals.TRIED, (4, 16)):
+        cuts.clear()
+        monkeypatch.setattr(terminals, "TRIED", tried)
+        found, _ = terminals.branches(points, stands, r)
+        assert {(b.dead_end, b.branch, round(b.off, 6), round(b.window, 6), b.n, b.stood) for b in found.collect()} == want
+        assert len(cuts) < 48  # a round cuts six times
+
+
 def test_no_branches(spark):
     shape = "passage long, i long, s double, x double, y double, cx double, cy double, held boolean"
     found, axes = terminals.branches(spark.createDataFrame([], shape), spark.createDataFrame([], "passage long, s double"))
