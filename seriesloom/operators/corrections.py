@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import timejoin
 from .folds import Fold
+from .lineage import cut
 
 OUT = "us long, verdict string, misfit double, offset double, sigma double"
 
@@ -130,7 +131,7 @@ def epochs(fixes: DataFrame, other: DataFrame, tolerance: int, single_sd: float,
     place, the larger sd, the lower status, the first one's time.  A lone one
     is less certain by single_sd.
     """
-    pairs = timejoin.mutual_pairs(fixes, other, "run", "us", "seq", tolerance, bucket)
+    pairs = cut(timejoin.mutual_pairs(fixes, other, "run", "us", "seq", tolerance, bucket))
     b = other.select("run", F.col("seq").alias("b_key"), *(F.col(c).alias(f"_{c}") for c in ("along", "side", "sd", "status")))
     one = fixes.join(pairs.withColumnRenamed("a_key", "seq"), ["run", "seq"], "left").join(b, ["run", "b_key"], "left")
     both = F.col("b_key").isNotNull()

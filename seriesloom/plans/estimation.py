@@ -48,8 +48,10 @@ def fixes(spark: SparkSession, sf_dir: str, topic: str, at: DataFrame) -> DataFr
 
 def located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The way, and fixes of two receivers paired and laid on it."""
-    at = way(spark, sf_dir)
-    e = corrections.epochs(fixes(spark, sf_dir, "purchase", at), fixes(spark, sf_dir, "signup", at), 6 * HOUR, 1.5, SPAN)
+    # pairing reads each of these several times
+    at = cut(way(spark, sf_dir))
+    a, b = (cut(fixes(spark, sf_dir, topic, at)) for topic in ("purchase", "signup"))
+    e = corrections.epochs(a, b, 6 * HOUR, 1.5, SPAN)
     return at, corrections.with_way(e, at, SPAN)
 
 

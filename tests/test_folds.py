@@ -207,3 +207,9 @@ def test_epochs_pair_receivers(spark):
     for bucket in (None, 40):
         got = {r.seq: (r.us, r.along, r.side, round(r.sd, 3), r.status) for r in corrections.epochs(a, b, 5, 1.0, bucket).collect()}
         assert got == {1: (100, 11.0, 1.0, 2.0, 1), 2: (200, 20.0, 0.0, 1.414, 2), 3: (None, 1.0, 0.0, 1.414, 2), 12: (250, 30.0, 0.0, 1.414, 2)}
+
+
+def test_fixes_are_laid_on_the_way_once(spark):
+    """The pairing of fixes reads them from a cut; before, each of its sides held the way and the events again."""
+    _, e = estimation.located(spark, DIR)
+    assert "parquet" not in e._jdf.queryExecution().optimizedPlan().toString().lower()
