@@ -5,7 +5,7 @@ from statistics import median
 import numpy as np
 import pytest
 
-from seriesloom.operators import terminals
+from seriesloom.operators import clusters, sets, terminals
 from seriesloom.operators.clusters import linked_in_plane
 
 POINT = "k long, g long, x double, y double"
@@ -42,6 +42,29 @@ def test_two_crowds_just_out_of_reach(spark):
     assert {p.cluster for p in linked_in_plane(d, "k", "x", "y", 1.001, direct=64).collect()} == {0}
 
 
+def test_crowded_cells_take_few_steps(spark, monkeypatch):
+    """A line of forty crowded cells, a wall just within reach of it and one just out of reach: each cut costs the driver
+    several jobs, so that they must not count the halvings of a crowd or the rounds along a line."""
+    line = [(k, 0, 0.014 * k, 0.0003 * (k % 7)) for k in range(2000)]
+    walls = [(k, 0, x, 0.0015 * (k % 1000 - 300)) for first, x in ((3000, -1.0), (5000, 28.987)) for k in range(first, first + 600)]
+    cuts = []
+    for module in (clusters, sets):
+        monkeypatch.setattr(module, "cut", lambda d, real=module.cut: cuts.append(1) or real(d))
+    got = linked_in_plane(spark.createDataFrame(line + walls, POINT), "k", "x", "y", 1.0)
+    assert len(cuts) <= 12
+    assert {(p.k // 1000, p.cluster) for p in got.collect()} == {(0, 0), (1, 0), (3, 0), (5, 5000)}
+
+
+@pytest.mark.parametrize("held", [1, 3, 50])
+def test_links_of_more_than_one_task(spark, monkeypatch, held):
+    """Trees are handed on when a task holds so many nodes."""
+    monkeypatch.setattr(clusters, "HELD", held)
+    r = np.random.default_rng(8)
+    points = [(k // 2, k % 2, float(x), float(y)) for k, (x, y) in enumerate(r.normal(0, 9, (240, 2)).round(1))]
+    got = linked_in_plane(spark.createDataFrame(points, POINT), "k", "x", "y", 1.5, "g")
+    assert {(p.g, p.k): p.cluster for p in got.collect()} == plain_clusters(points, 1.5)
+
+
 def test_no_points(spark):
     assert linked_in_plane(spark.createDataFrame([], POINT), "k", "x", "y", 1.0).count() == 0
 
