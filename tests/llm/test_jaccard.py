@@ -2,9 +2,11 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from seriesloom.llm import jaccard
@@ -131,3 +133,25 @@ def test_incremental_overlaps():
         return up
 
     assert groups(joined) == groups(direct)
+
+
+
+def test_slices_bound_what_is_shuffled_at_once(spark, monkeypatch):
+    """Lists and blocks in several slices, texts told apart by the sieve: the same groups; and no prefix or whole set is kept once it is used."""
+    texts = corpus(9, 20)
+    for name, value in (("BROADCAST_IDS", 0), ("SLICE_ENTRIES", 600), ("SLICE_GRAMS", 2000), ("SLICES", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    roots, kept, keep = set(), [], jaccard.Scratch.keep
+    monkeypatch.setattr(jaccard.Scratch, "keep", lambda self, df, name: roots.add(self.root) or kept.append((name, df.columns)) or keep(self, df, name))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, "no id"), (rows[5][0], rows[5][1])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, 5, 80).collect()}
+    want = brute(texts, 5, 80)
+    assert got.pop(None) == (1, None) and got == want
+    names = {name for name, _ in kept}
+    assert {"met/0", "met/1", "links/0", "links/1"} <= names and not any("tokens" in columns for _, columns in kept)
+    for root in roots:
+        left = [p for p in Path(root.removeprefix("file://")).rglob("*.parquet") if "prefix" in pq.read_schema(p).names]
+        assert not left
+    got = sorted(map(str, (r.doc_id for r in keep_one_each(docs, 5, 80).collect())))
+    assert got == sorted(map(str, [i for i, (_, c) in want.items() if i == c] + [None]))
