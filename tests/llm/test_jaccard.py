@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.llm import jaccard
 from seriesloom.llm.jaccard import Block, Links, _lists, keep_one_each, list_pairs, needed, similar_groups
@@ -155,3 +156,23 @@ def test_slices_bound_what_is_shuffled_at_once(spark, monkeypatch):
         assert not left
     got = sorted(map(str, (r.doc_id for r in keep_one_each(docs, 5, 80).collect())))
     assert got == sorted(map(str, [i for i, (_, c) in want.items() if i == c] + [None]))
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, tmp_path):
+    """With more marks than are broadcast, only the rows that a sieve marks meet them: before, every text was shuffled, twice where rows repeat."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(50_000)) for _ in range(64)]
+    rows = [*((i, i, t) for i, t in enumerate(texts)), (100, 7, "near"), (None, None, "no id"), (200, 200, "twice"), (200, 200, "twice")]
+    spark.createDataFrame(rows, "doc_id int, component_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(jaccard, "similar_groups", lambda *a: docs.select(F.col("doc_id").cast("long"), "component_id"))
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = [(r.doc_id, r.text) for r in keep_one_each(docs).select("doc_id", "text").collect()]
+        assert sorted(map(str, got)) == sorted(str((i, t)) for i, t in [*enumerate(texts), (None, "no id"), (200, "twice")])
+        assert shuffled() - before < 500_000 < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
