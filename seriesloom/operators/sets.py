@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +52,101 @@ def overlaps(df: DataFrame, by: str, key: str, start: str, end: str, width: int)
     return pairs.select(by, F.col("x")[key].alias("a"), F.col("y")[key].alias("b"), shared.alias("overlap"))
 
 
+#: Sets that are compared at once, cells of the sets of a block, and the least number of blocks if there are more sets than SIDE.
+SIDE, BLOCK_CELLS, BLOCKS = 2048, 1 << 21, 8
+#: A meeting in lists costs as much as so many comparisons within blocks; keys up to this many are broadcast.
+MEETING, BROADCAST_KEYS = 50, 200_000
+
+
+class Part:
+    """Some sets as entries (row, cell), by cell."""
+
+    def __init__(self, names: pa.Array, n: np.ndarray, ids: list[np.ndarray]):
+        self.names, self.n = names, n
+        cells = np.concatenate(ids)
+        order = np.argsort(cells, kind="stable")
+        self.rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])[order]
+        self.cells, self.begin, self.often = np.unique(cells[order], return_index=True, return_counts=True)
+
+    def shared(self, other: Part) -> np.ndarray:
+        """How many cells each two sets share: common cells by a product of matrices, rare ones one by one."""
+        out = np.zeros((len(self.n), len(other.n)), np.float32)
+        _, a, b = np.intersect1d(self.cells, other.cells, True, True)
+        dense = self.often[a] * other.often[b] * 8 > out.size * 0.07 - 8000
+        wide = []
+        for part, at in ((self, a[dense]), (other, b[dense])):
+            many = part.often[at]
+            x = np.zeros((len(part.n), len(at)), np.float32)
+            entries = np.repeat(part.begin[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            x[part.rows[entries], np.repeat(np.arange(len(at)), many)] = 1
+            wide.append(x)
+        out += wide[0] @ wide[1].T
+        for i, j in zip(a[~dense].tolist(), b[~dense].tolist(), strict=True):
+            out[self.rows[self.begin[i] : self.begin[i] + self.often[i], None], other.rows[other.begin[j] : other.begin[j] + other.often[j]]] += 1
+        return out
+
+
+def _compared(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (i, j, side, c, n, ids) come sorted: a block (side 0), then the sets that pass it; a block without passing sets meets itself."""
+    task, held = None, []
+
+    def parts(batch):
+        for a in range(0, batch.num_rows, SIDE):
+            own = batch.slice(a, SIDE)
+            yield Part(own.column("c"), np.asarray(own.column("n")), [np.asarray(x.values) for x in own.column("ids")])
+
+    def links(x, y):
+        shared = x.shared(y)
+        n = np.minimum(x.n[:, None], y.n)
+        holds = (shared >= n * least) & (shared > 0)
+        i, j = np.nonzero(np.triu(holds, 1) if x is y else holds)
+        return pa.RecordBatch.from_arrays([x.names.take(pa.array(i)), y.names.take(pa.array(j)), pa.array(shared[i, j].astype(np.int64)), pa.array(n[i, j])], ["c", "d", "shared", "n"])
+
+    def close():
+        if task is not None and task[0] == task[1]:
+            for k, x in enumerate(held):
+                for y in held[k:]:
+                    yield links(x, y)
+
+    for batch in batches:
+        place = np.stack([np.asarray(batch.column(x)) for x in ("i", "j", "side")], axis=1)
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
+            if a == b:
+                continue
+            now, own = tuple(place[a, :2].tolist()), batch.slice(a, b - a)
+            if now != task:
+                yield from close()
+                task, held = now, []
+            if place[a, 2] == 0:
+                held.extend(parts(own))
+            else:
+                for y in parts(own):
+                    for x in held:
+                        yield links(x, y)
+    yield from close()
+
+
+def compared(classes: DataFrame, least: float, cells: int, count: int) -> DataFrame:
+    """c, d, shared, n of the classes (c, n, ids) that share at least `least` of the smaller: every two blocks meet in one task,
+    that holds one of them; no pair is written that fails.  cells: of all sets together; count: of classes."""
+    blocks = max(-(-cells // BLOCK_CELLS), BLOCKS if count > SIDE else 1)
+    at = classes.select("c", "n", "ids", F.pmod(F.xxhash64("c"), F.lit(blocks)).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    at = at.select(F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "c", "n", "ids")
+    # one partition a meeting, as each is long
+    rows = at.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "side")
+    kind = dict(classes.dtypes)["c"]
+    return rows.mapInArrow(lambda it: _compared(least, it), f"c {kind}, d {kind}, shared long, n long")
+
+
 def shared_cells(df: DataFrame, key: str, cells: list[str], least: float) -> DataFrame:
     """a, b, shared, ratio: common cells of two keys over the smaller set, for keys whose ratio is at least `least`.
 
     Keys of equal sets are one class, and only classes are compared.  The smaller set of such a pair has one of the common
     cells among its rarest n - ceil(least n) + 1, so only those are looked up in the other sets.  A set travels with its
     cells, as sorted numbers, so that a pair is judged where it meets and counts at its first common cell; pairs that fail
-    are written nowhere.  A cell with a null is one of its set, but common to none.
+    are written nowhere.  Where sets have so much in common that the lists would meet more than all pairs do, blocks of sets are
+    compared instead.  A cell with a null is one of its set, but common to none.
     """
     sets = df.where(F.col(key).isNotNull()).select(key, *cells).distinct()
     often = sets.dropna(subset=cells).groupBy(*cells).agg(F.count("*").alias("_often"))
@@ -66,14 +158,25 @@ def shared_cells(df: DataFrame, key: str, cells: list[str], least: float) -> Dat
     first = F.greatest(F.size("ids") - F.ceil(F.col("n") * least) + 1, F.lit(0)).cast("int")
     a = classes.select("c", "n", "ids", F.posexplode(F.slice("ids", F.lit(1), first)).alias("_at", "_id"))
     b = classes.select(F.col("c").alias("d"), F.col("n").alias("nd"), F.col("ids").alias("others"), F.explode("ids").alias("_id"))
-    smaller = (F.col("n") < F.col("nd")) | ((F.col("n") == F.col("nd")) & (F.col("c") < F.col("d")))
-    met = a.join(b, "_id").where(smaller & ~F.arrays_overlap(F.slice("ids", F.lit(1), F.col("_at")), "others"))
-    met = met.select("c", "d", F.size(F.array_intersect("ids", "others")).cast("long").alias("shared"), "n")
-    same = classes.where("m > 1 and size(ids) > 0").select("c", F.col("c").alias("d"), F.size("ids").cast("long").alias("shared"), "n")
-    links = cut(met.unionByName(same).where(F.col("shared") >= F.col("n") * least))
-    of = coded.join(classes.select("n", "ids", "c"), ["n", "ids"]).select(F.col(key).alias("a"), "c")
-    both = links.join(of, "c").join(of.select(F.col("a").alias("b"), F.col("c").alias("d")), "d").where("c <> d or a < b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("ratio"))
+    often = a.groupBy("_id").agg(F.count("*").alias("_a")).join(b.groupBy("_id").agg(F.count("*").alias("_b")), "_id")
+    cost = often.agg(F.sum(F.col("_a").cast("double") * F.col("_b")).alias("meetings"), F.sum("_b").alias("cells")).first()
+    count = classes.count()
+    if (cost.meetings or 0) * MEETING > count * count / 2:
+        links = compared(classes.where("size(ids) > 0"), least, cost.cells, count)
+    else:
+        smaller = (F.col("n") < F.col("nd")) | ((F.col("n") == F.col("nd")) & (F.col("c") < F.col("d")))
+        met = a.join(b, "_id").where(smaller & ~F.arrays_overlap(F.slice("ids", F.lit(1), F.col("_at")), "others"))
+        links = met.select("c", "d", F.size(F.array_intersect("ids", "others")).cast("long").alias("shared"), "n")
+    several = classes.where("m > 1")
+    if not several.isEmpty():
+        links = links.unionByName(several.where("size(ids) > 0").select("c", F.col("c").alias("d"), F.size("ids").cast("long").alias("shared"), "n"))
+    links = links.where(F.col("shared") >= F.col("n") * least).withColumnsRenamed({"c": "a", "d": "b"})
+    if not several.isEmpty():
+        of = coded.join(classes.select("n", "ids", "c"), ["n", "ids"]).select(F.col(key).alias("_key"), F.col("c").alias("_c"))
+        of = F.broadcast(of) if coded.count() <= BROADCAST_KEYS else of
+        one = links.join(of, F.col("a") == F.col("_c")).select(F.col("a").alias("_a"), F.col("_key").alias("a"), "b", "shared", "n")
+        links = one.join(of, F.col("b") == F.col("_c")).where("_a <> b or a < _key").select("a", F.col("_key").alias("b"), "shared", "n")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.col("n")).alias("ratio"))
 
 
 #: Slices over which the edges of one node are spread.

@@ -261,3 +261,24 @@ def test_robust_lines_without_a_group_in_a_task(spark):
     got = {r.g: r for r in out.collect()}
     assert set(got) == {0, 1, 5, 6} and abs(got[0].slope - 3) < 0.01 and abs(got[1].slope - 3) < 0.01
     assert (got[0].n, got[1].n) == (10_000, 9_800) and (got[5].slope, got[5].n) == (None, 0) and got[6].n == 0
+
+
+def test_sets_with_much_in_common_are_compared_in_blocks(spark, monkeypatch):
+    """Lists of common cells would meet more than all pairs do: blocks of sets are compared instead, in several tasks, with the
+    same pairs as lists give; keys of equal sets count each."""
+    rng = random.Random(12)
+    kept = {k: {(rng.randint(0, 4), int(rng.expovariate(0.5))) for _ in range(rng.randint(1, 30))} for k in range(120)}
+    kept |= {200 + k: kept[k] for k in range(5)}
+    rows = [(k, p, q) for k, s in kept.items() for p, q in s] + [(300, None, 1), (301, 0, None), (301, 0, 0), (None, 0, 0)]
+    d = spark.createDataFrame(rows, "k long, p int, q int")
+    sizes = {k: len(s) for k, s in kept.items()} | {301: 2}
+    kept[301] = {(0, 0)}
+    want = {(a, b): len(kept[a] & kept[b]) for a in kept for b in kept if a < b and 2 * len(kept[a] & kept[b]) >= min(sizes[a], sizes[b]) and kept[a] & kept[b]}
+    done, compared = [], sets.compared
+    monkeypatch.setattr(sets, "compared", lambda *a: done.append(1) or compared(*a))
+    monkeypatch.setattr(sets, "BLOCK_CELLS", 300)
+    for meeting in (50, 0):  # in blocks, in lists
+        monkeypatch.setattr(sets, "MEETING", meeting)
+        got = [((r.a, r.b), r.shared, round(r.ratio, 9)) for r in sets.shared_cells(d, "k", ["p", "q"], 0.5).collect()]
+        assert sorted(got) == sorted((p, n, round(n / min(sizes[p[0]], sizes[p[1]]), 9)) for p, n in want.items())
+        assert len(done) == 1
